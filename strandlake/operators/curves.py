@@ -88,39 +88,46 @@ def curve_lengths(df: DataFrame, curve="curve", seq="seq") -> DataFrame:
     return df.groupBy(curve).agg(F.count(F.lit(1)).alias("n"))
 
 
-def densify(df: DataFrame, factor: int, curve="curve", seq="seq") -> DataFrame:
-    """``n * factor`` points per curve, evenly spaced in the index parameter from 0 to n-1."""
-    n = neighbours_on_curve(df, curve, seq, list(AX), 1)
-    sizes = curve_lengths(df, curve, seq)
-    n = salted_lookup(n, sizes, [curve], [seq], "inner")
-    s, m = F.col(seq), F.col("n") * factor
-    # output i sits at t = i (n-1) / (m-1); source segment [s, s+1) owns the i with floor(t) = s
-    lo = F.ceil(s * (m - 1) / F.greatest(F.col("n") - 1, F.lit(1)))
-    hi = F.ceil((s + 1) * (m - 1) / F.greatest(F.col("n") - 1, F.lit(1))) - 1
-    last = s == F.col("n") - 1
-    i0 = F.when(F.col("n") == 1, F.lit(0)).when(last, m - 1).otherwise(lo)
-    i1 = F.when(F.col("n") == 1, m - 1).when(last, m - 1).otherwise(F.least(hi, m - 2))
-    n = n.withColumns({"_i0": i0, "_i1": i1, "_m": m}).filter("_i0 <= _i1")
+def densify(df: DataFrame, factor: int, curve="curve", seq="seq", cols=AX) -> DataFrame:
+    """``n * factor`` points per curve, evenly spaced in the index parameter from 0 to n-1.
+
+    Output i sits at t = i (n-1) / (m-1); the source segment with floor(t) = s makes it. Index
+    arithmetic is integer, so both ends are hit exactly.
+    """
+    n = neighbours_on_curve(df, curve, seq, list(cols), 1)
+    n = salted_lookup(n, curve_lengths(df, curve, seq), [curve], [seq], "inner")
+    n = n.withColumns({"_m1": F.col("n") * factor - 1, "_n1": F.greatest(F.col("n") - 1, F.lit(1))})
+    up = lambda k: F.expr(f"({k} * _m1 + _n1 - 1) div _n1")
+    s = seq
+    i0 = F.when(F.col("n") == 1, F.lit(0)).when(F.col(s) == F.col("n") - 1, F.col("_m1")).otherwise(up(s))
+    i1 = F.when(F.col(s) == F.col("n") - 1, F.col("_m1")).otherwise(F.least(up(f"({s} + 1)") - 1, F.col("_m1") - 1))
+    n = n.withColumns({"_i0": i0.cast("long"), "_i1": i1.cast("long")}).filter("_i0 <= _i1")
     n = n.withColumn("i", F.explode(F.sequence("_i0", "_i1")))
-    t = F.col("i") * (F.col("n") - 1) / F.greatest(F.col("_m") - 1, F.lit(1)) - s
-    return n.select(curve, F.col("i").cast("long").alias(seq), *[
-        (F.col(c).cast("double") + (F.coalesce(F.col(f"{c}_p1"), F.col(c)).cast("double") - F.col(c).cast("double"))
-         * F.greatest(t, F.lit(0.0))).alias(c) for c in AX])
+    t = (F.col("i") * F.col("_n1") - F.col(s) * F.col("_m1")).cast("double") / F.greatest(F.col("_m1"), F.lit(1)).cast("double")
+    t = F.when(F.col("n") == 1, F.lit(0.0)).otherwise(t)
+    return n.select(curve, F.col("i").alias(seq), *[
+        (F.col(c).cast("double") + (F.coalesce(F.col(f"{c}_p1"), F.col(c)).cast("double") - F.col(c).cast("double")) * t).alias(c)
+        for c in cols])
 
 
-def resample_unit(df: DataFrame, step: float = 1.0, curve="curve", seq="seq") -> DataFrame:
-    """Points at arc 0, step, 2*step, ... up to the length, linearly interpolated.
+def resample_unit(df: DataFrame, curve="curve", seq="seq") -> DataFrame:
+    """Even resampling by arc length: ceil(L) + 1 points, so steps of about one voxel.
 
     A sample belongs to the segment whose arc interval holds it, so each segment makes its own.
     """
     a = arc_length(df, curve, seq)
-    n = neighbours_on_curve(a, curve, seq, [*AX, "arc"], 1).filter(F.col("z_p1").isNotNull() & (F.col("arc_p1") > F.col("arc")))
-    k0 = F.ceil(F.col("arc") / step)
-    k1 = F.ceil(F.col("arc_p1") / step) - 1
+    total = a.groupBy(curve).agg(F.max("arc").alias("_len"))
+    n = neighbours_on_curve(a, curve, seq, [*AX, "arc"], 1)
+    n = salted_lookup(n, total, [curve], [seq], "inner").filter("_len > 0")
+    n = n.withColumn("_m", F.ceil("_len")).withColumn("_h", F.col("_len") / F.col("_m"))
+    last = F.col("z_p1").isNull()
+    k0 = F.when(last, F.col("_m")).otherwise(F.ceil(F.col("arc") / F.col("_h")))
+    k1 = F.when(last, F.col("_m")).otherwise(F.least(F.ceil(F.col("arc_p1") / F.col("_h")) - 1, F.col("_m") - 1))
     n = n.withColumns({"_k0": k0, "_k1": k1}).filter("_k0 <= _k1").withColumn("k", F.explode(F.sequence("_k0", "_k1")))
-    t = (F.col("k") * step - F.col("arc")) / (F.col("arc_p1") - F.col("arc"))
+    t = F.when(last, F.lit(0.0)).otherwise(
+        (F.col("k") * F.col("_h") - F.col("arc")) / F.greatest(F.col("arc_p1") - F.col("arc"), F.lit(1e-12)))
     return n.select(curve, F.col("k").cast("long").alias(seq), *[
-        (F.col(c) + (F.col(f"{c}_p1") - F.col(c)) * t).alias(c) for c in AX])
+        (F.col(c) + (F.coalesce(F.col(f"{c}_p1"), F.col(c)) - F.col(c)) * t).alias(c) for c in AX])
 
 
 def runs_in_box(df: DataFrame, lo, hi, curve="curve", seq="seq") -> DataFrame:
