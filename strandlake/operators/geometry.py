@@ -78,19 +78,19 @@ def augment_curves(curves: DataFrame, size: int = 96, jitter: float = 2.5, wobbl
 
 
 def project_to_curve(points: DataFrame, curves: DataFrame, key: str = "vid", cell: float = 4.0,
-                     carry: list[str] | None = None, max_radius: float | None = None) -> DataFrame:
+                     carry: list[str] | None = None, max_radius: float | None = None, on: list[str] | None = None) -> DataFrame:
     """Foot point of every point on the nearest curve: (key, curve, pz, py, px, arc, d2[, carried]).
 
     The nearest curve point is found first; then the segments before and after it compete (the later
     one wins only if strictly closer). ``curves``: curve, seq, z, y, x, arc; ``carry`` columns are
-    interpolated and normalised as vectors when they come in triples.
+    interpolated. With ``on=["curve"]``, each point is projected onto its own curve.
     """
     from strandlake.operators.ranges import nearest
 
     carry = carry or []
     cols = [*AX, "arc", *carry]
     nb = neighbours_on_curve(curves.select("curve", "seq", *cols), "curve", "seq", cols, 2)
-    near = nearest(points, curves.withColumn("sk", F.struct("curve", "seq")), key, "sk", cell=cell, max_radius=max_radius)
+    near = nearest(points, curves.withColumn("sk", F.struct("curve", "seq")), key, "sk", cell=cell, max_radius=max_radius, on=on)
     j = near.select(key, F.col("sk.curve").alias("curve"), F.col("sk.seq").alias("seq")).join(nb, ["curve", "seq"])
     j = j.join(points.select(key, *[F.col(c).cast("double").alias(f"q{c}") for c in AX]), key)
 

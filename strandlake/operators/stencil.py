@@ -124,7 +124,7 @@ def _reflect_copies(vox: DataFrame, shape: tuple[int, int, int], reach: int) ->
             F.when(c < reach, -1 - c),
             F.when(c >= n - reach, F.lit(2 * n - 1) - c),
         )
-        out = out.withColumn(axis, F.explode(F.filter(images, lambda v: v.isNotNull())).cast("int"))
+        out = out.withColumn(axis, F.explode(F.array_compact(images)))
     return out.select((F.col("z") + reach).alias("z"), (F.col("y") + reach).alias("y"), (F.col("x") + reach).alias("x"),
                       *[k for k in vox.columns if k not in ("z", "y", "x", "vid")])
 
@@ -162,7 +162,7 @@ def gaussian3d(field: DataFrame, value: str, sigma: float, shape: tuple[int, int
         one[k] = shape[k]
         c, n = F.col(axis), shape[k]
         images = F.array(c, F.when(c < r, -1 - c), F.when(c >= n - r, F.lit(2 * n - 1) - c))
-        m = out.withColumn(axis, (F.explode(F.filter(images, lambda v: v.isNotNull())) + r).cast("int"))
+        m = out.withColumn(axis, F.explode(F.array_compact(images))).withColumn(axis, (F.col(axis) + r).cast("int"))
         m = m.withColumn("vid", pack("z", "y", "x"))
         offs = [tuple((d if i == k else 0) for i in range(3)) for d in range(-r, r + 1)]
         d = F.coalesce(*[F.when(F.col("off.d" + axis) == dd, F.lit(w[dd + r])) for dd in range(-r, r + 1)])
