@@ -71,10 +71,6 @@ def panoptic(gt: DataFrame, pred: DataFrame, iou_threshold: float = 0.5) -> Data
                     F.when(F.col("n_gt") == 0, "no ground truth").alias("error"))
 
 
-def _fx(c):
-    return F.sum(F.bround(c * 1e6).cast("long")) / F.lit(1e6)
-
-
 def intensity_scores(df: DataFrame, pred: str = "pred", gt: str = "gt", by: list[str] | None = None,
                      n_voxels: int | None = None, eps: float = 1e-8) -> DataFrame:
     """Weighted squared error, soft and binary Dice, and the negative-valley term.
@@ -90,10 +86,10 @@ def intensity_scores(df: DataFrame, pred: str = "pred", gt: str = "gt", by: list
     bp, bg = F.when(pp > 0.30, 1).otherwise(0), F.when(pg > 0.30, 1).otherwise(0)
     grouped = df.groupBy(*by) if by else df.groupBy()
     a = grouped.agg(
-        F.count(F.lit(1)).alias("k"), _fx((p - g) * (p - g) * w).alias("se"), _fx(w).alias("w"),
-        _fx(pp * pg).alias("pi"), _fx(pp * pp).alias("pe"), _fx(pg * pg).alias("ge"),
+        F.count(F.lit(1)).alias("k"), F.sum((p - g) * (p - g) * w).alias("se"), F.sum(w).alias("w"),
+        F.sum(pp * pg).alias("pi"), F.sum(pp * pp).alias("pe"), F.sum(pg * pg).alias("ge"),
         F.sum(bp * bg).alias("bi"), F.sum(bp).alias("bp"), F.sum(bg).alias("bg"),
-        _fx(np_ * ng).alias("ni"), _fx(np_ * np_).alias("npe"), _fx(ng * ng).alias("nge"), _fx(np_).alias("nps"))
+        F.sum(np_ * ng).alias("ni"), F.sum(np_ * np_).alias("npe"), F.sum(ng * ng).alias("nge"), F.sum(np_).alias("nps"))
     extra = (F.lit(float(n_voxels)) - F.col("k")) if n_voxels else F.lit(0.0)
     total = F.lit(float(n_voxels)) if n_voxels else F.col("k").cast("double")
     soft = (2.0 * F.col("pi") + eps) / (F.col("pe") + F.col("ge") + eps)
@@ -116,7 +112,7 @@ def orientation_scores(df: DataFrame, pred: str = "p", gt: str = "o", intensity:
     valid = F.when(norm(b) > 1e-4, 1.0).otherwise(0.0)
     w = clip(F.abs(F.col(intensity)) + floor * valid, 0.0, 1.0) * valid
     grouped = df.groupBy(*by) if by else df.groupBy()
-    s = grouped.agg(_fx(w).alias("w"), _fx(w * (1.0 - d)).alias("l"), _fx(w * d).alias("d"))
+    s = grouped.agg(F.sum(w).alias("w"), F.sum(w * (1.0 - d)).alias("l"), F.sum(w * d).alias("d"))
     ok = F.col("w") > 0
     den = F.when(ok, F.col("w")).otherwise(1.0)
     return s.select(*(by or []), F.when(ok, F.col("l") / den).otherwise(0.0).alias("ori_loss"),
@@ -125,4 +121,4 @@ def orientation_scores(df: DataFrame, pred: str = "p", gt: str = "o", intensity:
 
 def macro_average(scores: DataFrame, cols: list[str]) -> DataFrame:
     """Unweighted mean of per-volume scores."""
-    return scores.agg(*[(_fx(F.col(c)) / F.count(F.lit(1))).alias(c) for c in cols], F.count(F.lit(1)).alias("n_volumes"))
+    return scores.agg(*[F.avg(c).alias(c) for c in cols], F.count(F.lit(1)).alias("n_volumes"))

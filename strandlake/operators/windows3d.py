@@ -67,7 +67,7 @@ def blend(preds: DataFrame, shape, size: int, stride: int, values: list[str]) ->
     """Sum of weight * prediction over sum of weights per voxel; the padding is cut off."""
     w = preds.filter((F.col("z") < shape[0]) & (F.col("y") < shape[1]) & (F.col("x") < shape[2]))
     w = w.withColumn("_w", window_weight(size, stride))
-    fx = lambda c: F.sum(F.bround(c * 1e9).cast("long")) / F.lit(1e9)
+    fx = lambda c: F.sum(F.bround(c * 1e12).cast("long")) / F.lit(1e12)
     g = w.groupBy("z", "y", "x").agg(fx(F.col("_w")).alias("_sw"), *[fx(F.col("_w") * F.col(v)).alias(v) for v in values])
     return g.select(pack("z", "y", "x").alias("vid"), "z", "y", "x",
                     *[(F.col(v) / F.greatest(F.col("_sw"), F.lit(1e-6))).alias(v) for v in values])
@@ -122,7 +122,7 @@ def normalised_blend(preds: DataFrame, shape, size: int, stride: int, values: li
     three one-axis sums, so it needs no rows."""
     w = preds.filter((F.col("z") < shape[0]) & (F.col("y") < shape[1]) & (F.col("x") < shape[2]))
     w = w.withColumn("_w", window_weight(size, stride))
-    fx = lambda c: F.sum(F.bround(c * 1e9).cast("long")) / F.lit(1e9)
+    fx = lambda c: F.sum(F.bround(c * 1e12).cast("long")) / F.lit(1e12)
     g = w.groupBy("z", "y", "x").agg(*[fx(F.col("_w") * F.col(v)).alias(v) for v in values])
     den = F.lit(1.0)
     for c, n in zip("zyx", shape):

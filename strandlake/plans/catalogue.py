@@ -632,7 +632,7 @@ def crossing_dip(s, d):
 def analytic_field(s, d):
     sk = materialize(lift.skeleton(s, d, 8))
     spine = curves.tangents(sk.select(F.col("fiber").alias("curve"), "seq", "z", "y", "x"))
-    f = fields.analytic_field(lift.foreground(s, d, 8), spine, k=8)
+    f = fields.analytic_field(lift.foreground(s, d, 8), spine, k=8, cell=10.0)
     return rounded(f.select("vid", "curve", "d1", "d2", "intensity"), ["d1", "d2", "intensity"])
 
 
@@ -702,7 +702,7 @@ def overlap_add(s, d):
     p = windows3d.reflect_pad(sk.select("z", "y", "x", "intensity"), sh, 16, 8)
     w = windows3d.to_windows(p, sh, 16, 8)
     w = w.withColumn("v", F.col("intensity") * (1.0 + (F.col("wz") + F.col("wy") + F.col("wx")) % 3))
-    return rounded(windows3d.blend(w, sh, 16, 8, ["v"]), ["v"])
+    return rounded(windows3d.blend(w, sh, 16, 8, ["v"]), ["v"], 7)
 
 
 @query

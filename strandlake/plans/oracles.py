@@ -140,10 +140,19 @@ E_REST, E_JUNC = _nb("er", "rest"), _nb("ej", "junc")
 CC_R, CC_J = _cc("ccr", "rest", "er"), _cc("ccj", "junc", "ej")
 O["branch_components"] = sql("SELECT v AS vid,l AS comp FROM ccr", *BASE, E_REST, CC_R)
 O["junction_clusters"] = sql("SELECT v AS vid,l AS comp FROM ccj", *BASE, E_JUNC, CC_J)
-O["fg_components"] = sql("SELECT l AS comp,count(*) AS n FROM ccf GROUP BY 1", *FG, _nb("ef", "fg"), _cc("ccf", "fg", "ef"))
+# Consecutive balls of a fibre always touch, so its voxels are one piece: contract fibres, then join them.
+def _fgcc(sk):
+    return (f"ow AS MATERIALIZED (SELECT DISTINCT f.vid,s.fiber FROM {sk} s CROSS JOIN ball JOIN fg f ON f.vid=s.vid+ball.d)",
+            "mo AS MATERIALIZED (SELECT vid,min(fiber) AS fiber FROM ow GROUP BY 1)",
+            "ff AS MATERIALIZED (SELECT DISTINCT a.fiber AS a,b.fiber AS b FROM mo a CROSS JOIN off JOIN mo b ON b.vid=a.vid+off.d WHERE a.fiber<>b.fiber UNION SELECT DISTINCT a.fiber,b.fiber FROM ow a JOIN ow b USING (vid) WHERE a.fiber<>b.fiber)",
+            f"fn AS MATERIALIZED (SELECT DISTINCT fiber AS vid FROM {sk})", _cc("cw", "fn", "ff"),
+            "ccf AS MATERIALIZED (SELECT o.vid AS v,min(o.vid) OVER (PARTITION BY c.l) AS l FROM mo o JOIN cw c ON c.v=o.fiber)")
+
+
+O["fg_components"] = sql("SELECT l AS comp,count(*) AS n FROM ccf GROUP BY 1", *FG, *_fgcc("sk"))
 O["label_components"] = sql("SELECT c.v AS vid,(s.fiber+1)::INTEGER AS label,c.l AS comp FROM ccl c JOIN sk s ON s.vid=c.v", SK, OFF,
                             "el AS MATERIALIZED (SELECT s.vid AS a,n.vid AS b FROM sk s CROSS JOIN off JOIN sk n ON n.vid=s.vid+off.d AND n.fiber=s.fiber WHERE off.d<>0)", _cc("ccl", "sk", "el"))
-CC8 = (*FG8, _nb("ef", "fg"), _cc("ccf", "fg", "ef"), "cf AS MATERIALIZED (SELECT f.*,c.l AS comp FROM fg f JOIN ccf c ON c.v=f.vid)")
+CC8 = (*FG8, *_fgcc("sk8"), "cf AS MATERIALIZED (SELECT f.*,c.l AS comp FROM fg f JOIN ccf c ON c.v=f.vid)")
 _BOX = ",".join(f"min({c}) AS {c}0,max({c}) AS {c}1" for c in "zyx")
 O["component_bbox"] = sql(f"SELECT comp,count(*) AS n,{_BOX} FROM cf GROUP BY comp", *CC8)
 O["component_label_class"] = sql(f"""SELECT b.comp,b.n,((z1-z0+1)::BIGINT*(y1-y0+1)*(x1-x0+1))::BIGINT AS box,
@@ -211,7 +220,7 @@ _ETL = f"et AS MATERIALIZED (SELECT frag,u.e AS \"end\",length AS n,vid,{Z('vid'
 ANCH = """an AS MATERIALIZED (SELECT * FROM (SELECT e.frag,e."end",e.n,v.vid AS avid,v.z AS az,v.y AS ay,v.x AS ax,row_number() OVER (PARTITION BY e.frag,e."end" ORDER BY (v.z-e.z)**2+(v.y-e.y)**2+(v.x-e.x)**2,v.vid) AS r
  FROM et e JOIN fv v ON v.frag=e.frag) WHERE r=least(6,n))"""
 _u = "CASE WHEN sqrt(oz*oz+oy*oy+ox*ox)<1e-8 THEN 1.0 ELSE sqrt(oz*oz+oy*oy+ox*ox) END"
-TEN = ",".join(f"round((coalesce(sum({FX(f'u{a}*u{b}')}),0)::BIGINT)::DOUBLE/1000000000.0::DOUBLE,6) AS t{a}{b}" for a, b in ("zz", "zy", "zx", "yy", "yx", "xx"))
+TEN = ",".join(f"round((coalesce(sum({FX(f'u{a}*u{b}')}),0)::BIGINT)::DOUBLE/1000000000.0::DOUBLE,6)+0.0::DOUBLE AS t{a}{b}" for a, b in ("zz", "zy", "zx", "yy", "yx", "xx"))
 O["nematic_tensor"] = sql(f"""SELECT a.frag,a."end",a.avid,{TEN} FROM an a LEFT JOIN (SELECT *,oz/({_u}) AS uz,oy/({_u}) AS uy,ox/({_u}) AS ux,cz,cy,cx FROM ori, (SELECT range AS cz FROM range(-2,3)), (SELECT range AS cy FROM range(-2,3)), (SELECT range AS cx FROM range(-2,3))) f
  ON f.vid+f.cz*{DZ}+f.cy*{DY}+f.cx=a.avid GROUP BY 1,2,3""", *[c for c in _frags("sk") if not c.startswith("et ")], *LOOPS, _ETL, ANCH, ORI)
 
@@ -318,8 +327,8 @@ O["border_split"] = sql(
 _W = "WINDOW w AS (PARTITION BY fiber ORDER BY seq)"
 O["curve_diff"] = sql(f"SELECT * FROM (SELECT fiber AS curve,seq,{','.join(f'lead({c}) OVER w-{c} AS d{c}' for c in 'zyx')} FROM sk {_W}) WHERE dz IS NOT NULL", SK)
 O["curve_tangent"] = sql("SELECT fiber AS curve,seq,round(oz,6) AS tz,round(oy,6) AS ty,round(ox,6) AS tx FROM ori", SK, ORI)
-TURN = (SK, f"tu AS MATERIALIZED (SELECT fiber AS curve,seq,least(greatest((az*bz+ay*by+ax*bx)/(greatest(sqrt(az*az+ay*ay+ax*ax),1e-8)*greatest(sqrt(bz*bz+by*by+bx*bx),1e-8)),-1.0),1.0) AS c FROM (SELECT fiber,seq,"
-        + ",".join(f"({c}-lag({c}) OVER w)::DOUBLE AS a{c},(lead({c}) OVER w-{c})::DOUBLE AS b{c}" for c in "zyx") + f" FROM sk {_W}) WHERE az IS NOT NULL AND bz IS NOT NULL)")
+TURN = (SK, f"tu AS MATERIALIZED (SELECT fiber AS curve,seq,least(greatest((az*ez+ay*ey+ax*ex)/(greatest(sqrt(az*az+ay*ay+ax*ax),1e-8)*greatest(sqrt(ez*ez+ey*ey+ex*ex),1e-8)),-1.0),1.0) AS c FROM (SELECT fiber,seq,"
+        + ",".join(f"({c}-lag({c}) OVER w)::DOUBLE AS a{c},(lead({c}) OVER w-{c})::DOUBLE AS e{c}" for c in "zyx") + f" FROM sk {_W}) WHERE az IS NOT NULL AND ez IS NOT NULL)")
 O["turn_angles"] = sql("SELECT curve,seq,round(c,6) AS cos_turn FROM tu", *TURN)
 O["sharp_bends"] = sql(f"SELECT curve,count(*) FILTER (c<{_S55}) AS n_sharp FROM tu GROUP BY 1", *TURN)
 O["segment_self_cost"] = sql(f"""SELECT curve,n,round(cc,5) AS curvature_cost,round(sc,5) AS sharp_cost,round(-0.10::DOUBLE*n+cc+sc+CASE WHEN n>=12 THEN 0.0 ELSE 200.0/greatest(n,1)::DOUBLE END,5) AS self_cost FROM (
@@ -350,7 +359,7 @@ def _smooth(sigma, mode):
     else:
         idx = "CASE WHEN s.seq+o.d<0 THEN -1-(s.seq+o.d) WHEN s.seq+o.d>=s.n THEN 2*s.n-1-(s.seq+o.d) ELSE s.seq+o.d END"
     vals = ",".join(f"({k - r},{w[k]!r}::DOUBLE)" for k in range(2 * r + 1))
-    return sql(f"""SELECT curve,seq,{','.join(f'round(sum(t.{c}*w),6) AS {c}' for c in 'zyx')} FROM (SELECT s.fiber AS curve,s.seq,{idx} AS j,o.w FROM (SELECT *,count(*) OVER (PARTITION BY fiber) AS n FROM sk) s,(VALUES {vals}) o(d,w)) q JOIN sk t ON t.fiber=q.curve AND t.seq=q.j GROUP BY 1,2""", SK)
+    return sql(f"""SELECT curve,q.seq AS seq,{','.join(f'round(sum(t.{c}*w),6) AS {c}' for c in 'zyx')} FROM (SELECT s.fiber AS curve,s.seq,{idx} AS j,o.w FROM (SELECT *,count(*) OVER (PARTITION BY fiber) AS n FROM sk) s,(VALUES {vals}) o(d,w)) q JOIN sk t ON t.fiber=q.curve AND t.seq=q.j GROUP BY 1,2""", SK)
 
 
 O["gaussian_1d"] = _smooth(1.2, "nearest")
@@ -375,17 +384,32 @@ _NEAR3 = "n3 AS MATERIALIZED (SELECT f.vid,s.fiber,min((f.z-s.z)**2+(f.y-s.y)**2
 O["crossing_dip"] = sql("""SELECT vid,round(sqrt(q1),6) AS d1,round(sqrt(q2),6) AS d2,round(1.5::DOUBLE*exp(-(sqrt(q1)*sqrt(q1)+sqrt(q2)*sqrt(q2))/4.5::DOUBLE),6) AS dip FROM (SELECT vid,l[1] AS q1,l[2] AS q2 FROM (SELECT vid,list_sort(list(q)) AS l FROM n3 GROUP BY 1) WHERE len(l)>1)""", *FG, _NEAR3)
 O["analytic_field"] = sql("""SELECT vid,curve,round(d1,6) AS d1,round(d2,6) AS d2,round(least(greatest(CASE WHEN exp(-(d1*d1)/2.0)<1e-4 THEN 0 ELSE exp(-(d1*d1)/2.0) END-1.5::DOUBLE*CASE WHEN d1<=3 AND d2<=3 THEN exp(-(d1*d1+d2*d2)/4.5::DOUBLE) ELSE 0 END,-1.0),1.0),6) AS intensity FROM (
  SELECT vid,arg_min(fiber,r) AS curve,sqrt(min(q)) AS d1,coalesce(sqrt(min(CASE WHEN fiber<>f1 THEN q END)),999.0) AS d2 FROM (SELECT *,first_value(fiber) OVER (PARTITION BY vid ORDER BY r) AS f1 FROM n8) GROUP BY vid)""",
-                          *FG8, "n8 AS MATERIALIZED (SELECT * FROM (SELECT f.vid,s.fiber,s.seq,(f.z-s.z)**2+(f.y-s.y)**2+(f.x-s.x)**2 AS q,row_number() OVER (PARTITION BY f.vid ORDER BY (f.z-s.z)**2+(f.y-s.y)**2+(f.x-s.x)**2,s.fiber,s.seq) AS r FROM fg f JOIN (SELECT *,unnest([-1,0,1]) AS a FROM (SELECT *,unnest([-1,0,1]) AS b FROM (SELECT *,unnest([-1,0,1]) AS c FROM sk8))) s ON f.z//24=s.z//24+s.a AND f.y//24=s.y//24+s.b AND f.x//24=s.x//24+s.c) WHERE r<=8)")
+                          *FG8, "n8 AS MATERIALIZED (SELECT * FROM (SELECT f.vid,s.fiber,s.seq,(f.z-s.z)**2+(f.y-s.y)**2+(f.x-s.x)**2 AS q,row_number() OVER (PARTITION BY f.vid ORDER BY (f.z-s.z)**2+(f.y-s.y)**2+(f.x-s.x)**2,s.fiber,s.seq) AS r FROM fg f JOIN (SELECT *,unnest([-1,0,1]) AS a FROM (SELECT *,unnest([-1,0,1]) AS b FROM (SELECT *,unnest([-1,0,1]) AS c FROM sk8))) s ON f.z//12=s.z//12+s.a AND f.y//12=s.y//12+s.b AND f.x//12=s.x//12+s.c) WHERE r<=8)")
 _PM = lambda c: f"({c}-floor({c}/64.0)*64.0)"
 SPINE = (SK, ORI, _dense("sp0", 3, "ori", ("z", "y", "x", "oz", "oy", "ox")), "sp AS MATERIALIZED (SELECT *,CASE WHEN sqrt(oz*oz+oy*oy+ox*ox)=0 THEN 1.0 ELSE sqrt(oz*oz+oy*oy+ox*ox) END AS nn FROM sp0)")
 O["spine_points"] = sql("SELECT curve,seq," + ",".join(f"round({_PM(c)},5) AS {c}" for c in "zyx") + "," + ",".join(f"round(o{c}/nn,5) AS t{c}" for c in "zyx") + " FROM sp", *SPINE)
 _PI = lambda c: f"((round_even({c},0)::INTEGER%64)+64)%64"
 O["rasterised_curves"] = sql(f"SELECT {VID('z', 'y', 'x')} AS vid,z,y,x,max(curve) AS label FROM (SELECT curve,{','.join(f'{_PI(c)} AS {c}' for c in 'zyx')} FROM sp) GROUP BY z,y,x", *SPINE)
-O["flip_field"] = sql(f"SELECT {VID('z', 'y', '4095-x')} AS vid,z,y,4095-x AS x,round(oz,6) AS oz,round(oy,6) AS oy,round(-ox,6) AS ox FROM ori", SK, ORI)
-O["rotate_field"] = sql(f"SELECT {VID('z', 'x', '4095-y')} AS vid,z,x AS y,4095-y AS x,round(oz,6) AS oz,round(ox,6) AS oy,round(-oy,6) AS ox FROM ori", SK, ORI)
+def _seg(i, k):
+    """Distance, foot point and arc on the segment between rows i and k of a curve."""
+    v = [f"({k}{c}-{i}{c})" for c in "zyx"]
+    w = [f"(q{c}-{i}{c})" for c in "zyx"]
+    t = f"least(greatest(({'+'.join(f'{a}*{b}' for a, b in zip(w, v))})/({'+'.join(f'{a}*{a}' for a in v)}+1e-8),0.0),1.0)"
+    return t
+
+
+_PJ = lambda i, k, t: "{" + ",".join([f"'d2':{'+'.join(f'(q{c}-({i}{c}+{t}*({k}{c}-{i}{c})))**2' for c in 'zyx')}"] + [f"'p{c}':{i}{c}+{t}*({k}{c}-{i}{c})" for c in ("z", "y", "x", "arc")]) + "}"
+O["projected_points"] = sql("SELECT vid,curve,round(s.pz,4) AS pz,round(s.py,4) AS py,round(s.px,4) AS px,round(s.parc,4) AS arc,round(s.d2,4) AS d2 FROM (SELECT vid,curve,CASE WHEN sb.d2<sa.d2 THEN sb ELSE sa END AS s FROM ("
+                            f"SELECT vid,curve,CASE WHEN az IS NULL THEN {_PJ('m', 'b', 'tb')} ELSE {_PJ('a', 'm', 'ta')} END AS sa,CASE WHEN bz IS NULL THEN {_PJ('a', 'm', 'ta')} ELSE {_PJ('m', 'b', 'tb')} END AS sb FROM (SELECT *,{_seg('a', 'm')} AS ta,{_seg('m', 'b')} AS tb FROM jn)))",
+                            *FG, ARC,
+                            "nn AS MATERIALIZED (SELECT f.vid,f.z AS qz,f.y AS qy,f.x AS qx,s.fiber,s.seq,row_number() OVER (PARTITION BY f.vid ORDER BY abs(f.z-s.z)+abs(f.y-s.y)+abs(f.x-s.x),s.fiber,s.seq) AS r FROM sk s CROSS JOIN ball JOIN fg f ON f.vid=s.vid+ball.d)",
+                            f"nb AS MATERIALIZED (SELECT fiber,seq,{','.join(f'{c}::DOUBLE AS m{c},(lag({c}) OVER w)::DOUBLE AS a{c},(lead({c}) OVER w)::DOUBLE AS b{c}' for c in ('z', 'y', 'x', 'arc'))} FROM ar {_W})",
+                            "jn AS MATERIALIZED (SELECT nn.vid,qz,qy,qx,nb.fiber AS curve,nb.* EXCLUDE (fiber,seq) FROM nn JOIN nb USING (fiber,seq) WHERE r=1)")
+O["flip_field"] = sql(f"SELECT {VID('z', 'y', '4095-x')} AS vid,z,y,4095-x AS x,round(oz,6)+0.0::DOUBLE AS oz,round(oy,6)+0.0::DOUBLE AS oy,round(-ox,6)+0.0::DOUBLE AS ox FROM ori", SK, ORI)
+O["rotate_field"] = sql(f"SELECT {VID('z', 'x', '4095-y')} AS vid,z,x AS y,4095-y AS x,round(oz,6)+0.0::DOUBLE AS oz,round(ox,6)+0.0::DOUBLE AS oy,round(-oy,6)+0.0::DOUBLE AS ox FROM ori", SK, ORI)
 _NW = lambda c: f"((n{c}+CASE WHEN n{c}>=16 THEN (8-(n{c}-16)%8)%8 ELSE 16-n{c} END)-16)//8"
 _WC = lambda c: f"q{c} AS MATERIALIZED (SELECT range*8 AS o{c},range AS w{c} FROM range(0,(SELECT {_NW(c)}+1 FROM m)))"
-O["overlap_add"] = sql(f"""SELECT {VID('z', 'y', 'x')} AS vid,z,y,x,round(sum(w*v)/greatest(sum(w),1e-6),6) AS v FROM (SELECT s.z,s.y,s.x,s.intensity*(1.0+(wz+wy+wx)%3) AS v,exp((0.75-({'+'.join(f'(s.{c}-o{c}-7.5::DOUBLE)**2' for c in 'zyx')}))/32.0::DOUBLE) AS w
+O["overlap_add"] = sql(f"""SELECT {VID('z', 'y', 'x')} AS vid,z,y,x,round(sum(w*v)/greatest(sum(w),1e-6),7) AS v FROM (SELECT s.z,s.y,s.x,s.intensity*(1.0+(wz+wy+wx)%3) AS v,exp((0.75-({'+'.join(f'(s.{c}-o{c}-7.5::DOUBLE)**2' for c in 'zyx')}))/32.0::DOUBLE) AS w
  FROM sk s JOIN qz ON s.z>=oz AND s.z<oz+16 JOIN qy ON s.y>=oy AND s.y<oy+16 JOIN qx ON s.x>=ox AND s.x<ox+16) GROUP BY z,y,x""", SK, _M, _WC("z"), _WC("y"), _WC("x"))
 O["sliding_predict"] = sql("SELECT vid,z,y,x,round(sqrt(intensity),6) AS c0 FROM sk", SK)
 
