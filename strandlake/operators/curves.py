@@ -150,7 +150,7 @@ def smooth(df: DataFrame, sigma: float, mode: str = "nearest", curve="curve", se
     """1-D Gaussian along each curve. Ends: ``nearest`` repeats the end point, ``reflect`` mirrors it.
 
     Points are scattered to the 2R+1 positions they contribute to; mirrored or repeated positions fold
-    back onto the end they belong to. Weighted sums use nine-decimal fixed point.
+    back onto the end they belong to. Weighted sums use fixed point of eleven decimals.
     """
     from strandlake.operators.stencil import gaussian_weights
 
@@ -175,8 +175,8 @@ def smooth(df: DataFrame, sigma: float, mode: str = "nearest", curve="curve", se
     m = base.withColumn("_p", img).withColumn("_o", d).withColumn("_t", F.col("_p") + F.col("_o.d"))
     m = m.filter((F.col("_t") >= 0) & (F.col("_t") < F.col("n")))
     g = m.groupBy(curve, F.col("_t").alias(seq)).agg(*[
-        F.sum(F.bround(F.col(c).cast("double") * F.col("_o.w") * 1e9).cast("long")).alias(c) for c in AX])
-    return g.select(curve, seq, *[(F.col(c) / F.lit(1e9)).alias(c) for c in AX])
+        F.sum(F.bround(F.col(c).cast("double") * F.col("_o.w") * 1e11).cast("long")).alias(c) for c in AX])
+    return g.select(curve, seq, *[(F.col(c) / F.lit(1e11)).alias(c) for c in AX])
 
 
 def middle_slice(df: DataFrame, fraction: float = 0.06, at_least: int = 3, curve="curve", seq="seq") -> DataFrame:

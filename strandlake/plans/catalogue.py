@@ -562,7 +562,7 @@ def gaussian_1d(s, d):
 
 @query
 def gaussian_1d_reflect(s, d):
-    return rounded(curves.smooth(_curve(s, d), 1.0, "reflect"), ["z", "y", "x"])
+    return rounded(curves.smooth(_curve(s, d), 1.0, "reflect"), ["z", "y", "x"], 5)
 
 
 @query

@@ -144,7 +144,9 @@ O["junction_clusters"] = sql("SELECT v AS vid,l AS comp FROM ccj", *BASE, E_JUNC
 def _fgcc(sk):
     return (f"ow AS MATERIALIZED (SELECT DISTINCT f.vid,s.fiber FROM {sk} s CROSS JOIN ball JOIN fg f ON f.vid=s.vid+ball.d)",
             "mo AS MATERIALIZED (SELECT vid,min(fiber) AS fiber FROM ow GROUP BY 1)",
-            "ff AS MATERIALIZED (SELECT DISTINCT a.fiber AS a,b.fiber AS b FROM mo a CROSS JOIN off JOIN mo b ON b.vid=a.vid+off.d WHERE a.fiber<>b.fiber UNION SELECT DISTINCT a.fiber,b.fiber FROM ow a JOIN ow b USING (vid) WHERE a.fiber<>b.fiber)",
+            "mt0 AS MATERIALIZED (SELECT a.fiber,a.vid+off.d AS t FROM mo a CROSS JOIN off)",
+            "mt1 AS MATERIALIZED (SELECT m.fiber AS a,b.fiber AS b FROM mt0 m JOIN mo b ON b.vid=m.t)",
+            "ff AS MATERIALIZED (SELECT DISTINCT a,b FROM mt1 WHERE a<>b UNION SELECT DISTINCT a.fiber,b.fiber FROM ow a JOIN ow b USING (vid) WHERE a.fiber<>b.fiber)",
             f"fn AS MATERIALIZED (SELECT DISTINCT fiber AS vid FROM {sk})", _cc("cw", "fn", "ff"),
             "ccf AS MATERIALIZED (SELECT o.vid AS v,min(o.vid) OVER (PARTITION BY c.l) AS l FROM mo o JOIN cw c ON c.v=o.fiber)")
 
@@ -363,7 +365,7 @@ def _smooth(sigma, mode):
 
 
 O["gaussian_1d"] = _smooth(1.2, "nearest")
-O["gaussian_1d_reflect"] = _smooth(1.0, "reflect")
+O["gaussian_1d_reflect"] = _smooth(1.0, "reflect").replace("*w),6)", "*w),5)")
 O["middle_slice"] = sql("SELECT fiber AS curve,seq FROM (SELECT *,count(*) OVER (PARTITION BY fiber) AS n FROM sk) WHERE seq>=greatest(3,floor(n*0.06::DOUBLE)) AND seq<n-greatest(3,floor(n*0.06::DOUBLE))", SK)
 _FC = [(c, m) for c in "zyx" for m in (0, 69)]
 _near = lambda which: "CASE " + " ".join(f"WHEN abs({c}-{m})<=least({','.join(f'abs({a}-{b})' for a, b in _FC)}) THEN CASE WHEN abs({c}-{m})<=2.5 AND abs(o{c})>=0.20 THEN '{c}_{'max' if m else 'min'}' END" for c, m in _FC) + " END"
@@ -400,10 +402,10 @@ def _seg(i, k):
 
 _PJ = lambda i, k, t: "{" + ",".join([f"'d2':{'+'.join(f'(q{c}-({i}{c}+{t}*({k}{c}-{i}{c})))**2' for c in 'zyx')}"] + [f"'p{c}':{i}{c}+{t}*({k}{c}-{i}{c})" for c in ("z", "y", "x", "arc")]) + "}"
 O["projected_points"] = sql("SELECT vid,curve,round(s.pz,4) AS pz,round(s.py,4) AS py,round(s.px,4) AS px,round(s.parc,4) AS arc,round(s.d2,4) AS d2 FROM (SELECT vid,curve,CASE WHEN sb.d2<sa.d2 THEN sb ELSE sa END AS s FROM ("
-                            f"SELECT vid,curve,CASE WHEN az IS NULL THEN {_PJ('m', 'b', 'tb')} ELSE {_PJ('a', 'm', 'ta')} END AS sa,CASE WHEN bz IS NULL THEN {_PJ('a', 'm', 'ta')} ELSE {_PJ('m', 'b', 'tb')} END AS sb FROM (SELECT *,{_seg('a', 'm')} AS ta,{_seg('m', 'b')} AS tb FROM jn)))",
+                            f"SELECT vid,curve,CASE WHEN az IS NULL THEN {_PJ('m', 'n', 'tb')} ELSE {_PJ('a', 'm', 'ta')} END AS sa,CASE WHEN nz IS NULL THEN {_PJ('a', 'm', 'ta')} ELSE {_PJ('m', 'n', 'tb')} END AS sb FROM (SELECT *,{_seg('a', 'm')} AS ta,{_seg('m', 'n')} AS tb FROM jn)))",
                             *FG, ARC,
                             "nn AS MATERIALIZED (SELECT f.vid,f.z AS qz,f.y AS qy,f.x AS qx,s.fiber,s.seq,row_number() OVER (PARTITION BY f.vid ORDER BY abs(f.z-s.z)+abs(f.y-s.y)+abs(f.x-s.x),s.fiber,s.seq) AS r FROM sk s CROSS JOIN ball JOIN fg f ON f.vid=s.vid+ball.d)",
-                            f"nb AS MATERIALIZED (SELECT fiber,seq,{','.join(f'{c}::DOUBLE AS m{c},(lag({c}) OVER w)::DOUBLE AS a{c},(lead({c}) OVER w)::DOUBLE AS b{c}' for c in ('z', 'y', 'x', 'arc'))} FROM ar {_W})",
+                            f"nb AS MATERIALIZED (SELECT fiber,seq,{','.join(f'{c}::DOUBLE AS m{c},(lag({c}) OVER w)::DOUBLE AS a{c},(lead({c}) OVER w)::DOUBLE AS n{c}' for c in ('z', 'y', 'x', 'arc'))} FROM ar {_W})",
                             "jn AS MATERIALIZED (SELECT nn.vid,qz,qy,qx,nb.fiber AS curve,nb.* EXCLUDE (fiber,seq) FROM nn JOIN nb USING (fiber,seq) WHERE r=1)")
 O["flip_field"] = sql(f"SELECT {VID('z', 'y', '4095-x')} AS vid,z,y,4095-x AS x,round(oz,6)+0.0::DOUBLE AS oz,round(oy,6)+0.0::DOUBLE AS oy,round(-ox,6)+0.0::DOUBLE AS ox FROM ori", SK, ORI)
 O["rotate_field"] = sql(f"SELECT {VID('z', 'x', '4095-y')} AS vid,z,x AS y,4095-y AS x,round(oz,6)+0.0::DOUBLE AS oz,round(ox,6)+0.0::DOUBLE AS oy,round(-oy,6)+0.0::DOUBLE AS ox FROM ori", SK, ORI)

@@ -68,3 +68,82 @@ def resolve_skeleton(skel: DataFrame, field: DataFrame, p: Params = Params(), sh
     ranked = ranked_chains(chain, p.min_chain_length)
     labels = labelled_skeleton(fv, members, ranked, taken)
     return Resolved(skel, frags, fv, ends, cands, taken, chain, members, labels)
+
+
+def field_to_skeleton(field: DataFrame, shape, p: Params = Params()) -> DataFrame:
+    """Smooth the intensity, threshold it, thin it, prune spurs."""
+    from strandlake.grid import with_vid
+    from strandlake.operators.stencil import gaussian3d, prune_spurs
+    from strandlake.operators.thinning import skeletonize
+
+    f = field.filter(F.col("intensity") != 0).select("z", "y", "x", "intensity")
+    if p.smooth_sigma > 0:
+        f = gaussian3d(f, "intensity", p.smooth_sigma, shape)
+    core = with_vid(f.filter(F.col("intensity") >= p.core_threshold).select("z", "y", "x"))
+    return prune_spurs(skeletonize(core), p.spur_rounds)
+
+
+def run_direct(field: DataFrame, shape, p: Params = Params()) -> dict[str, DataFrame]:
+    """Whole-volume run: thin, crop the border, resolve, diffuse. ``field``: vid, z, y, x, vol, intensity, o*."""
+    from strandlake.operators.chunks import crop
+
+    skel = materialize(field_to_skeleton(field, shape, p))
+    if p.cut_border:
+        skel, _ = crop(skel, shape, p.cut_border)
+        field, shape = crop(field, shape, p.cut_border)
+    field = materialize(field)
+    r = resolve_skeleton(skel, field, p, shape)
+    labels = materialize(r.labels)
+    from strandlake.operators.diffuse import foreground
+
+    vol = diffuse(foreground(field, labels, p), labels, p)
+    return {"skeleton": labels, "volume": vol, "chains": r.chains, "bridges": r.bridges, "fragments": r.fragments}
+
+
+def run_chunked(field: DataFrame, shape, p: Params = Params()) -> dict[str, DataFrame]:
+    """Overlapping chunks resolved on their own, then stitched by overlap consensus.
+
+    All chunks run in one plan: each chunk's copy is moved to its own place on a wide grid, far enough
+    from the next that nothing can interact, and the direct operators run once over all of them.
+    The border is cropped first; chunks whose intensity stays below the core threshold are skipped.
+    """
+    from strandlake.grid import with_vid
+    from strandlake.operators.chunks import assign_chunks, axis_starts, consensus_ids, consensus_matches, crop, stitch
+    from strandlake.operators.diffuse import foreground
+    from strandlake.operators.thinning import skeletonize
+    from strandlake.operators.stencil import gaussian3d, prune_spurs
+
+    if p.cut_border:
+        field, shape = crop(field, shape, p.cut_border)
+    size, ov = p.chunk_size, p.chunk_overlap
+    axes = [axis_starts(n, size, ov) for n in shape]
+    gap = size + int(p.max_gap) + 64
+    if max(len(a) for a in axes) * gap >= 1 << 21:
+        raise ValueError("too many chunks along one axis; raise chunk_size")
+    c = assign_chunks(field, shape, size, ov)
+    live = c.groupBy("chunk").agg(F.max("intensity").alias("m")).filter(F.col("m") >= p.core_threshold).select("chunk")
+    c = c.join(live, "chunk", "left_semi")
+    ny, nx = len(axes[1]), len(axes[2])
+    idx = {"z": F.floor(F.col("chunk") / (ny * nx)), "y": F.floor(F.col("chunk") / nx) % ny, "x": F.col("chunk") % nx}
+    start = {k: F.element_at(F.array(*[F.lit(s) for s in a]), (idx[k] + 1).cast("int")) for k, a in zip("zyx", axes)}
+    spread = with_vid(c.withColumns({k: (F.col(k) - start[k] + idx[k] * gap).cast("int") for k in "zyx"}))
+    spread = materialize(spread)
+    wide = tuple(len(a) * gap for a in axes)
+    f = gaussian3d(spread.filter(F.col("intensity") != 0), "intensity", p.smooth_sigma, wide) if p.smooth_sigma > 0 else spread
+    core = with_vid(f.filter(F.col("intensity") >= p.core_threshold).select("z", "y", "x"))
+    skel = materialize(prune_spurs(skeletonize(core), p.spur_rounds))
+    # a smoothed value may leak past a chunk's box by two voxels; it has no counterpart there
+    skel = materialize(skel.join(spread.select("vid"), "vid", "left_semi").select("vid", "z", "y", "x"))
+    r = resolve_skeleton(skel, spread, p, wide)
+    labels = materialize(r.labels)
+    vol = diffuse(foreground(spread, labels, p), labels, p)
+
+    def home(df):
+        q = {k: F.floor(F.col(k) / gap) for k in "zyx"}
+        chunk = (q["z"] * ny + q["y"]) * nx + q["x"]
+        at = {k: F.element_at(F.array(*[F.lit(s) for s in a]), (q[k] + 1).cast("int")) for k, a in zip("zyx", axes)}
+        return with_vid(df.select(chunk.cast("long").alias("chunk"), *[(F.col(k) - q[k] * gap + at[k]).cast("int").alias(k) for k in "zyx"], "label"))
+
+    hv, hs = materialize(home(vol)), materialize(home(labels))
+    ids = materialize(consensus_ids(hv, consensus_matches(hv, shape, size, ov, p.min_overlap_ratio)))
+    return {"volume": stitch(hv, ids), "skeleton": stitch(hs, ids), "ids": ids}
