@@ -149,25 +149,36 @@ def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:
     return [v / s for v in w]
 
 
-def gaussian3d(field: DataFrame, value: str, sigma: float, shape: tuple[int, int, int]) -> DataFrame:
+def gaussian3d(field: DataFrame, value: str, sigma: float, shape: tuple[int, int, int],
+               cells: tuple[int, list[list[int]]] | None = None) -> DataFrame:
     """Separable 3-D Gaussian of a sparse field (absent = 0), reflecting borders.
 
-    Three passes of one axis each: (2R+1) targets per row instead of (2R+1)^3.
+    Three passes of one axis each: (2R+1) targets per row instead of (2R+1)^3. With ``cells`` =
+    (pitch, sides per axis), the volume is a lattice of separate boxes: box i of an axis starts at
+    i * pitch, is sides[axis][i] wide, and reflects at its own borders.
     """
     w = gaussian_weights(sigma)
     r = len(w) // 2
     out = field.select("z", "y", "x", F.col(value).cast("double").alias(value))
     for k, axis in enumerate("zyx"):
-        one = [1, 1, 1]
-        one[k] = shape[k]
-        c, n = F.col(axis), shape[k]
-        images = F.array(c, F.when(c < r, -1 - c), F.when(c >= n - r, F.lit(2 * n - 1) - c))
+        c = F.col(axis)
+        if cells is None:
+            local, n = c, F.lit(shape[k])
+        else:
+            local = c % cells[0]
+            n = F.element_at(F.array(*[F.lit(v) for v in cells[1][k]]), (F.floor(c / cells[0]) + 1).cast("int"))
+        base = c - local
+        images = F.array(c, F.when(local < r, base - 1 - local), F.when(local >= n - r, base + 2 * n - 1 - local))
         m = out.withColumn(axis, F.explode(F.array_compact(images))).withColumn(axis, (F.col(axis) + r).cast("int"))
         m = m.withColumn("vid", pack("z", "y", "x"))
         offs = [tuple((d if i == k else 0) for i in range(3)) for d in range(-r, r + 1)]
         d = F.coalesce(*[F.when(F.col("off.d" + axis) == dd, F.lit(w[dd + r])) for dd in range(-r, r + 1)])
         s = scatter(m, offs, [value]).groupBy("tile", "target").agg(F.sum(d * F.col(value)).alias(value))
         z, y, x = zyx("target")
-        out = s.select(z, y, x, value).withColumn(axis, F.col(axis) - r)
-        out = out.filter((F.col(axis) >= 0) & (F.col(axis) < n))
+        out = s.select(z, y, x, value).withColumn(axis, F.col(axis) - r).filter(F.col(axis) >= 0)
+        if cells is None:
+            out = out.filter(F.col(axis) < shape[k])
+        else:
+            out = out.filter((F.col(axis) % cells[0]) < F.element_at(
+                F.array(*[F.lit(v) for v in cells[1][k]]), F.least(F.floor(F.col(axis) / cells[0]) + 1, F.lit(len(cells[1][k]))).cast("int")))
     return out.withColumn("vid", pack("z", "y", "x")).select("vid", "z", "y", "x", value)

@@ -129,11 +129,12 @@ def run_chunked(field: DataFrame, shape, p: Params = Params()) -> dict[str, Data
     spread = with_vid(c.withColumns({k: (F.col(k) - start[k] + idx[k] * gap).cast("int") for k in "zyx"}))
     spread = materialize(spread)
     wide = tuple(len(a) * gap for a in axes)
-    f = gaussian3d(spread.filter(F.col("intensity") != 0), "intensity", p.smooth_sigma, wide) if p.smooth_sigma > 0 else spread
+    f = spread
+    if p.smooth_sigma > 0:
+        sides = [[min(size, n - s) for s in a] for a, n in zip(axes, shape)]
+        f = gaussian3d(spread.filter(F.col("intensity") != 0), "intensity", p.smooth_sigma, wide, (gap, sides))
     core = with_vid(f.filter(F.col("intensity") >= p.core_threshold).select("z", "y", "x"))
     skel = materialize(prune_spurs(skeletonize(core), p.spur_rounds))
-    # a smoothed value may leak past a chunk's box by two voxels; it has no counterpart there
-    skel = materialize(skel.join(spread.select("vid"), "vid", "left_semi").select("vid", "z", "y", "x"))
     r = resolve_skeleton(skel, spread, p, wide)
     labels = materialize(r.labels)
     vol = diffuse(foreground(spread, labels, p), labels, p)
