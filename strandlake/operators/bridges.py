@@ -10,6 +10,7 @@ from strandlake.grid import pack
 from strandlake.operators.costs import bridge_cost
 from strandlake.operators.ranges import pairs_within
 from strandlake.params import Params
+from strandlake.session import materialize
 
 
 def end_pairs(ends: DataFrame, max_gap: float) -> DataFrame:
@@ -46,6 +47,7 @@ def bridge_candidates(ends: DataFrame, field: DataFrame, shape: tuple[int, int,
     c = c.withColumns({f"o{k}_b": -F.col(f"o{k}_b") for k in "zyx"})
     c = c.select("frag_a", "end_a", "vid_a", "frag_b", "end_b", "vid_b", "gap", "mutual", "cos_a", "cos_b",
                  *[F.col(f"{v}{k}{s}") for s in ("_a", "_b") for v in ("", "o") for k in "zyx"], "gz", "gy", "gx")
+    c = materialize(c)   # read three times below; the pair search should run once
     near = c.filter("gap <= 2").withColumns({
         "durable": F.lit(1.0),
         **{f"s{k}": F.col(f"o{k}_a") + F.col(f"o{k}_b") for k in "zyx"}, "n_samples": F.lit(2)})

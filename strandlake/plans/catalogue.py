@@ -838,3 +838,55 @@ def masked_crops(s, d):
     from strandlake.operators.donors import masked_crops as f
 
     return f(_labelled_fg(s, d), 2).select("label", "z", "y", "x")
+
+
+# ---- kernels on bounded groups ---------------------------------------------------------------
+
+@query
+def thinned_foreground(s, d):
+    from strandlake.operators.thinning import skeletonize
+
+    return skeletonize(lift.foreground(s, d, 8))
+
+
+@query
+def curve_order(s, d):
+    from strandlake.operators.donors import order_points
+
+    return order_points(lift.skeleton(s, d).select(F.col("fiber").alias("label"), "z", "y", "x"), "export")
+
+
+def _patches(s, d, side):
+    """The foreground cut into cubes: patch id and coordinates inside the patch."""
+    fg = lift.foreground(s, d, 8)
+    pid = pack(*[F.floor(F.col(c) / side) for c in "zyx"])
+    return fg.select(pid.alias("patch"), *[(F.col(c) % side).cast("int").alias(c) for c in "zyx"])
+
+
+@query
+def distance_transform(s, d):
+    from strandlake.operators.patches import edt
+
+    return rounded(edt(_patches(s, d, 24), 24), ["dt"])
+
+
+@query
+def routed_curves(s, d):
+    """One route per fibre and patch, between its first and last voxel there."""
+    from strandlake.operators.patches import edt, route_seeds
+
+    side = 12
+    dt = edt(_patches(s, d, side), side)
+    pid = pack(*[F.floor(F.col(c) / side) for c in "zyx"])
+    sk = lift.skeleton(s, d, 8).select(pid.alias("patch"), F.col("fiber").cast("int").alias("fiber"), "seq", *[(F.col(c) % side).cast("int").alias(c) for c in "zyx"])
+    g = sk.groupBy("patch", "fiber").agg(F.min(F.struct("seq", "z", "y", "x")).alias("a"), F.max(F.struct("seq", "z", "y", "x")).alias("b"))
+    seeds = g.filter("a.seq < b.seq").select("patch", "fiber", F.explode(F.array("a", "b")).alias("p")).select(
+        "patch", "fiber", F.col("p.seq").alias("ord"), "p.z", "p.y", "p.x", F.lit(False).alias("way"))
+    return route_seeds(dt, seeds, side)
+
+
+@query
+def label_seeds(s, d):
+    from strandlake.operators.patches import seeds_from_labels
+
+    return seeds_from_labels(lift.skeleton(s, d).select(F.col("fiber").alias("label"), "z", "y", "x"), 96)

@@ -445,4 +445,9 @@ _P = "concat('patch_',lpad({}::VARCHAR,4,'0'))"
 O["patch_status"] = f"SELECT patch,coalesce(n,0) AS n_stamps,CASE WHEN n IS NULL THEN 'missing' ELSE 'extracted' END AS status FROM (SELECT DISTINCT {_P.format('c_custkey')} AS patch FROM customer) LEFT JOIN (SELECT {_P.format('o_custkey')} AS patch,count(*) AS n FROM orders GROUP BY 1) USING (patch)"
 O["masked_crops"] = sql("SELECT label," + ",".join(f"({c}-greatest({c}0-2,0))::INTEGER AS {c}" for c in "zyx") + " FROM fg JOIN (SELECT label," + ",".join(f"min({c}) AS {c}0" for c in "zyx") + " FROM fg GROUP BY 1) USING (label)", *FGL)
 
+_IP = " AND ".join(f"p.{c}+o.{c} BETWEEN 0 AND 23" for c in "zyx")
+O["distance_transform"] = sql(f"SELECT patch,z,y,x,round(sqrt(min(q)::DOUBLE),6) AS dt FROM (SELECT p.patch,p.z,p.y,p.x,o.q FROM pa p JOIN o8 o ON {_IP} ANTI JOIN pa n ON n.patch=p.patch AND n.z=p.z+o.z AND n.y=p.y+o.y AND n.x=p.x+o.x) GROUP BY patch,z,y,x",
+                              *FG8, f"pa AS MATERIALIZED (SELECT {VID('z//24', 'y//24', 'x//24')} AS patch,{','.join(f'({c}%24)::INTEGER AS {c}' for c in 'zyx')} FROM fg)",
+                              "r8 AS (SELECT range AS v FROM range(-3,4))", "o8 AS MATERIALIZED (SELECT a.v AS z,b.v AS y,c.v AS x,a.v*a.v+b.v*b.v+c.v*c.v AS q FROM r8 a,r8 b,r8 c)")
+
 ORACLES = O

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,19 +29,27 @@ def get_spark(app: str = "strandlake", master: str | None = None, shuffle_partit
     return b.getOrCreate()
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not sc.master.startswith("local"):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one in local mode only."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and spark.sparkContext.getCheckpointDir() is not None:
+        folder = spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix=f"strandlake-ckpt-{os.getpid()}-")
-    sc.setCheckpointDir(shared)
+        folder = _LOCAL.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix=f"strandlake-{os.getpid()}-"))
+    return folder
 
 
-def materialize(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, which survives the loss of executors."""
-    _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager)
+_LOCAL: dict[str, str] = {}
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage: write the rows as a Parquet table in the shared folder and read it back.
+
+    Like a reliable checkpoint it survives the loss of executors. Unlike one, it keeps column pruning,
+    and its known size lets the planner broadcast what is small and shuffle what is not.
+    """
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/strandlake/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
