@@ -59,20 +59,18 @@ def rasterise(spine: DataFrame, shape) -> DataFrame:
 def dilate_by_radius(points: DataFrame, shape, radius: str = "r", reach: int = 6, fixed: float | None = None) -> DataFrame:
     """Periodic union of balls around (rounded) points; each point has its own radius, at most ``reach``.
 
-    Offsets are listed by distance, so a point takes just the leading ones its radius covers.
+    The ball is walked axis by axis, each range shrinking with what the axes before it used up.
     """
-    r = F.lit(float(fixed)) if fixed is not None else F.col(radius)
-    offs = sorted(ball_offsets(reach if fixed is None else fixed), key=lambda o: (o[0] ** 2 + o[1] ** 2 + o[2] ** 2, o))
-    arr = F.array(*[F.struct(F.lit(a).alias("z"), F.lit(b).alias("y"), F.lit(c).alias("x")) for a, b, c in offs])
-    d2 = [a * a + b * b + c * c for a, b, c in offs]
-    count = F.lit(0)
-    for q in sorted(set(d2)):
-        count = F.when(F.col("_r") >= math.sqrt(q), F.lit(sum(v <= q for v in d2))).otherwise(count)
+    r = F.lit(float(fixed)) if fixed is not None else F.least(F.col(radius), F.lit(float(reach)))
     base = points.select(*[F.bround(F.col(c)).cast("int").alias(c) for c in AX], r.alias("_r"))
     # one voxel keeps its largest ball only: duplicates go before the expansion
-    base = base.groupBy(*AX).agg(F.max("_r").alias("_r")).withColumn("_k", count).filter("_k > 0")
-    base = base.withColumn("_o", F.explode(F.slice(arr, F.lit(1), F.col("_k"))))
-    pos = [F.pmod(F.col(c) + F.col(f"_o.{c}"), F.lit(n)).cast("int").alias(c) for c, n in zip(AX, shape)]
+    base = base.groupBy(*AX).agg(F.max("_r").alias("_r"))
+    left = F.col("_r") * F.col("_r")
+    for c in AX:
+        k = F.floor(F.sqrt(F.greatest(left, F.lit(0.0))) + 1e-9).cast("int")
+        base = base.withColumn(f"_o{c}", F.explode(F.sequence(-k, k)))
+        left = left - F.col(f"_o{c}") * F.col(f"_o{c}")
+    pos = [F.pmod(F.col(c) + F.col(f"_o{c}"), F.lit(n)).cast("int").alias(c) for c, n in zip(AX, shape)]
     return base.select(*pos).distinct().withColumn("vid", pack("z", "y", "x"))
 
 
