@@ -12,6 +12,7 @@ from strandlake.grid import ball_offsets, pack
 from strandlake.operators.curves import AX, densify, tangents
 from strandlake.operators.ranges import nearest
 from strandlake.operators.stencil import median3
+from strandlake.session import materialize
 
 
 def spine_points(curves: DataFrame, factor: int = 12, domain: tuple[float, float, float] | None = None) -> DataFrame:
@@ -113,7 +114,8 @@ def augmented_volume(curves: DataFrame, shape, max_shift: float = 2.0, seed: int
     tn = safe(F.sqrt(dot(vec("t"), vec("t"))), 1e-300)
     d = d.withColumn("r", F.least(F.greatest(F.col("r") + wave + beads, F.lit(1.5)), F.lit(5.5))).withColumn("_n", tn)
     spine = d.select("curve", "seq", "r", *AX, *[(F.col(f"t{c}") / F.col("_n")).alias(f"t{c}") for c in AX])
-    vol = median3(dilate_by_radius(spine, shape), shape)
+    spine = materialize(spine)   # read by all three outputs
+    vol = materialize(median3(dilate_by_radius(spine, shape), shape))
     near = nearest(vol, spine.withColumn("sk", F.struct("curve", "seq")), "vid", "sk", period=tuple(map(float, shape)), carry=["tz", "ty", "tx"])
     return {"volume": vol, "centerline": dilate_by_radius(spine, shape, fixed=2.0), "spine": spine,
             "orientation": near.select("vid", F.col("tz").alias("oz"), F.col("ty").alias("oy"), F.col("tx").alias("ox"))}
