@@ -3,11 +3,13 @@
 from strandlake.llm.digest import op9_fingerprints
 from strandlake.llm.mixing import OP2_SQL, op2_mixing
 from strandlake.llm.packing import op3_packing
+from strandlake.llm.secrets import op4_secrets
 from strandlake.llm.simhash import op10_simhash
 
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_packing": op3_packing,
+    "op4_secrets": op4_secrets,
     "op9_fingerprints": op9_fingerprints,
     "op10_simhash": op10_simhash,
 }
