@@ -3,13 +3,17 @@
 from strandlake.llm.digest import op9_fingerprints
 from strandlake.llm.mixing import OP2_SQL, op2_mixing
 from strandlake.llm.packing import op3_packing
+from strandlake.llm.pii import op5_pii
 from strandlake.llm.secrets import op4_secrets
 from strandlake.llm.simhash import op10_simhash
+from strandlake.llm.toxicity import op8_toxicity
 
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_packing": op3_packing,
     "op4_secrets": op4_secrets,
+    "op5_pii": op5_pii,
+    "op8_toxicity": op8_toxicity,
     "op9_fingerprints": op9_fingerprints,
     "op10_simhash": op10_simhash,
 }
