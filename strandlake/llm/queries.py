@@ -7,15 +7,17 @@ from strandlake.llm.pii import op5_pii
 from strandlake.llm.secrets import op4_secrets
 from strandlake.llm.simhash import op10_simhash
 from strandlake.llm.toxicity import op8_toxicity
+from strandlake.llm.warc import OP6_SQL, op6_warc
 
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_packing": op3_packing,
     "op4_secrets": op4_secrets,
     "op5_pii": op5_pii,
+    "op6_warc": op6_warc,
     "op8_toxicity": op8_toxicity,
     "op9_fingerprints": op9_fingerprints,
     "op10_simhash": op10_simhash,
 }
 
-ORACLES = {"op2_mixing": OP2_SQL}
+ORACLES = {"op2_mixing": OP2_SQL, "op6_warc": OP6_SQL}
