@@ -1,6 +1,7 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
 from strandlake.llm.digest import op9_fingerprints
+from strandlake.llm.lines import op7_lines
 from strandlake.llm.mixing import OP2_SQL, op2_mixing
 from strandlake.llm.packing import op3_packing
 from strandlake.llm.pii import op5_pii
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_secrets": op4_secrets,
     "op5_pii": op5_pii,
     "op6_warc": op6_warc,
+    "op7_lines": op7_lines,
     "op8_toxicity": op8_toxicity,
     "op9_fingerprints": op9_fingerprints,
     "op10_simhash": op10_simhash,
