@@ -3,6 +3,7 @@
 from strandlake.llm.digest import op9_fingerprints
 from strandlake.llm.lines import op7_lines
 from strandlake.llm.mixing import OP2_SQL, op2_mixing
+from strandlake.llm.neighbours import op1_neighbours
 from strandlake.llm.packing import op3_packing
 from strandlake.llm.pii import op5_pii
 from strandlake.llm.secrets import op4_secrets
@@ -11,6 +12,7 @@ from strandlake.llm.toxicity import op8_toxicity
 from strandlake.llm.warc import OP6_SQL, op6_warc
 
 QUERIES = {
+    "op1_neighbours": op1_neighbours,
     "op2_mixing": op2_mixing,
     "op3_packing": op3_packing,
     "op4_secrets": op4_secrets,
