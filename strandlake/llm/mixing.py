@@ -83,6 +83,25 @@ def mix(sized: DataFrame, goal: DataFrame, seed: int = SEED) -> DataFrame:
     return rows.withColumn("taken", (whole * F.col("size") + part).cast("long")).drop("_h", "_b", "_s", "_c", "_start", "_in")
 
 
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = MOST_EPOCHS, seed: int = SEED) -> DataFrame:
+    """The documents of the mix, each as often as it is taken; the one at a source's limit is taken whole if over half of it is.
+
+    Documents without words cost nothing and are kept as often as their source is repeated whole (once at
+    least). Weights are met over words, so clean documents leave only where their source weighs too much.
+    """
+    light = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words().alias("size")))
+    goal = targets(light, weights, share, epochs)
+    names = docs.columns
+    rows = docs.select(F.struct(*names).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
+                       words().alias("size"))
+    taken = mix(rows, goal, seed)
+    whole = F.floor(F.col("taken") / F.greatest("size", F.lit(1)))
+    part = F.col("taken") - whole * F.col("size")
+    times = F.when(F.col("size") > 0, whole + (2 * part > F.col("size")).cast("long")).otherwise(
+        F.greatest(F.lit(1), F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(1))))
+    return taken.withColumn("_n", times).filter("_n > 0").select(F.explode(F.array_repeat("_row", F.col("_n").cast("int"))).alias("_row")).select("_row.*")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sized = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words().alias("size")))

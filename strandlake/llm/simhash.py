@@ -42,6 +42,13 @@ def fingerprint_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterat
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
 
+def named_prints(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """(id, hash, text) to (doc_id, k, fp)."""
+    for batch in batches:
+        got = next(fingerprint_batches(iter([pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], names=["doc_id", "text"])]), width))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), got.column(1)], names=["doc_id", "k", "fp"])
+
+
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp) of each row; no shuffle, whole texts, one text at a time in memory as words."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
@@ -90,10 +97,10 @@ def near_links(prints: DataFrame, max_bits: int, blocks: int | None = None, crow
     return pairs.union(stars.select("a", F.explode("all").alias("b")).filter("a < b")).distinct()
 
 
-def near_groups(prints: DataFrame, max_bits: int = 2) -> DataFrame:
+def near_groups(prints: DataFrame, max_bits: int = 2, blocks: int | None = None) -> DataFrame:
     """(fp, component_id) for every fingerprint: the smallest doc_id of all rows linked with it through any chain."""
     reps = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    roots = components(near_links(reps, max_bits), "a", "b").withColumnRenamed("node", "fp")
+    roots = components(near_links(reps, max_bits, blocks), "a", "b").withColumnRenamed("node", "fp")
     linked = roots.join(reps, "fp")
     least = linked.groupBy("root").agg(F.min("rep").alias("least"))
     linked = linked.join(least, "root").select("fp", "least")
@@ -106,6 +113,19 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 2, id_col:
     return prints.join(near_groups(prints, max_bits), "fp")
 
 
+def one_of_each(docs: DataFrame, width: int = 5, max_bits: int = 4, blocks: int = 7) -> DataFrame:
+    """The documents without near duplicates: of each component the row with the smallest id stays (nulls last, then by text hash).
+
+    Rows that are equal in id and text are copies: one of them stays. Only ids, hashes and fingerprints
+    take part in the search; texts move once, by their own id and hash.
+    """
+    named = [F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("_i"), F.xxhash64(text_or_empty()).alias("_k")]
+    prints = stored(docs.select(*named, text_or_empty().alias("text")).mapInArrow(lambda it: named_prints(it, width), "doc_id long, k long, fp long"))
+    keep = prints.join(near_groups(prints, max_bits, blocks), "fp").groupBy("component_id").agg(F.min(F.struct("doc_id", "k")).alias("x"))
+    keep = keep.select(F.col("x.doc_id").alias("_i"), F.col("x.k").alias("_k"))
+    return docs.select("*", *named).join(keep, ["_i", "_k"], "left_semi").dropDuplicates(["_i", "_k"]).select(*docs.columns)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
