@@ -98,19 +98,19 @@ def near_links(prints: DataFrame, max_bits: int, blocks: int | None = None, crow
 
 
 def near_groups(prints: DataFrame, max_bits: int = 2, blocks: int | None = None) -> DataFrame:
-    """(fp, component_id) for every fingerprint: the smallest doc_id of all rows linked with it through any chain."""
+    """(fp, root, component_id) for every fingerprint: the smallest fingerprint and doc_id of all rows linked with it through any chain."""
     reps = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     roots = components(near_links(reps, max_bits, blocks), "a", "b").withColumnRenamed("node", "fp")
     linked = roots.join(reps, "fp")
     least = linked.groupBy("root").agg(F.min("rep").alias("least"))
-    linked = linked.join(least, "root").select("fp", "least")
-    return reps.join(linked, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
+    linked = linked.join(least, "root").select("fp", "root", "least")
+    return reps.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least", "rep").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, fp and component_id."""
     prints = stored(fingerprints(docs, width, id_col, text_col))
-    return prints.join(near_groups(prints, max_bits), "fp")
+    return prints.join(near_groups(prints, max_bits), "fp").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, width: int = 5, max_bits: int = 4, blocks: int = 7) -> DataFrame:
@@ -121,7 +121,7 @@ def one_of_each(docs: DataFrame, width: int = 5, max_bits: int = 4, blocks: int
     """
     named = [F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("_i"), F.xxhash64(text_or_empty()).alias("_k")]
     prints = stored(docs.select(*named, text_or_empty().alias("text")).mapInArrow(lambda it: named_prints(it, width), "doc_id long, k long, fp long"))
-    keep = prints.join(near_groups(prints, max_bits, blocks), "fp").groupBy("component_id").agg(F.min(F.struct("doc_id", "k")).alias("x"))
+    keep = prints.join(near_groups(prints, max_bits, blocks), "fp").groupBy("root").agg(F.min(F.struct("doc_id", "k")).alias("x"))
     keep = keep.select(F.col("x.doc_id").alias("_i"), F.col("x.k").alias("_k"))
     return docs.select("*", *named).join(keep, ["_i", "_k"], "left_semi").dropDuplicates(["_i", "_k"]).select(*docs.columns)
 
