@@ -24,14 +24,6 @@ def sub(a: Vec, b: Vec) -> Vec:
     return tuple(p - q for p, q in zip(a, b))
 
 
-def add(a: Vec, b: Vec) -> Vec:
-    return tuple(p + q for p, q in zip(a, b))
-
-
-def scale(a: Vec, s: Column) -> Vec:
-    return tuple(p * s for p in a)
-
-
 def lerp(a: Vec, b: Vec, t: Column) -> Vec:
     return tuple(p + (q - p) * t for p, q in zip(a, b))
 

@@ -32,7 +32,11 @@ def pack(z, y, x) -> Column:
 
 
 def with_vid(df: DataFrame) -> DataFrame:
-    return df.withColumn("vid", pack("z", "y", "x"))
+    """Adds the voxel id; a coordinate outside the address space stops the job instead of naming another voxel."""
+    fits = F.lit(True)
+    for c in "zyx":
+        fits = fits & F.col(c).between(0, AXIS - 2)
+    return df.withColumn("vid", F.when(fits, pack("z", "y", "x")).otherwise(F.raise_error(F.lit("coordinate beyond the address space"))))
 
 
 def zyx(vid: Column | str) -> list[Column]:
@@ -44,11 +48,6 @@ def zyx(vid: Column | str) -> list[Column]:
     ]
 
 
-def with_zyx(df: DataFrame, vid: str = "vid") -> DataFrame:
-    z, y, x = zyx(vid)
-    return df.withColumns({"z": z, "y": y, "x": x})
-
-
 def tile_of(size: int, z="z", y="y", x="x") -> Column:
     """Key of the cubic tile that owns a voxel."""
     z, y, x = (F.col(c) if isinstance(c, str) else c for c in (z, y, x))

@@ -2,23 +2,22 @@
 
 Voxels: each tile is resolved alone (a tile holds at most TILE^3 voxels, whatever the input), then
 only the labels that meet in tile faces form a graph. That graph is smaller than the voxel table by
-orders of magnitude; it is contracted in rounds of joins, with a reliable checkpoint per round.
+orders of magnitude; it is contracted inside partitions, then in rounds of joins.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.grid import DX, DY, DZ, OFFSETS_26, halo, tile_of
-from strandlake.operators.lookup import salted_lookup
-from strandlake.session import materialize
+from strandlake.session import materialize, release
 
 TILE = 64
-# A residual graph of at most this many edges is finished in one task (about 1 MB).
-RESIDUAL_EDGES = 50_000
 
 
 def min_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -60,47 +59,49 @@ def _tile_labels(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"vid": v, "own": pdf["own"].to_numpy(), "shared": pdf["shared"].to_numpy(), "lab": v[lab]})
 
 
-def _residual(pdf: pd.DataFrame) -> pd.DataFrame:
-    ids, inv = np.unique(np.concatenate([pdf["a"].to_numpy(), pdf["b"].to_numpy()]), return_inverse=True)
-    m = len(pdf)
-    return pd.DataFrame({"v": ids, "root": ids[min_labels(len(ids), inv[:m], inv[m:])]})
+def _contract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A partition's edges as stars: every vertex with the smallest one it can reach inside the partition."""
+    a = b = np.zeros(0, dtype=np.int64)
+    for f in frames:
+        a, b = np.concatenate([a, f["a"].to_numpy()]), np.concatenate([b, f["b"].to_numpy()])
+        ids, inv = np.unique(np.concatenate([a, b]), return_inverse=True)
+        root = ids[min_labels(len(ids), inv[:len(a)], inv[len(a):])]
+        a, b = ids[root != ids], root[root != ids]
+    yield pd.DataFrame({"a": a, "b": b})
+
+
+def _hang(edges: DataFrame, large: bool) -> DataFrame:
+    """Hang neighbours on the smallest one: all larger neighbours, or the smaller ones with the vertex itself."""
+    near = edges.union(edges.select("b", "a")) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    met = near.join(least, "a")
+    out = met.filter("b > a").select("b", "m") if large else met.filter("b <> m").select("b", "m").union(met.select("a", "m"))
+    return out.toDF("a", "b").filter("a <> b").distinct()
 
 
-def edge_components(edges: DataFrame, a: str = "a", b: str = "b", residual: int = RESIDUAL_EDGES,
-                    max_rounds: int = 200) -> DataFrame:
+def edge_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 200) -> DataFrame:
     """(v, root) for every vertex of an undirected edge table; root is the smallest vertex id.
 
-    Round: take the smallest label among neighbours, then jump to the label's label, so the number of
-    rounds grows with the logarithm of the diameter. Vertex-keyed tables have one row per key; the
-    jump, where a giant component makes one label hot, uses a salted join.
+    Edges are dealt by ranges of vertex ids (which are near in space) and contracted inside each partition;
+    what adaptive execution leaves in one partition is then done. Rounds of large and small stars contract
+    the rest, so the number of rounds grows with the logarithm of the longest path. Per vertex only a
+    minimum is gathered, and the joins with it split where a vertex is hot.
     """
-    e = materialize(edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"))
-                    .filter("a <> b").distinct())
-    if e.count() <= residual:
-        return e.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(_residual, "v long, root long")
-    both = e.union(e.select("b", "a"))
-    lab = both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("root"))
-    lab = materialize(lab)
-    total = None
+    e = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter("a <> b")
+    now = materialize(e.repartitionByRange("a").mapInPandas(_contract, "a long, b long"))
+    seen = None
     for _ in range(max_rounds):
-        near = (both.join(lab.withColumnRenamed("v", "a"), "a").groupBy(F.col("b").alias("v")).agg(F.min("root").alias("near")))
-        hooked = lab.join(near, "v").select("v", F.least("root", "near").alias("root"))
-        # a label is itself a vertex; its new label may be smaller still
-        proposals = lab.join(near, "v").groupBy(F.col("root").alias("v")).agg(F.min("near").alias("prop"))
-        hooked = hooked.join(proposals, "v", "left").select("v", F.least("root", F.coalesce("prop", "root")).alias("root"))
-        hooked = materialize(hooked)
-        jump = hooked.select(F.col("v").alias("root"), F.col("root").alias("up"))
-        nxt = materialize(salted_lookup(hooked, jump, ["root"], ["v"]).select("v", F.coalesce("up", "root").alias("root")))
-        s = nxt.agg(F.sum(F.col("root").cast("decimal(38,0)"))).first()[0]
-        lab = nxt
-        if s == total:
-            return lab
-        total = s
+        mark = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.count_distinct("a")).first())
+        if mark == seen or mark[0] == 0 or mark[0] == mark[2] and now.join(now.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
+            # stars already: every vertex hangs on one root, and no root hangs on anything
+            return now.select(F.col("a").alias("v"), F.col("b").alias("root")).union(now.select(F.col("b").alias("v"), F.col("b").alias("root")).distinct())
+        seen, past = mark, now
+        now = materialize(_hang(_hang(past, True), False))
+        release(past)
     raise RuntimeError("component rounds did not converge")
 
 
-def connected_components(vox: DataFrame, same: str | None = None, tile: int = TILE,
-                         residual: int = RESIDUAL_EDGES) -> DataFrame:
+def connected_components(vox: DataFrame, same: str | None = None, tile: int = TILE) -> DataFrame:
     """26-connected components: (vid, z, y, x, comp), comp being the smallest voxel id inside.
 
     With ``same``, voxels are connected only where that column agrees, and it is kept in the output.
@@ -122,7 +123,7 @@ def connected_components(vox: DataFrame, same: str | None = None, tile: int = TI
         local.filter("shared").groupBy("vid").agg(F.min("lab").alias("a"), F.collect_set("lab").alias("labs"))
         .filter(F.size("labs") > 1).select("a", F.explode("labs").alias("b")).filter("a <> b")
     )
-    roots = edge_components(ties, residual=residual)
+    roots = edge_components(ties)
     own = local.filter("own").select("vid", "lab")
     # a tile-local label covers at most one tile, so this key cannot be hot
     out = own.join(roots.withColumnRenamed("v", "lab"), "lab", "left").select(

@@ -189,18 +189,21 @@ def middle_slice(df: DataFrame, fraction: float = 0.06, at_least: int = 3, curve
 # ---- rotation-minimising frames -------------------------------------------------------------
 
 def _step_matrices(p: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """The linear map that carries the normal from point i to i+1 (two reflections), for all i."""
+    """The linear map that carries the normal from point i to i+1 (two reflections), for all i; a repeated point keeps its frame."""
     eye = np.eye(3)
     v1 = p[1:] - p[:-1]
     c1 = np.einsum("ij,ij->i", v1, v1)
-    c1 = np.where(c1 < 1e-12, 1.0, c1)
+    same = c1 < 1e-8
+    c1 = np.where(same, 1.0, c1)
     r1 = eye - 2.0 * v1[:, :, None] * v1[:, None, :] / c1[:, None, None]
     v2 = t[1:] - np.einsum("nij,nj->ni", r1, t[:-1])
     c2 = np.einsum("ij,ij->i", v2, v2)
-    flat = c2 < 1e-12
+    flat = c2 < 1e-8
     r2 = eye - 2.0 * v2[:, :, None] * v2[:, None, :] / np.where(flat, 1.0, c2)[:, None, None]
     r2[flat] = eye
-    return np.einsum("nij,njk->nik", r2, r1)
+    out = np.einsum("nij,njk->nik", r2, r1)
+    out[same] = eye
+    return out
 
 
 def _chunk_products(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -223,6 +226,11 @@ def _chunk_apply(pdf: pd.DataFrame) -> pd.DataFrame:
     n -= np.einsum("ij,ij->i", n, t)[:, None] * t
     n /= np.maximum(np.linalg.norm(n, axis=1, keepdims=True), 1e-8)
     b = np.cross(t, n)
+    p = pdf[["z", "y", "x"]].to_numpy(float)
+    for i in np.flatnonzero(((p[1:] - p[:-1]) ** 2).sum(1) < 1e-8):
+        n[i + 1], b[i + 1] = n[i], b[i]
+    if len(pdf) == 1 and pdf["seq"].iloc[0] == 0:   # a curve of one point has no tangent: a fixed frame
+        n[0], b[0] = (0.0, 1.0, 0.0), (1.0, 0.0, 0.0)
     keep = (pdf["home"] == pdf["c"]).to_numpy()
     out = pd.DataFrame({"curve": pdf["curve"], "seq": pdf["seq"], "nz": n[:, 0], "ny": n[:, 1], "nx": n[:, 2],
                         "bz": b[:, 0], "by": b[:, 1], "bx": b[:, 2]})
@@ -252,13 +260,9 @@ def frames(df: DataFrame, chunk: int = CHUNK) -> DataFrame:
     joined = t.withColumn("c", F.explode(F.array_compact(F.array(
         F.col("home"), F.when((F.col("seq") % chunk == 0) & (F.col("seq") > 0), F.col("home") - 1)))))
     t0 = vec("t")
-    # a start normal at right angles to the first tangent, from the axis least along it
-    az, ay, ax = (F.abs(v) for v in t0)
-    e = [F.when((az <= ay) & (az <= ax), 1.0).otherwise(0.0),
-         F.when(~((az <= ay) & (az <= ax)) & (ay <= ax), 1.0).otherwise(0.0),
-         F.when(~((az <= ay) & (az <= ax)) & ~(ay <= ax), 1.0).otherwise(0.0)]
-    d = dot(t0, e)
-    n0 = [ei - d * ti for ei, ti in zip(e, t0)]
+    # the start normal is the cross product of the first tangent with the first axis, or the second where the first is nearly along it
+    along = F.abs(t0[0]) >= 0.9
+    n0 = [F.when(along, -t0[2]).otherwise(F.lit(0.0)), F.when(along, F.lit(0.0)).otherwise(t0[2]), F.when(along, t0[0]).otherwise(-t0[1])]
     nn = safe(F.sqrt(dot(n0, n0)))
     first = t.filter("seq = 0").select("curve", F.array(*[v / nn for v in n0]).alias("n0"))
     prods = joined.groupBy("curve", "c").applyInPandas(_chunk_products, f"curve {_ty(df)}, c long, m array<double>")

@@ -7,12 +7,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.grid import DX, DY, DZ, OFFSETS_26, pack, zyx
+from strandlake.grid import DX, DY, DZ, OFFSETS_26, halo, tile_of, zyx
 from strandlake.operators.components import component_boxes, connected_components
 from strandlake.operators.lookup import salted_lookup
 from strandlake.operators.ranges import nearest
 from strandlake.params import Params
-from strandlake.session import materialize
+from strandlake.session import materialize, release
 
 
 def foreground(field: DataFrame, skel: DataFrame | None = None, p: Params = Params(), vol: str | None = "vol",
@@ -42,56 +42,75 @@ def component_classes(cc: DataFrame, skel: DataFrame) -> DataFrame:
     return j.select("comp", "n", "box", cls.alias("cls"), "label")
 
 
+HOP = 1 << 32          # arrivals compare by (hops, label), packed into one number
+UNREACHED = np.iinfo(np.int64).max
+FLOOD_TILE = 48
+
+
 def _flood(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Breadth-first spread inside one component; equal arrivals go to the smaller label."""
+    """Earliest arrivals inside one tile and its rim, from what its voxels know so far."""
     pdf = pdf.sort_values("vid")
-    v = pdf["vid"].to_numpy()
-    big = np.iinfo(np.int64).max
-    lab = pdf["label"].fillna(0).to_numpy(np.int64)
-    lab = np.where(lab > 0, lab, big)
+    v, key = pdf["vid"].to_numpy(), pdf["key"].to_numpy().copy()
     nb = []
     for dz, dy, dx in OFFSETS_26:
         w = v + (dz * DZ + dy * DY + dx * DX)
         j = np.searchsorted(v, w)
         j[j == len(v)] = 0
-        nb.append(np.where(v[j] == w, j, -1))
+        nb.append(np.where(v[j] == w, j, -1).astype(np.int32))
     nb = np.stack(nb, 1)
-    front = np.nonzero(lab < big)[0]
+    front = np.flatnonzero(key < UNREACHED)
     while len(front):
         to = nb[front].ravel()
-        val = np.repeat(lab[front], nb.shape[1])
-        ok = to >= 0
-        to, val = to[ok], val[ok]
-        ok = lab[to] == big
-        to, val = to[ok], val[ok]
-        np.minimum.at(lab, to, val)
+        val = np.repeat(key[front] + HOP, nb.shape[1])
+        to, val = to[to >= 0], val[to >= 0]
+        better = val < key[to]
+        to, val = to[better], val[better]
+        np.minimum.at(key, to, val)
         front = np.unique(to)
-    keep = lab < big
-    return pd.DataFrame({"vid": v[keep], "label": lab[keep].astype(np.int32)})
+    own = pdf["own"].to_numpy()
+    return pd.DataFrame({"vid": v[own], "key": key[own], "news": (key[own] < pdf["key"].to_numpy()[own])})
+
+
+def flood(vox: DataFrame, tile: int = FLOOD_TILE, max_rounds: int = 100_000) -> DataFrame:
+    """(vid, label): breadth-first spread of labels over voxels (vid, z, y, x, label or null); equal arrivals go to the smaller label.
+
+    Each tile settles what it can from its own voxels and a rim of one, then passes on what changed; rounds
+    end when no tile has news. A task holds one tile, whatever the size of a component.
+    """
+    state = vox.select("vid", "z", "y", "x", F.coalesce(F.col("label").cast("long"), F.lit(int(UNREACHED))).alias("key"))
+    past = state = materialize(state)
+    for _ in range(max_rounds):
+        near = halo(state.withColumn("home", tile_of(tile)), tile, 1).withColumn("own", F.col("home") == F.col("tile"))
+        new = materialize(near.select("tile", "vid", "key", "own").groupBy("tile").applyInPandas(_flood, "vid long, key long, news boolean"))
+        release(past)
+        past, state = new, new.select("vid", *zyx("vid"), "key")
+        if new.filter("news").isEmpty():
+            return state.filter(F.col("key") < int(UNREACHED)).select("vid", (F.col("key") % HOP).cast("int").alias("label"))
+    raise RuntimeError("flood did not settle")
 
 
 def diffuse(fg: DataFrame, skel: DataFrame, p: Params = Params()) -> DataFrame:
     """vid, z, y, x, label for every foreground voxel that a label reaches.
 
-    One label in a component: the whole component takes it. Several, in a box of at most
-    ``max_flood_box`` voxels (which bounds the task): breadth-first flood. Several in a larger
-    component: nearest seed of that component, by a cell join. Skeleton voxels keep their label.
+    One label in a component: the whole component takes it. Several: by ``p.diffuse_rule``, a flood from
+    all seeds at once ("flood") or the nearest seed of the component ("nearest"), whatever the component's
+    size. Skeleton voxels keep their label.
     """
+    if p.diffuse_rule not in ("flood", "nearest"):
+        raise ValueError("diffuse_rule is flood or nearest")
     allfg = fg.select("vid", "z", "y", "x").union(skel.select("vid", "z", "y", "x")).distinct()
     cc = materialize(connected_components(allfg))
     cls = materialize(component_classes(cc, skel))
-    tagged = salted_lookup(cc, cls.filter("cls <> 'unseeded'").select("comp", "cls", "box", F.col("label").alias("only")), ["comp"], ["vid"], "inner")
+    tagged = salted_lookup(cc, cls.filter("cls <> 'unseeded'").select("comp", "cls", F.col("label").alias("only")), ["comp"], ["vid"], "inner")
     tagged = tagged.join(skel.select("vid", "label"), "vid", "left")
     single = tagged.filter("cls = 'single'").select("vid", F.col("only").cast("int").alias("label"))
-    small = tagged.filter((F.col("cls") == "multi") & (F.col("box") <= p.max_flood_box))
-    flood = small.select("comp", "vid", "label").groupBy("comp").applyInPandas(_flood, "vid long, label int")
-    parts = single.union(flood)
-    large = tagged.filter((F.col("cls") == "multi") & (F.col("box") > p.max_flood_box))
-    if not cls.filter((F.col("cls") == "multi") & (F.col("box") > p.max_flood_box)).isEmpty():
-        large = materialize(large)
-        near = nearest_label(large.filter("label is null").select("vid", "z", "y", "x", "comp"),
-                             large.filter("label is not null").select("vid", "z", "y", "x", "comp", "label"), ["comp"])
-        parts = parts.union(near).union(large.filter("label is not null").select("vid", F.col("label").cast("int")))
+    multi = materialize(tagged.filter("cls = 'multi'").select("vid", "z", "y", "x", "comp", "label"))
+    if p.diffuse_rule == "flood":
+        parts = single.union(flood(multi))
+    else:
+        seeds = multi.filter("label is not null")
+        near = nearest_label(multi.filter("label is null").select("vid", "z", "y", "x", "comp"), seeds, ["comp"])
+        parts = single.union(near).union(seeds.select("vid", F.col("label").cast("int")))
     return parts.select("vid", *zyx("vid"), "label")
 
 

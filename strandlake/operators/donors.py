@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.grid import pack
+from strandlake.operators.chunks import FACES
 from strandlake.operators.curves import AX, arc_length, curve_lengths, smooth, tangents
 from strandlake.operators.lookup import salted_lookup
 from strandlake.operators.ranges import nearest
 
-FACE_LIST = [("z_min", "z", 0), ("z_max", "z", 1), ("y_min", "y", 0), ("y_max", "y", 1), ("x_min", "x", 0), ("x_max", "x", 1)]
 
 
 def masked_crops(labels: DataFrame, padding: int = 2) -> DataFrame:
@@ -35,13 +35,13 @@ def through_curves(curves: DataFrame, size: int, min_length: float = 75.0, margi
     k = F.greatest(F.lit(3), F.floor(F.col("n") * 0.06))
     inner = (F.col("seq") >= k) & (F.col("seq") < F.col("n") - k)
     face = F.least(*[F.struct(far(c, hi).alias("d"), F.lit(i).alias("i"), F.lit(name).alias("f"), F.abs(F.col(f"t{c}")).alias("t"))
-                     for i, (name, c, hi) in enumerate(FACE_LIST)])
+                     for i, (name, c, hi) in enumerate(FACES)])
     t = t.withColumn("face", face)
     ok = F.when((F.col("face.d") <= 2.5) & (F.col("face.t") >= 0.20), F.col("face.f"))
     g = t.groupBy("curve").agg(
         F.max("n").alias("n"), F.max("arc").alias("length"),
         F.max(F.when(F.col("seq") == 0, ok)).alias("entry_face"), F.max(F.when(F.col("seq") == F.col("n") - 1, ok)).alias("exit_face"),
-        F.greatest(*[F.count_if(inner & (far(c, hi) <= margin) & (F.abs(F.col(f"t{c}")) < 0.35)) for _, c, hi in FACE_LIST]).alias("along"))
+        F.greatest(*[F.count_if(inner & (far(c, hi) <= margin) & (F.abs(F.col(f"t{c}")) < 0.35)) for _, c, hi in FACES]).alias("along"))
     valid = ((F.col("n") >= 15) & (F.col("length") >= min_length) & (F.col("along") < 3) & F.col("entry_face").isNotNull()
              & F.col("exit_face").isNotNull() & (F.col("entry_face") != F.col("exit_face")))
     return g.select("curve", "n", F.round("length", 5).alias("length"), "entry_face", "exit_face", F.coalesce(valid, F.lit(False)).alias("valid"))

@@ -57,12 +57,12 @@ def rasterise(spine: DataFrame, shape) -> DataFrame:
     return p.groupBy("vid", "z", "y", "x").agg(F.max("curve").alias("label"))
 
 
-def dilate_by_radius(points: DataFrame, shape, radius: str = "r", reach: int = 6, fixed: float | None = None) -> DataFrame:
-    """Periodic union of balls around (rounded) points; each point has its own radius, at most ``reach``.
+def dilate_by_radius(points: DataFrame, shape, radius: str = "r", fixed: float | None = None) -> DataFrame:
+    """Periodic union of balls around (rounded) points; each point has its own radius.
 
     The ball is walked axis by axis, each range shrinking with what the axes before it used up.
     """
-    r = F.lit(float(fixed)) if fixed is not None else F.least(F.col(radius), F.lit(float(reach)))
+    r = F.lit(float(fixed)) if fixed is not None else F.col(radius).cast("double")
     base = points.select(*[F.bround(F.col(c)).cast("int").alias(c) for c in AX], r.alias("_r"))
     # one voxel keeps its largest ball only: duplicates go before the expansion
     base = base.groupBy(*AX).agg(F.max("_r").alias("_r"))

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.functions.vec3 import dot, fixed, flip_if, norm, safe, unfixed, unit, vec
+from strandlake.functions.vec3 import cross, dot, fixed, flip_if, norm, safe, unit, vec
 from strandlake.grid import zyx
 from strandlake.operators.components import connected_components
 from strandlake.operators.ranges import near_join
@@ -160,23 +158,61 @@ def nematic_tensor(anch: DataFrame, field: DataFrame, window: int = WINDOW) -> D
     return anch.join(t, ["frag", "end"], "left").fillna(0, [f"t{n}" for n, _, _ in TENSOR]).select(*keys, *[f"t{n}" for n, _, _ in TENSOR])
 
 
-def _principal(zz: pd.Series, zy: pd.Series, zx: pd.Series, yy: pd.Series, yx: pd.Series, xx: pd.Series) -> pd.DataFrame:
-    a = np.stack([zz, zy, zx, zy, yy, yx, zx, yx, xx], axis=1).astype(float).reshape(-1, 3, 3) / 1e9
-    v = np.linalg.eigh(a)[1][:, :, -1]
-    return pd.DataFrame(v, columns=["z", "y", "x"])
+def _across(m: list[list[Column]]) -> tuple[list[Column], Column]:
+    """The longest cross product of two rows of a 3x3 matrix (ties: earlier rows), and its squared length."""
+    crosses = [cross(m[i], m[j]) for i, j in ((0, 1), (0, 2), (1, 2))]
+    sizes = [dot(c, c) for c in crosses]
+    first = (sizes[0] >= sizes[1]) & (sizes[0] >= sizes[2])
+    second = sizes[1] >= sizes[2]
+    return [F.when(first, x).when(second, y).otherwise(z) for x, y, z in zip(*crosses)], F.greatest(*sizes)
 
 
-def principal_direction(*tensor) -> Column:
-    """Dominant eigenvector of the tensor (zz, zy, zx, yy, yx, xx), a batch of rows at a time."""
-    return F.pandas_udf(_principal, "struct<z:double,y:double,x:double>")(*tensor)
+def principal_direction(df: DataFrame, out: str = "e") -> DataFrame:
+    """Adds the unit eigenvector ez, ey, ex of the largest eigenvalue of the tensor columns, in closed form.
+
+    The eigenvalue comes from the trigonometric solution and is refined once by its Rayleigh quotient; the
+    vector is at right angles to the rows of the shifted matrix. Where the largest eigenvalue is double the
+    vector is taken from its plane; an isotropic tensor gives the first axis. The first component that is
+    not zero is positive.
+    """
+    keep = df.columns
+    k = [[f"t{''.join(sorted(i + j, key='zyx'.index))}" for j in "zyx"] for i in "zyx"]
+    t = df.withColumns({f"_{n}": F.col(f"t{n}") / F.lit(1e9) for n, _, _ in TENSOR})
+    m = [[F.col("_" + n[1:]) for n in row] for row in k]
+    t = t.withColumn("_q", (m[0][0] + m[1][1] + m[2][2]) / 3.0)
+    d = [m[i][i] - F.col("_q") for i in range(3)]
+    t = t.withColumn("_p2", d[0] * d[0] + d[1] * d[1] + d[2] * d[2] + 2.0 * (m[0][1] * m[0][1] + m[0][2] * m[0][2] + m[1][2] * m[1][2]))
+    t = t.withColumn("_p", F.sqrt(F.col("_p2") / 6.0))
+    det = (d[0] * (d[1] * d[2] - m[1][2] * m[1][2]) - m[0][1] * (m[0][1] * d[2] - m[1][2] * m[0][2]) + m[0][2] * (m[0][1] * m[1][2] - d[1] * m[0][2]))
+    r = F.least(F.greatest(det / (2.0 * F.col("_p") * F.col("_p") * F.col("_p")), F.lit(-1.0)), F.lit(1.0))
+    t = t.withColumn("_l", F.when(F.col("_p") > 1e-9, F.col("_q") + 2.0 * F.col("_p") * F.cos(F.acos(F.when(F.col("_p") > 1e-9, r).otherwise(0.0)) / 3.0)).otherwise(F.col("_q")))
+    for last in (False, True):
+        shifted = [[m[i][j] - F.col("_l") if i == j else m[i][j] for j in range(3)] for i in range(3)]
+        v, size = _across(shifted)
+        t = t.withColumns({"_v0": v[0], "_v1": v[1], "_v2": v[2], "_s": size})
+        good = F.col("_s") > 1e-12 * F.col("_p2") * F.col("_p2")
+        n = F.sqrt(F.when(good, F.col("_s")).otherwise(1.0))
+        w = [F.col(f"_v{i}") / n for i in range(3)]
+        if not last:
+            t = t.withColumn("_l", F.when(good, dot(w, [dot(row, w) for row in m])).otherwise(F.col("_l")))
+    rows = [dot(row, row) for row in shifted]
+    big = lambda c: F.when((rows[0] >= rows[1]) & (rows[0] >= rows[2]), shifted[0][c]).when(rows[1] >= rows[2], shifted[1][c]).otherwise(shifted[2][c])
+    pn = F.sqrt(big(0) * big(0) + big(1) * big(1))
+    flat = pn <= 1e-6 * F.col("_p")
+    plane = [F.when(flat, 1.0).otherwise(big(1) / safe(pn, 1e-300)), F.when(flat, 0.0).otherwise(-big(0) / safe(pn, 1e-300)), F.lit(0.0)]
+    e = [F.when(good, x).otherwise(y) for x, y in zip(w, plane)]
+    t = t.withColumns({"_e0": e[0], "_e1": e[1], "_e2": e[2]})
+    e = [F.col(f"_e{i}") for i in range(3)]
+    lead = F.when(F.abs(e[0]) > 1e-7, e[0]).when(F.abs(e[1]) > 1e-7, e[1]).otherwise(e[2])
+    return t.select(*keep, *[(x * F.when(lead < 0, -1.0).otherwise(1.0)).alias(f"{out}{c}u") for x, c in zip(e, "zyx")])
 
 
 def end_directions(fv: DataFrame, ends: DataFrame, field: DataFrame) -> DataFrame:
     """frag, end, vid, z, y, x, outward direction o*, tangent t* of every fragment end."""
     t = nematic_tensor(anchors(fv, ends), field)
-    t = t.withColumn("e", principal_direction(*[f"t{n}" for n, _, _ in TENSOR]))
+    t = principal_direction(t)
     vout = [(F.col(f"e{c}") - F.col(f"a{c}")).cast("double") for c in "zyx"]
-    e = [F.col("e.z"), F.col("e.y"), F.col("e.x")]
+    e = [F.col("ezu"), F.col("eyu"), F.col("exu")]
     nn = norm(vout)
     o = flip_if((nn > 1e-4) & (dot(e, vout) < 0), e)
     t = t.select("frag", "end", F.col("evid").alias("vid"), F.col("ez").alias("z"), F.col("ey").alias("y"), F.col("ex").alias("x"),

@@ -2,31 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 16
+SALTS = 8   # at least; a larger job spreads a key over a quarter of its shuffle partitions
 
 
 def salted_lookup(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], how: str = "left",
-                  salts: int = SALTS) -> DataFrame:
+                  salts: int | None = None) -> DataFrame:
     """Join a large table with a table that has one row per key.
 
     The left rows of a key are spread over ``salts`` partitions by a hash of ``spread``; the right
     table, small by comparison, is copied that often. Worst-case load per task falls by the same factor,
     whatever the key distribution; AQE turns the join into a broadcast when the right side is small.
     """
+    salts = salts or max(SALTS, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
     l = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     r = right.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
     return l.join(r, [*keys, "_salt"], how).drop("_salt")
-
-
-def count_by(df: DataFrame, keys: list[str], name: str = "n") -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
-
-
-def all_of(cols: list[Column]) -> Column:
-    out = cols[0]
-    for c in cols[1:]:
-        out = out & c
-    return out

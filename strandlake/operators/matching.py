@@ -9,8 +9,6 @@ The result is the sequential one, bit for bit, without a driver loop over bridge
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,31 +17,12 @@ from strandlake.operators.ranks import global_rank
 from strandlake.params import Params
 from strandlake.session import materialize
 
-RESIDUAL = 50_000   # open bridges that one task may finish alone (about 3 MB)
-
-
-def _finish(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["cost", "score", "frag_a", "end_a", "frag_b", "end_b"], ascending=[True, False, True, True, True, True])
-    mate = {}
-    took = []
-    for i, s, t, ms, mt in zip(pdf.index, pdf["slot_a"], pdf["slot_b"], pdf["mate_a"], pdf["mate_b"]):
-        mate.setdefault(s, ms)
-        mate.setdefault(t, mt)
-        if mate[s] is None or mate[t] is None or mate[s] == t:
-            continue
-        ps, pt = mate[s], mate[t]
-        mate[ps], mate[pt] = pt, ps
-        mate[s] = mate[t] = None
-        took.append(i)
-    return pdf.loc[took, ["frag_a", "end_a", "frag_b", "end_b"]]
-
 
 def _slot(frag, end):
     return F.concat_ws("/", frag.cast("string"), end.cast("string"))
 
 
-def greedy_bridges(ends: DataFrame, cands: DataFrame, p: Params = Params(), residual: int = RESIDUAL,
-                   max_rounds: int = 10_000) -> DataFrame:
+def greedy_bridges(ends: DataFrame, cands: DataFrame, p: Params = Params(), max_rounds: int = 10_000) -> DataFrame:
     """Accepted (frag_a, end_a, frag_b, end_b, cost). ``ends``: frag, length, head, tail.
 
     An end is looked up again by its voxel, head first: a one-voxel fragment offers its head only.
@@ -58,11 +37,8 @@ def greedy_bridges(ends: DataFrame, cands: DataFrame, p: Params = Params(), resi
     open_ = materialize(c)
     done = None
     key = F.struct(F.col("cost"), (-F.col("score")).alias("ns"), "frag_a", "end_a", "frag_b", "end_b")
-    names = "frag_a long, end_a int, frag_b long, end_b int"
     for _ in range(max_rounds):
-        if open_.count() <= residual:
-            rest = open_.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(_finish, names)
-            done = rest if done is None else done.union(rest)
+        if open_.isEmpty():
             break
         k = open_.withColumn("k", key)
         # a path is named by the smaller of its two free ends
@@ -85,17 +61,17 @@ def greedy_bridges(ends: DataFrame, cands: DataFrame, p: Params = Params(), resi
         open_ = materialize(o.filter("slot_a <> mate_b").select(*keep))
     else:
         raise RuntimeError("bridge selection did not finish")
+    done = open_.select("frag_a", "end_a", "frag_b", "end_b") if done is None else done
     return done.join(cands.select("frag_a", "end_a", "frag_b", "end_b", "vid_a", "vid_b", "cost"), ["frag_a", "end_a", "frag_b", "end_b"])
 
 
-def chains(ends: DataFrame, bridges: DataFrame, self_cost: DataFrame | None = None, residual: int | None = None) -> tuple[DataFrame, DataFrame]:
+def chains(ends: DataFrame, bridges: DataFrame, self_cost: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(chain table, membership).
 
     chain: root (smallest fragment), n_fragments, total_length[, total_cost]; membership: frag, root.
     Lengths count fragment voxels only.
     """
-    kw = {} if residual is None else {"residual": residual}
-    cc = edge_components(bridges, "frag_a", "frag_b", **kw)
+    cc = edge_components(bridges, "frag_a", "frag_b")
     m = ends.select("frag", "length").join(cc.withColumnRenamed("v", "frag"), "frag", "left").select(
         "frag", "length", F.coalesce("root", "frag").alias("root"))
     aggs = [F.count(F.lit(1)).cast("int").alias("n_fragments"), F.sum("length").cast("long").alias("total_length")]

@@ -210,7 +210,7 @@ def _spline(pdf: pd.DataFrame) -> pd.DataFrame:
         arc = np.concatenate([[0.0], np.cumsum(step)])
         u = arc / arc[-1]
         w = np.where(pin, PIN_WEIGHT, 1.0)[:, None]
-        n = int(np.clip(len(p) // 4, 4, 400))
+        n = max(4, len(p) // 4)
         coef = np.linalg.lstsq(_basis(u, n) * w, p * w, rcond=None)[0]
         m = max(3, int(np.round(arc[-1])))
         out = _basis(np.linspace(0, 1, m), n) @ coef
@@ -265,7 +265,7 @@ def seeds_from_labels(skel: DataFrame, size: int, min_voxels: int = 8) -> DataFr
     ``skel``: label, z, y, x of the thinned label volume, label unique per patch.
     """
     o = order_points(skel, "seed")
-    n = o.groupBy("label").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min(min_voxels, 3))
+    n = o.groupBy("label").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_voxels)
     j = o.join(n, "label")
     third, half = F.floor(F.col("n") / 3), F.floor(F.col("n") / 2)
     way = F.when(F.col("n") >= 12, (F.col("seq") == third) | (F.col("seq") == 2 * third)).otherwise((F.col("n") > 2) & (F.col("seq") == half))
@@ -274,9 +274,9 @@ def seeds_from_labels(skel: DataFrame, size: int, min_voxels: int = 8) -> DataFr
                                       classify_face(F.col("z"), F.col("y"), F.col("x"), size).alias("face"))
 
 
-def sample_rows(shell: DataFrame, limit: int = 250_000, seed: int = 42) -> DataFrame:
-    """At most ``limit`` voxels in hash order, for display."""
-    return shell.orderBy(F.xxhash64("vid", F.lit(seed)), "vid").limit(limit)
+def sample_rows(shell: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
+    """About that fraction of the voxels, chosen by a hash of their ids: no sort, the same voxels in every run."""
+    return shell.filter(unit_hash(seed, F.col("vid")) < fraction)
 
 
 def sample_windows(spark, n: int, shape, size: int, fg: DataFrame, seed: int, fg_prob: float = 0.85, jitter: int = 2) -> DataFrame:

@@ -133,6 +133,8 @@ def nearest(points: DataFrame, sites: DataFrame, key: str, site_key: str, k: int
         if todo.isEmpty():
             break
         radius *= 2.0
+    else:
+        raise RuntimeError("nearest sites were not settled within the rounds")
     out = done.withColumnRenamed("_sk", site_key if site_key != key else f"site_{site_key}")
     for c in carry:
         out = out.withColumnRenamed(f"_v_{c}", c)

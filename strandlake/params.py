@@ -29,7 +29,7 @@ class Params:
     # diffusion
     fg_threshold: float = 0.10
     vol_threshold: float = 0.05
-    max_flood_box: int = 2_000_000
+    diffuse_rule: str = "flood"   # or "nearest"
     # borders and chunks
     cut_border: int = 32
     chunk_size: int = 512

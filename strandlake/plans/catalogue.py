@@ -404,22 +404,24 @@ def priority_overlay(s, d):
 # ---- diffusion -------------------------------------------------------------------------------
 
 def _seeds(s, d, spacing):
-    return materialize(lift.skeleton(s, d, spacing).select(*V, (F.floor(F.col("seq") / 20) + 1).cast("int").alias("label")))
+    """Labelled skeleton voxels; every fifth of a fibre has no label yet."""
+    sk = lift.skeleton(s, d, spacing).filter("seq % 5 <> 2")
+    return materialize(sk.select(*V, (F.floor(F.col("seq") / 20) + 1).cast("int").alias("label")))
 
 
 @query
 def diffuse_flood(s, d):
-    return diffuse.diffuse(lift.foreground(s, d, 8), _seeds(s, d, 8).filter("vid % 4 <> 0")).select("vid", "label")
+    return diffuse.diffuse(lift.foreground(s, d, 8), _seeds(s, d, 8)).select("vid", "label")
 
 
 @query
 def diffuse_nearest(s, d):
-    return diffuse.diffuse(lift.foreground(s, d, 8), _seeds(s, d, 8).filter("vid % 4 <> 0"), Params(max_flood_box=0)).select("vid", "label")
+    return diffuse.diffuse(lift.foreground(s, d, 8), _seeds(s, d, 8), Params(diffuse_rule="nearest")).select("vid", "label")
 
 
 @query
 def prune_repropagate(s, d):
-    sk = lift.skeleton(s, d).select(*V, (F.col("fiber") * 100 + F.floor(F.col("seq") / 9) + 1).cast("int").alias("label"))
+    sk = lift.skeleton(s, d).select(*V, (F.col("fiber") * (1 << 20) + F.floor(F.col("seq") / 9) + 1).cast("long").alias("label"))
     vol = stencil.dilate(sk, ball_offsets(1), carry_min="label")
     return diffuse.prune_and_repropagate(materialize(sk), materialize(vol), 5)[1].select("vid", "label")
 
@@ -474,7 +476,7 @@ def _chunked(s, d):
     sk = materialize(lift.skeleton(s, d))
     sh = extent(sk)
     c = chunks.assign_chunks(sk.select(*V, "fiber", "seq"), sh, 32, 16)
-    lab = (F.col("fiber") * 10 + F.floor((F.col("seq") + F.col("chunk") % 3) / 12) + 1).cast("int")
+    lab = (F.col("fiber") * 4096 + F.floor((F.col("seq") + F.col("chunk") % 3) / 12) + 1).cast("int")
     return materialize(c.select("chunk", *V, lab.alias("label"))), sh
 
 
@@ -689,7 +691,8 @@ def augmented_curves(s, d):
 def cropped_curves(s, d):
     c = materialize(_curve(s, d))
     sh = extent(c)
-    b = s.range(90).select(F.floor(F.col("id") / 30).alias("block"), (F.col("id") % 30).alias("try"), *[
+    blocks = 3 + c.agg(F.max("curve")).first()[0] // 8
+    b = s.range(30 * blocks).select(F.floor(F.col("id") / 30).alias("block"), (F.col("id") % 30).alias("try"), *[
         F.floor(((F.col("id") * k + k) % 997) / 997.0 * (max(m - 12, 0) + 1)).cast("int").alias(f"{a}0") for a, m, k in zip("zyx", sh, (379, 521, 761))])
     return geometry.crop_curves(c, b, 12, 6, 2)
 
@@ -766,8 +769,8 @@ def gad_points(s, d):
 @query
 def gad_objects(s, d):
     """Curve documents written per label: sizes and diameters."""
-    p = lift.skeleton(s, d).select((F.col("fiber") * 1000 + F.floor(F.col("seq") / 64)).alias("label"), (F.col("seq") % 64).alias("seq"), "z", "y", "x")
-    n = stencil.dilate(lift.skeleton(s, d).select(*V, (F.col("fiber") * 1000 + F.floor(F.col("seq") / 64)).alias("label")), ball_offsets(1), carry_min="label")
+    p = lift.skeleton(s, d).select((F.col("fiber") * (1 << 20) + F.floor(F.col("seq") / 64)).alias("label"), (F.col("seq") % 64).alias("seq"), "z", "y", "x")
+    n = stencil.dilate(lift.skeleton(s, d).select(*V, (F.col("fiber") * (1 << 20) + F.floor(F.col("seq") / 64)).alias("label")), ball_offsets(1), carry_min="label")
     o = gad.object_documents(p, metrics.label_lengths(n), 1.0)
     return o.select("label", "n_points", R(F.get_json_object("json", "$.Diameter").cast("double"), 5).alias("diameter"),
                     F.get_json_object("json", "$.Point1[0][2]").cast("double").alias("first_z"))

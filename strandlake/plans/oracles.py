@@ -11,7 +11,7 @@ VID = lambda z, y, x: f"(({z})::BIGINT*{DZ}+({y})::BIGINT*{DY}+({x})::BIGINT)"
 def _sk(name, spacing):
     return f"""{name} AS MATERIALIZED (SELECT *, {VID('z', 'y', 'x')} AS vid FROM (
  SELECT (seq%4096 + 8192*((user_id//16)//262144))::INTEGER AS z, ({spacing}*((user_id//16)%262144) + event_id%3)::INTEGER AS y,
- ({spacing}*(user_id%16) + floor(value)::BIGINT%3 + 256*(seq//4096))::INTEGER AS x, user_id AS fiber, seq, value/500.0::DOUBLE AS intensity
+ ({spacing}*(user_id%16) + ((floor(value)::BIGINT%3)+3)%3 + 256*(seq//4096))::INTEGER AS x, user_id AS fiber, seq, value/500.0::DOUBLE AS intensity
  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)-1 AS seq FROM events)))"""
 
 
@@ -272,14 +272,14 @@ O["bridge_line_voxels"] = sql(f"""SELECT fiber,seq,i,z,y,x FROM (SELECT fiber,se
 O["priority_overlay"] = sql("SELECT f.vid,coalesce((s.seq//20)::INTEGER,f.label) AS label FROM fg f LEFT JOIN sk s USING (vid)", *FGL)
 
 # diffusion
-SEED8 = "sd AS MATERIALIZED (SELECT vid,z,y,x,(seq//20+1)::BIGINT AS label FROM sk8 WHERE vid%4<>0)"
+SEED8 = "sd AS MATERIALIZED (SELECT vid,z,y,x,(seq//20+1)::BIGINT AS label FROM sk8 WHERE seq%5<>2)"
 _HOP = 1 << 32
 O["diffuse_flood"] = sql(f"SELECT fl.v AS vid,(fl.k%{_HOP})::INTEGER AS label FROM fl", *FG8, _nb("ef", "fg"), SEED8,
                          f"fl(v,k) USING KEY (v) AS (SELECT vid,label FROM sd UNION SELECT e.b,min(c.k+{_HOP}) FROM fl c JOIN ef e ON e.a=c.v LEFT JOIN recurring.fl r ON r.v=e.b WHERE r.k IS NULL OR c.k+{_HOP}<r.k GROUP BY e.b)")
 O["diffuse_nearest"] = sql("""SELECT f.vid,arg_min(s.label,((f.z-s.z)**2+(f.y-s.y)**2+(f.x-s.x)**2)*1000000+s.label)::INTEGER AS label FROM cf f JOIN (SELECT sd.*,cf.comp FROM sd JOIN cf USING (vid)) s ON s.comp=f.comp GROUP BY f.vid""", *CC8, SEED8)
 O["prune_repropagate"] = sql(
     """SELECT v.vid,coalesce(k.new,i.new,n.new)::INTEGER AS label FROM vol v LEFT JOIN ks k USING (vid) LEFT JOIN ids i ON i.label=v.label LEFT JOIN nr n ON n.vid=v.vid""",
-    SK, OFF, BALL, "s9 AS MATERIALIZED (SELECT vid,z,y,x,(fiber*100+seq//9+1)::INTEGER AS label FROM sk)", _fg("vol", "s9", "min(label) AS label"),
+    SK, OFF, BALL, "s9 AS MATERIALIZED (SELECT vid,z,y,x,(fiber*1048576+seq//9+1)::BIGINT AS label FROM sk)", _fg("vol", "s9", "min(label) AS label"),
     "ids AS MATERIALIZED (SELECT label,row_number() OVER (ORDER BY label) AS new FROM s9 GROUP BY label HAVING count(*)>=5)",
     "ks AS MATERIALIZED (SELECT s9.*,ids.new FROM s9 JOIN ids USING (label))",
     "orp AS MATERIALIZED (SELECT v.vid,v.z,v.y,v.x FROM vol v ANTI JOIN ids USING (label) ANTI JOIN ks USING (vid))",
@@ -305,7 +305,7 @@ _lo = lambda c: f"greatest(a.{c}0,b.{c}0)"
 _hi = lambda c: f"least(a.{c}1,b.{c}1)"
 O["chunk_pairs"] = sql("SELECT a.chunk AS a,b.chunk AS b," + ",".join(f"{_lo(c)} AS {c}0,{_hi(c)} AS {c}1" for c in "zyx") + " FROM grid a JOIN grid b ON a.chunk<b.chunk AND " + " AND ".join(f"{_lo(c)}<{_hi(c)}" for c in "zyx"), SK, *CH)
 O["chunk_assignment"] = sql("SELECT chunk,vid FROM asg", SK, *CH, ASSIGN)
-CONS = (SK, *CH, ASSIGN, "cl AS MATERIALIZED (SELECT chunk,vid,z,y,x,(fiber*10+(seq+chunk%3)//12+1)::INTEGER AS label FROM asg)",
+CONS = (SK, *CH, ASSIGN, "cl AS MATERIALIZED (SELECT chunk,vid,z,y,x,(fiber*4096+(seq+chunk%3)//12+1)::INTEGER AS label FROM asg)",
         "ov AS MATERIALIZED (SELECT a.chunk AS chunk_a,a.label AS label_a,b.chunk AS chunk_b,b.label AS label_b,count(*) AS n FROM cl a JOIN cl b ON a.vid=b.vid AND a.chunk<b.chunk GROUP BY 1,2,3,4)",
         f"sz AS MATERIALIZED (SELECT c.chunk,g.chunk AS other,c.label,count(*) AS n FROM cl c JOIN grid g ON g.chunk<>c.chunk AND {_IN('c', 'g')} GROUP BY 1,2,3)",
         """mt AS MATERIALIZED (SELECT o.*,o.n/least(a.n,b.n)::DOUBLE AS ratio FROM ov o JOIN sz a ON a.chunk=chunk_a AND a.other=chunk_b AND a.label=label_a JOIN sz b ON b.chunk=chunk_b AND b.other=chunk_a AND b.label=label_b WHERE o.n/least(a.n,b.n)::DOUBLE>=0.8)""")
@@ -428,7 +428,7 @@ O["orientation_scores"] = sql("""SELECT fiber,round(CASE WHEN w>0 THEN l/w ELSE
 # sources
 O["gad_points"] = sql("SELECT concat(fiber,'/',seq//64) AS doc,1::INTEGER AS object,seq%64 AS seq,z::DOUBLE AS z,y::DOUBLE AS y,x::DOUBLE AS x,CASE WHEN seq%64%2=1 THEN 1.5::DOUBLE END AS r FROM (SELECT *,count(*) OVER (PARTITION BY fiber,seq//64) AS n FROM sk) WHERE n>=2", SK)
 O["gad_objects"] = sql("""SELECT p.label,p.n_points,round(2.0::DOUBLE*sqrt(greatest(coalesce(v.n,0)/p.n_points::DOUBLE,0.5)/pi()),5) AS diameter,p.first_z FROM (SELECT label,count(*) AS n_points,arg_min(z,seq)::DOUBLE AS first_z FROM s64 GROUP BY 1 HAVING count(*)>=2) p
- LEFT JOIN (SELECT label,count(*) AS n FROM fv GROUP BY 1) v USING (label)""", SK, OFF, BALL, "s64 AS MATERIALIZED (SELECT vid,z,y,x,seq,fiber*1000+seq//64 AS label FROM sk)", _fg("fv", "s64", "min(label) AS label"))
+ LEFT JOIN (SELECT label,count(*) AS n FROM fv GROUP BY 1) v USING (label)""", SK, OFF, BALL, "s64 AS MATERIALIZED (SELECT vid,z,y,x,seq,fiber*1048576+seq//64 AS label FROM sk)", _fg("fv", "s64", "min(label) AS label"))
 NM = "nm AS MATERIALIZED (SELECT concat('model_',p_partkey,'_v',p_size,'.tif') AS name,p_partkey,p_size FROM part)"
 O["natural_sort"] = sql("SELECT name,row_number() OVER (ORDER BY p_partkey,p_size) AS rank FROM nm", NM)
 O["split_train_test"] = sql("SELECT name,rank,CASE WHEN rank>n-greatest(1,round_even(n*0.1::DOUBLE,0)::BIGINT) THEN 'test' ELSE 'train' END AS part FROM (SELECT name,row_number() OVER (ORDER BY p_partkey,p_size) AS rank,count(*) OVER () AS n FROM nm)", NM)
@@ -441,7 +441,7 @@ O["triplet_join"] = f"""SELECT * FROM (SELECT concat('model_',o_orderkey) AS ste
  WHERE vol IS NOT NULL AND intensity IS NOT NULL AND ori IS NOT NULL"""
 O["paired_models"] = "SELECT concat('model_',o_orderkey) AS stem,concat('model_',o_orderkey,'.tif') AS name,o_orderkey::INTEGER AS idx FROM orders WHERE o_orderkey%2=0 AND o_orderkey%3=0"
 O["missing_stamps"] = "SELECT o_orderkey,o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag='R')"
-_P = "concat('patch_',lpad({}::VARCHAR,4,'0'))"
+_P = "concat('patch_',format('{{:04d}}',{}))"
 O["patch_status"] = f"SELECT patch,coalesce(n,0) AS n_stamps,CASE WHEN n IS NULL THEN 'missing' ELSE 'extracted' END AS status FROM (SELECT DISTINCT {_P.format('c_custkey')} AS patch FROM customer) LEFT JOIN (SELECT {_P.format('o_custkey')} AS patch,count(*) AS n FROM orders GROUP BY 1) USING (patch)"
 O["masked_crops"] = sql("SELECT label," + ",".join(f"({c}-greatest({c}0-2,0))::INTEGER AS {c}" for c in "zyx") + " FROM fg JOIN (SELECT label," + ",".join(f"min({c}) AS {c}0" for c in "zyx") + " FROM fg GROUP BY 1) USING (label)", *FGL)
 
@@ -450,4 +450,78 @@ O["distance_transform"] = sql(f"SELECT patch,z,y,x,round(sqrt(min(q)::DOUBLE),6)
                               *FG8, f"pa AS MATERIALIZED (SELECT {VID('z//24', 'y//24', 'x//24')} AS patch,{','.join(f'({c}%24)::INTEGER AS {c}' for c in 'zyx')} FROM fg)",
                               "r8 AS (SELECT range AS v FROM range(-3,4))", "o8 AS MATERIALIZED (SELECT a.v AS z,b.v AS y,c.v AS x,a.v*a.v+b.v*b.v+c.v*c.v AS q FROM r8 a,r8 b,r8 c)")
 
+# end directions: closed-form eigenvector of the fixed-point tensor
+_E6 = ("zz", "zy", "zx", "yy", "yx", "xx")
+_M3 = [["zz", "zy", "zx"], ["zy", "yy", "yx"], ["zx", "yx", "xx"]]
+_SH = [[f"(m{n}-l)" if i == j else f"m{n}" for j, n in enumerate(row)] for i, row in enumerate(_M3)]
+_X3 = lambda a, b: [f"({a[1]}*{b[2]}-{a[2]}*{b[1]})", f"({a[2]}*{b[0]}-{a[0]}*{b[2]})", f"({a[0]}*{b[1]}-{a[1]}*{b[0]})"]
+_D3 = lambda a, b: "(" + "+".join(f"{p}*{q}" for p, q in zip(a, b)) + ")"
+
+
+def _vector(name, src):
+    """Longest cross product of two rows of the shifted matrix, its squared length and the unit vector."""
+    xs = [_X3(_SH[i], _SH[j]) for i, j in ((0, 1), (0, 2), (1, 2))]
+    cols = ",".join(f"{xs[k][c]} AS x{k}{c}" for k in range(3) for c in range(3))
+    pick = ",".join(f"CASE WHEN s0>=s1 AND s0>=s2 THEN x0{c} WHEN s1>=s2 THEN x1{c} ELSE x2{c} END AS v{c}" for c in range(3))
+    return (f"{name}a AS (SELECT *,{cols} FROM {src})", f"{name}b AS (SELECT *,{','.join(f'x{k}0*x{k}0+x{k}1*x{k}1+x{k}2*x{k}2 AS s{k}' for k in range(3))} FROM {name}a)",
+            f"{name}c AS (SELECT * EXCLUDE (x00,x01,x02,x10,x11,x12,x20,x21,x22,s0,s1,s2),{pick},greatest(s0,s1,s2) AS s,greatest(s0,s1,s2)>1e-12*p2*p2 AS good FROM {name}b)",
+            f"{name} AS (SELECT *," + ",".join(f"v{c}/sqrt(CASE WHEN good THEN s ELSE 1.0 END) AS w{c}" for c in range(3)) + f" FROM {name}c)")
+
+
+_DG = [f"(m{n}-q)" for n in ("zz", "yy", "xx")]
+_BIG = lambda c: f"CASE WHEN n0>=n1 AND n0>=n2 THEN {_SH[0][c]} WHEN n1>=n2 THEN {_SH[1][c]} ELSE {_SH[2][c]} END"
+_RAW = ",".join(f"(coalesce(sum({FX(f'u{a}*u{b}')}),0)::BIGINT)::DOUBLE/1000000000.0::DOUBLE AS m{a}{b}" for a, b in _E6)
+EIGEN = (
+    f"""te AS MATERIALIZED (SELECT a.frag,a."end",any_value(a.avid) AS avid,any_value(a.az) AS az,any_value(a.ay) AS ay,any_value(a.ax) AS ax,{_RAW} FROM an a LEFT JOIN (SELECT *,oz/({_u}) AS uz,oy/({_u}) AS uy,ox/({_u}) AS ux,cz,cy,cx FROM ori, (SELECT range AS cz FROM range(-2,3)), (SELECT range AS cy FROM range(-2,3)), (SELECT range AS cx FROM range(-2,3))) f
+ ON f.vid+f.cz*{DZ}+f.cy*{DY}+f.cx=a.avid GROUP BY 1,2)""",
+    "e1 AS (SELECT *,(mzz+myy+mxx)/3.0::DOUBLE AS q FROM te)",
+    f"e2 AS (SELECT *,{'+'.join(f'{d}*{d}' for d in _DG)}+2.0*(mzy*mzy+mzx*mzx+myx*myx) AS p2 FROM e1)", "e3 AS (SELECT *,sqrt(p2/6.0) AS p FROM e2)",
+    f"""e4 AS MATERIALIZED (SELECT *,CASE WHEN p>1e-9 THEN q+2.0*p*cos(acos(least(greatest(({_DG[0]}*({_DG[1]}*{_DG[2]}-myx*myx)-mzy*(mzy*{_DG[2]}-myx*mzx)+mzx*(mzy*myx-{_DG[1]}*mzx))/CASE WHEN p>1e-9 THEN 2.0*p*p*p ELSE 1.0 END,-1.0),1.0))/3.0) ELSE q END AS l FROM e3)""",
+    *_vector("f1", "e4"),
+    "f2 AS MATERIALIZED (SELECT * EXCLUDE (v0,v1,v2,s,good,w0,w1,w2,l),CASE WHEN good THEN w0*(mzz*w0+mzy*w1+mzx*w2)+w1*(mzy*w0+myy*w1+myx*w2)+w2*(mzx*w0+myx*w1+mxx*w2) ELSE l END AS l FROM f1)",
+    *_vector("f3", "f2"),
+    f"f4 AS (SELECT *,{','.join(f'{_D3(_SH[k], _SH[k])} AS n{k}' for k in range(3))} FROM f3)", f"f5 AS (SELECT *,{_BIG(0)} AS b0,{_BIG(1)} AS b1 FROM f4)",
+    "f6 AS (SELECT *,sqrt(b0*b0+b1*b1) AS pn FROM f5)",
+    "f7 AS (SELECT *,CASE WHEN good THEN w0 WHEN pn<=1e-6*p THEN 1.0 ELSE b1/pn END AS g0,CASE WHEN good THEN w1 WHEN pn<=1e-6*p THEN 0.0 ELSE -b0/pn END AS g1,CASE WHEN good THEN w2 ELSE 0.0 END AS g2 FROM f6)",
+    "f8 AS MATERIALIZED (SELECT frag,\"end\",avid,az,ay,ax," + ",".join(f"g{c}*CASE WHEN CASE WHEN abs(g0)>1e-7 THEN g0 WHEN abs(g1)>1e-7 THEN g1 ELSE g2 END<0 THEN -1.0 ELSE 1.0 END AS e{a}" for c, a in enumerate("zyx")) + " FROM f7)",
+    "f9 AS (SELECT f8.*,e.vid,e.z,e.y,e.x,(e.z-az)::DOUBLE AS vz,(e.y-ay)::DOUBLE AS vy,(e.x-ax)::DOUBLE AS vx FROM f8 JOIN et e USING (frag,\"end\"))",
+    "ed AS (SELECT *,sqrt(vz*vz+vy*vy+vx*vx) AS nn,CASE WHEN sqrt(vz*vz+vy*vy+vx*vx)>1e-4 AND ez*vz+ey*vy+ex*vx<0 THEN -1.0 ELSE 1.0 END AS sg FROM f9)")
+O["end_directions"] = sql("SELECT frag,\"end\",vid,z,y,x," + ",".join(f"round(e{c}*sg,6)+0.0::DOUBLE AS o{c}" for c in "zyx") + "," + ",".join(f"round(CASE WHEN nn>1e-4 THEN v{c}/CASE WHEN nn<1e-8 THEN 1.0 ELSE nn END ELSE e{c}*sg END,6)+0.0::DOUBLE AS t{c}" for c in "zyx") + " FROM ed",
+                           *[c for c in _frags("sk") if not c.startswith("et ")], *LOOPS, _ETL, ANCH, ORI, *EIGEN)
+
+# greedy matching: bridges by rank, the used ends and the free partner of each path end carried along
+_SLOT = lambda s: f"(b.frag_{s}::HUGEINT*2+CASE WHEN f{s}.head=f{s}.tail THEN 0 ELSE b.end_{s} END)"
+_MATE = lambda s: f"(b.frag_{s}::HUGEINT*2+1-CASE WHEN f{s}.head=f{s}.tail THEN 0 ELSE b.end_{s} END)"
+MATCH = (
+    f"bc AS MATERIALIZED (SELECT *,{COST} AS cost,0.40::DOUBLE*mutual+0.25::DOUBLE*cos_a+0.25::DOUBLE*cos_b+0.20::DOUBLE*durable-0.10::DOUBLE*gap/25.0 AS score FROM (SELECT *,sqrt(mz*mz+my*my+mx*mx) AS mn FROM (SELECT *,sz/k AS mz,sy/k AS my,sx/k AS mx FROM cd)))",
+    f"bo AS MATERIALIZED (SELECT b.frag_a,b.end_a,b.frag_b,b.end_b,b.vid_a,b.vid_b,b.cost,{_SLOT('a')} AS s,{_SLOT('b')} AS t,{_MATE('a')} AS ms,{_MATE('b')} AS mt,row_number() OVER (ORDER BY round(b.cost,9),-round(b.score,9),frag_a,end_a,frag_b,end_b) AS r FROM bc b JOIN fl fa ON fa.frag=b.frag_a JOIN fl fb ON fb.frag=b.frag_b WHERE b.cost<=35)",
+    """gm(r,used,ks,vs,took) AS (SELECT 0::BIGINT,[]::HUGEINT[],[]::HUGEINT[],[]::HUGEINT[],false UNION ALL
+ SELECT r,CASE WHEN ok THEN used||[s,t] ELSE used END,CASE WHEN ok THEN [ps,pt]||ks ELSE ks END,CASE WHEN ok THEN [pt,ps]||vs ELSE vs END,ok FROM (
+ SELECT *,NOT list_contains(used,s) AND NOT list_contains(used,t) AND ps<>t AS ok FROM (
+ SELECT o.r,o.s,o.t,g.used,g.ks,g.vs,coalesce(g.vs[list_position(g.ks,o.s)],o.ms) AS ps,coalesce(g.vs[list_position(g.ks,o.t)],o.mt) AS pt FROM gm g JOIN bo o ON o.r=g.r+1)))""",
+    "mb AS MATERIALIZED (SELECT o.* FROM bo o JOIN gm g USING (r) WHERE g.took)")
+O["matched_bridges"] = sql("SELECT frag_a,end_a,frag_b,end_b,vid_a,vid_b,round(cost,5) AS cost FROM mb", *_BR8, *MATCH)
+CHAIN = ("me AS MATERIALIZED (SELECT frag_a AS a,frag_b AS b FROM mb UNION ALL SELECT frag_b,frag_a FROM mb)", "fn AS MATERIALIZED (SELECT frag AS vid FROM fl)", _cc("cm", "fn", "me"),
+         "ch AS MATERIALIZED (SELECT c.l AS root,count(*)::INTEGER AS n_fragments,sum(f.length)::BIGINT AS total_length FROM cm c JOIN fl f ON f.frag=c.v GROUP BY 1)")
+O["chain_table"] = sql("SELECT root,n_fragments,total_length FROM ch", *_BR8, *MATCH, *CHAIN)
+
+# frames: the two reflections of each step, folded along the curve
+_T0 = "abs(oz)>=0.9"
+_RV = lambda n: f"(({'+'.join(f'v{c}*{n}{c}' for c in 'zyx')})*2.0/c1)"
+FRAME = (
+    f"st AS MATERIALIZED (SELECT fiber,seq,{','.join(f'(lead({c}) OVER w-{c})::DOUBLE AS v{c},o{c} AS t{c},lead(o{c}) OVER w AS q{c}' for c in 'zyx')} FROM ori {_W})",
+    "s1 AS (SELECT *,vz*vz+vy*vy+vx*vx AS c1 FROM st WHERE vz IS NOT NULL)",
+    "s2 AS (SELECT *," + ",".join(f"q{c}-(t{c}-{_RV('t')}*v{c}) AS r{c}" for c in "zyx") + " FROM s1)", "s3 AS MATERIALIZED (SELECT *,rz*rz+ry*ry+rx*rx AS c2 FROM s2)",
+    f"""n0 AS MATERIALIZED (SELECT fiber,a/n AS nz,b/n AS ny,c/n AS nx FROM (SELECT *,sqrt(a*a+b*b+c*c) AS n FROM (SELECT fiber,CASE WHEN {_T0} THEN -ox ELSE 0.0 END AS a,CASE WHEN {_T0} THEN 0.0 ELSE ox END AS b,CASE WHEN {_T0} THEN oz ELSE -oy END AS c FROM ori WHERE seq=0)))""",
+    "fr(fiber,seq,nz,ny,nx) AS (SELECT fiber,0::BIGINT,nz,ny,nx FROM n0 UNION ALL SELECT fiber,seq+1," + ",".join(f"CASE WHEN c2<1e-8 THEN h{c} ELSE h{c}-2.0/c2*(rz*hz+ry*hy+rx*hx)*r{c} END" for c in "zyx") + " FROM (SELECT s.*,"
+    + ",".join(f"f.n{c}-{_RV('f.n')}*v{c} AS h{c}" for c in "zyx") + " FROM fr f JOIN s3 s ON s.fiber=f.fiber AND s.seq=f.seq))",
+    "fu AS (SELECT o.fiber,o.seq,oz,oy,ox," + ",".join(f"n{c}-(nz*oz+ny*oy+nx*ox)*o{c} AS m{c}" for c in "zyx") + " FROM fr JOIN ori o ON o.fiber=fr.fiber AND o.seq=fr.seq)",
+    "fw AS (SELECT fiber,seq,oz,oy,ox," + ",".join(f"m{c}/sqrt(mz*mz+my*my+mx*mx) AS n{c}" for c in "zyx") + " FROM fu)")
+O["curve_frames"] = sql("SELECT fiber AS curve,seq," + ",".join(f"round(n{c},6)+0.0::DOUBLE AS n{c}" for c in "zyx") + ",round(oy*nx-ox*ny,6)+0.0::DOUBLE AS bz,round(ox*nz-oz*nx,6)+0.0::DOUBLE AS by,round(oz*ny-oy*nz,6)+0.0::DOUBLE AS bx FROM fw", SK, ORI, *FRAME)
+
+_IN12 = " AND ".join(f"s.{c}>=b.{c}0 AND s.{c}<b.{c}0+12" for c in "zyx")
+O["cropped_curves"] = sql("SELECT i.block,i.fiber AS curve,i.seq," + ",".join(f"(i.{c}-i.{c}0)::INTEGER AS {c}" for c in "zyx") + " FROM inb i JOIN per USING (block,try,fiber) JOIN (SELECT block,min(try) AS try FROM (SELECT block,try FROM per GROUP BY 1,2 HAVING count(*)>=2) GROUP BY 1) USING (block,try)", SK, _M,
+                          f"bx AS MATERIALIZED (SELECT id//30 AS block,id%30 AS try,{','.join(f'floor(((id*{k}+{k})%997)/997.0::DOUBLE*(greatest(n{c}-12,0)+1))::INTEGER AS {c}0' for c, k in zip('zyx', (379, 521, 761)))} FROM (SELECT unnest(range(0,30*(3+(SELECT max(fiber)//8 FROM sk)))) AS id), m)",
+                          f"inb AS MATERIALIZED (SELECT b.*,s.fiber,s.seq,s.z,s.y,s.x FROM bx b JOIN sk s ON {_IN12})", "per AS MATERIALIZED (SELECT block,try,fiber FROM inb GROUP BY 1,2,3 HAVING count(*)>=6)")
+
 ORACLES = O

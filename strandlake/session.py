@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,18 +28,11 @@ def get_spark(app: str = "strandlake", master: str | None = None, shuffle_partit
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one in local mode only."""
+    """The folder all executors share: ``spark.checkpoint.dir``, else the warehouse folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None and spark.sparkContext.getCheckpointDir() is not None:
         folder = spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = _LOCAL.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix=f"strandlake-{os.getpid()}-"))
-    return folder
-
-
-_LOCAL: dict[str, str] = {}
+    return folder if folder is not None else spark.conf.get("spark.sql.warehouse.dir")
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -52,4 +43,13 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/strandlake/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._barrier = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove barrier tables that nothing reads any more: what earlier rounds of a loop wrote."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._barrier)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

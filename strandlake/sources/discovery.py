@@ -15,9 +15,11 @@ def list_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFr
 
 
 def natural_key(c: Column) -> Column:
-    """Sort key that orders digit runs as numbers: runs are left-padded, text is lower-cased."""
+    """Sort key that orders digit runs of any length as numbers: their length comes first; text is lower-cased."""
     parts = F.regexp_extract_all(F.lower(c), F.lit(r"(\d+|\D+)"), F.lit(1))
-    pad = lambda s: F.when(s.rlike(r"^\d"), F.concat(F.lit("0"), F.lpad(s, 20, "0"))).otherwise(F.concat(F.lit("1"), s))
+    plain = lambda s: F.regexp_replace(s, r"^0+(?=\d)", "")
+    pad = lambda s: F.when(s.rlike(r"^\d"), F.concat(F.lit("0"), F.lpad(F.length(plain(s)).cast("string"), 10, "0"), plain(s))).otherwise(
+        F.concat(F.lit("1"), s))
     return F.array_join(F.transform(parts, pad), "\u0001")
 
 
@@ -85,9 +87,14 @@ def repeat_rows(df: DataFrame, k: int) -> DataFrame:
 
 
 def normalize_patch(c: Column) -> Column:
-    """'1', 'patch_0001', 'patch_0001_vol.npy' or a path to 'patch_0001'."""
+    """'1', 'patch_0001', 'patch_0001_vol.npy' or a path to 'patch_0001', numbers with at least four digits.
+
+    The number after 'patch_' counts, else the first one; a name without a number stays as it is.
+    """
     base = F.element_at(F.split(c, "/"), -1)
-    return F.concat(F.lit("patch_"), F.lpad(F.regexp_extract(base, r"(\d+)", 1), 4, "0"))
+    named = F.regexp_extract(base, r"patch_(\d+)", 1)
+    n = F.regexp_replace(F.when(named != "", named).otherwise(F.regexp_extract(base, r"(\d+)", 1)), r"^0+(?=\d)", "")
+    return F.when(n == "", base).otherwise(F.concat(F.lit("patch_"), F.repeat(F.lit("0"), F.greatest(F.lit(0), 4 - F.length(n))), n))
 
 
 def patch_status(patches: DataFrame, stamps: DataFrame, meta: DataFrame | None = None) -> DataFrame:

@@ -30,7 +30,7 @@ def skeleton(spark: SparkSession, sf_dir: str, spacing: int = 3) -> DataFrame:
     band = F.floor(F.col("user_id") / 16)
     z = F.col("seq") % LAYER + 2 * LAYER * F.floor(band / BANDS)
     y = spacing * (band % BANDS) + F.col("event_id") % 3
-    x = spacing * (F.col("user_id") % 16) + F.floor("value") % 3 + LANE * F.floor(F.col("seq") / LAYER)
+    x = spacing * (F.col("user_id") % 16) + F.pmod(F.floor("value"), F.lit(3)) + LANE * F.floor(F.col("seq") / LAYER)
     return with_vid(e.select(
         z.cast("int").alias("z"), y.cast("int").alias("y"), x.cast("int").alias("x"),
         F.col("user_id").alias("fiber"), "seq", (F.col("value") / 500.0).alias("intensity")))

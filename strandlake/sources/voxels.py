@@ -80,13 +80,12 @@ def rescale(c: Column, bits: int) -> Column:
     return c / F.lit(float((1 << bits) - 1))
 
 
-def is_instance(df: DataFrame, path: str, value: str = "v0", every: int = 4) -> bool:
-    """Whether a volume holds labels: by name, else by more than one distinct value on a regular sub-grid."""
+def is_instance(df: DataFrame, path: str, value: str = "v0") -> bool:
+    """Whether a volume holds labels: by name, else by more than one distinct value among its non-zero voxels."""
     name = path.rsplit("/", 1)[-1].lower()
     if "instance" in name or "seg" in name:
         return True
-    sub = df.filter((F.col("z") % every == 0) & (F.col("y") % every == 0) & (F.col("x") % every == 0))
-    return sub.agg(F.min(value) != F.max(value)).first()[0] or False
+    return df.filter(F.col(value) != 0).agg(F.min(value) != F.max(value)).first()[0] or False
 
 
 def write_tiles(vox: DataFrame, path: str, size: int = 256, mode: str = "overwrite") -> None:

@@ -37,9 +37,9 @@ def test_components_match_brute_force_for_every_tiling(vox):
     pts = {tuple(map(int, p)) for p in rng.integers(0, 20, (500, 3))}
     want = {frozenset(c) for c in brute_components(pts)}
     df = vox(sorted(pts)).cache()
-    for tile, residual in ((64, 50_000), (4, 0)):
+    for tile in (64, 4):
         got = {}
-        for r in components.connected_components(df, tile=tile, residual=residual).collect():
+        for r in components.connected_components(df, tile=tile).collect():
             got.setdefault(r.comp, set()).add((r.z, r.y, r.x))
         assert {frozenset(c) for c in got.values()} == want
         v = lambda p: (p[0] << 42) + (p[1] << 21) + p[2]
@@ -48,10 +48,39 @@ def test_components_match_brute_force_for_every_tiling(vox):
 
 def test_edge_components_on_a_long_path_and_a_star(spark):
     e = [(i, i + 1) for i in range(100, 300)] + [(1000, i) for i in range(1001, 1200)]
-    r = components.edge_components(spark.createDataFrame(e, "a long, b long"), residual=0).collect()
+    r = components.edge_components(spark.createDataFrame(e, "a long, b long")).collect()
     assert {x.v: x.root for x in r} == {**{i: 100 for i in range(100, 301)}, **{i: 1000 for i in range(1000, 1200)}}
 
 
+def test_edge_components_over_many_partitions(spark):
+    """Partitions that adaptive execution may not merge: contraction alone is not enough."""
+    rng = np.random.default_rng(9)
+    e = [(int(a), int(b)) for a, b in rng.integers(0, 400, (330, 2))] + [(i, i + 1) for i in range(1000, 1150)]
+    root = {}
+
+    def find(a):
+        while root.setdefault(a, a) != a:
+            a = root[a]
+        return a
+
+    for a, b in e:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.v: r.root for r in components.edge_components(spark.createDataFrame(e, "a long, b long")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {v: find(v) for a, b in e if a != b for v in (a, b)}
+
+
+def test_flood_crosses_tiles(vox):
+    pts = [(z, 5, 5, 7 if z == 0 else 3 if z == 29 else None) for z in range(30)]
+    for tile in (4, 48):
+        got = {r.vid >> 42: r.label for r in diffuse.flood(vox(pts, "label int"), tile).collect()}
+        assert got == {z: 7 if z < 15 else 3 for z in range(30)}
+
+
 def test_h_ladder_loses_its_rung(vox):
     rails = line(0, 80, 10, 10) + line(0, 80, 10, 20)
     rung = [(40, 10, x) for x in range(11, 20)]
@@ -112,9 +141,8 @@ def test_distributed_matching_is_the_sequential_one(spark, seed):
     c = spark.createDataFrame(rows, "frag_a long, end_a int, frag_b long, end_b int, cost double, score double")
     c = c.withColumns({"vid_a": F.lit(0).cast("long"), "vid_b": F.lit(0).cast("long")}).cache()
     want = python_greedy(single, rows)
-    for residual in (50_000, 0):
-        got = matching.greedy_bridges(ends, c, residual=residual).collect()
-        assert sorted((r.frag_a, r.end_a, r.frag_b, r.end_b) for r in got) == want
+    got = matching.greedy_bridges(ends, c).collect()
+    assert sorted((r.frag_a, r.end_a, r.frag_b, r.end_b) for r in got) == want
 
 
 def test_broken_line_becomes_one_chain(vox):
@@ -132,13 +160,13 @@ def test_triangle_refuses_the_cycle(spark):
     rows = [(1, 1, 2, 0, 1.0, 0.0), (2, 1, 3, 0, 1.0, 0.0), (1, 0, 3, 1, 2.0, 0.0)]
     c = spark.createDataFrame(rows, "frag_a long, end_a int, frag_b long, end_b int, cost double, score double").withColumns(
         {"vid_a": F.lit(0).cast("long"), "vid_b": F.lit(0).cast("long")})
-    assert matching.greedy_bridges(ends, c, residual=0).count() == 2
+    assert matching.greedy_bridges(ends, c).count() == 2
 
 
 def test_diffusion_respects_components_and_locks(vox):
     fg = vox([(z, y, x) for z in range(10) for y in range(4) for x in range(4)] + [(z, 10, 10) for z in range(5)])
     skel = vox([(0, 1, 1, 1), (9, 2, 2, 2)], "label int")
-    for p in (Params(), Params(max_flood_box=0)):
+    for p in (Params(), Params(diffuse_rule="nearest")):
         got = {(r.z, r.y, r.x): r.label for r in diffuse.diffuse(fg, skel, p).collect()}
         assert len(got) == 160 and got[(0, 1, 1)] == 1 and got[(9, 2, 2)] == 2
         assert got[(1, 1, 1)] == 1 and got[(8, 2, 2)] == 2
