@@ -76,8 +76,9 @@ def dilate_by_radius(points: DataFrame, shape, radius: str = "r", fixed: float |
 
 
 def unit_hash(seed: int, *cols):
-    """Uniform number in [0, 1) from a row's own keys: the same under any partitioning."""
-    return F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1 << 30)).cast("double") / float(1 << 30)
+    """Uniform number in [0, 1) from a row's own integer keys: the same under any partitioning and in any engine."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[c.cast("string") for c in cols])
+    return F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("double") / float(1 << 28)
 
 
 def normal_hash(seed: int, *cols):

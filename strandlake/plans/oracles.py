@@ -524,4 +524,23 @@ O["cropped_curves"] = sql("SELECT i.block,i.fiber AS curve,i.seq," + ",".join(f"
                           f"bx AS MATERIALIZED (SELECT id//30 AS block,id%30 AS try,{','.join(f'floor(((id*{k}+{k})%997)/997.0::DOUBLE*(greatest(n{c}-12,0)+1))::INTEGER AS {c}0' for c, k in zip('zyx', (379, 521, 761)))} FROM (SELECT unnest(range(0,30*(3+(SELECT max(fiber)//8 FROM sk)))) AS id), m)",
                           f"inb AS MATERIALIZED (SELECT b.*,s.fiber,s.seq,s.z,s.y,s.x FROM bx b JOIN sk s ON {_IN12})", "per AS MATERIALIZED (SELECT block,try,fiber FROM inb GROUP BY 1,2,3 HAVING count(*)>=6)")
 
+# augmentation: seeded draws are the first 28 bits of an MD5 digest
+_U = lambda seed, key: f"(('0x'||substr(md5('{seed}:'||{key}::BIGINT),1,7))::BIGINT/268435456.0::DOUBLE)"
+_N = lambda seed, key: f"(sqrt(-2.0*ln(greatest({_U(seed, key)},1e-12)))*cos({2.0 * math.pi!r}::DOUBLE*{_U(seed + 7919, key)}))"
+_TURN = lambda p, q, m: f"CASE k WHEN 0 THEN {p} WHEN 1 THEN {m(q)} WHEN 2 THEN {m(p)} ELSE {q} END"
+_BACK = lambda p, q, m: f"CASE k WHEN 0 THEN {q} WHEN 1 THEN {p} WHEN 2 THEN {m(q)} ELSE {m(p)} END"
+_MI, _NG = (lambda c: f"127-{c}"), (lambda c: f"-{c}")
+_turns = [f"au{i + 1} AS (SELECT * REPLACE ({_TURN(a, b, _MI)} AS {a},{_BACK(a, b, _MI)} AS {b},{_TURN('o' + a, 'o' + b, _NG)} AS o{a},{_BACK('o' + a, 'o' + b, _NG)} AS o{b}) FROM (SELECT *,floor(4*{_U(17 + i, 'sample')})::INTEGER AS k FROM (SELECT sample,seq,z,y,x,oz,oy,ox FROM au{i})))"
+          for i, (a, b) in enumerate((("y", "x"), ("z", "x"), ("z", "y")))]
+O["augmented_field"] = sql(f"SELECT sample,seq,z::INTEGER AS z,y::INTEGER AS y,x::INTEGER AS x,{','.join(f'round(o{c},6)+0.0::DOUBLE AS o{c}' for c in 'zyx')} FROM au3", SK, ORI,
+                           "au0 AS (SELECT fiber AS sample,seq," + ",".join(f"CASE WHEN {_U(7 + i, 'fiber')}>0.5 THEN 127-{c} ELSE {c} END AS {c},CASE WHEN {_U(7 + i, 'fiber')}>0.5 THEN -o{c} ELSE o{c} END AS o{c}" for i, c in enumerate("zyx")) + " FROM ori)", *_turns)
+_CURVE = 'curve'
+_M95 = lambda c: f"95.0-{c}"
+O["augmented_curves"] = sql("SELECT curve,seq,block," + ",".join(f"round({c}+CASE WHEN n>4 THEN sin({2 * math.pi!r}::DOUBLE*seq/greatest(n-1,1))*d{c}/nn*amp ELSE 0.0 END,6)+0.0::DOUBLE AS {c}" for c in "zyx") + " FROM ac3", SK,
+                            "ac0 AS (SELECT fiber AS curve,seq,fiber//8 AS block,z,y,x,count(*) OVER (PARTITION BY fiber) AS n FROM sk)",
+                            "ac1 AS (SELECT * REPLACE (" + ",".join(f"{c}+{_N(i, 'block')}*2.5::DOUBLE AS {c}" for i, c in enumerate("zyx")) + ") FROM ac0)",
+                            f"ac2 AS (SELECT * REPLACE (" + ",".join(f"CASE WHEN {_U(20 + i, 'block')}>0.5 THEN {_M95(c)} ELSE {c} END AS {c}" for i, c in enumerate("zyx")) + f"),floor(4*{_U(30, 'block')})::INTEGER AS k FROM ac1)",
+                            "ac3 AS (SELECT * REPLACE (CASE k WHEN 0 THEN y WHEN 1 THEN x WHEN 2 THEN 95.0-y ELSE 95.0-x END AS y,CASE k WHEN 0 THEN x WHEN 1 THEN 95.0-y WHEN 2 THEN 95.0-x ELSE y END AS x),"
+                            f"0.5::DOUBLE+0.7::DOUBLE*{_U(50, 'curve')} AS amp,dz,dy,dx,sqrt(dz*dz+dy*dy+dx*dx)+1e-8 AS nn FROM (SELECT *,{','.join(f'{_N(40 + i, _CURVE)} AS d{c}' for i, c in enumerate('zyx'))} FROM ac2))")
+
 ORACLES = O
