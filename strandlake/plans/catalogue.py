@@ -315,16 +315,11 @@ def end_directions(s, d):
     return rounded(fragments.end_directions(fv, materialize(e), o), ["oz", "oy", "ox", "tz", "ty", "tx"])
 
 
-def _field_ends(s, d):
-    """Fragment ends that point along the field at the end itself, away from the other end."""
+def _directed_ends(s, d):
+    """Fragment ends with the outward direction of the field around their anchors."""
     o, fv, e = _fragments(s, d, 8)
     e = materialize(e)
-    t = fragments.end_table(e).join(e.select("frag", "head", "tail"), "frag")
-    other = zyx(F.when(F.col("end") == 0, F.col("tail")).otherwise(F.col("head")))
-    t = t.withColumns({f"w{c}": F.col(c) - v for c, v in zip("zyx", other)})
-    t = t.join(o.select("vid", "oz", "oy", "ox"), "vid")
-    sg = F.when(dot(vec("o"), vec("w")) < 0, -1.0).otherwise(1.0)
-    return o, fv, e, materialize(t.select("frag", "end", "vid", "z", "y", "x", *[(F.col(f"o{c}") * sg).alias(f"o{c}") for c in "zyx"]))
+    return o, fv, e, materialize(fragments.end_directions(fv, e, o).select("frag", "end", "vid", "z", "y", "x", "oz", "oy", "ox"))
 
 
 @query
@@ -335,7 +330,7 @@ def endpoint_pairs(s, d):
 
 
 def _candidates(s, d):
-    o, fv, e, ends = _field_ends(s, d)
+    o, fv, e, ends = _directed_ends(s, d)
     return fv, e, bridges.with_cost(bridges.bridge_candidates(ends, o, None, BRIDGE))
 
 
