@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandlake.functions.vec3 import dot, vec
 from strandlake.grid import ball_offsets, pack, with_vid, zyx
 from strandlake.operators import (bridges, chunks, components, costs, curves, diffuse, fields, fragments, geometry, matching,
-                                  metrics, ranges, ranks, sever, skeleton, stencil, windows3d)
+                                  metrics, ranges, ranks, sever, skeleton, stamps, stencil, windows3d)
 from strandlake.params import Params
 from strandlake.session import materialize
 from strandlake.sources import discovery, gad, lift
@@ -838,6 +838,125 @@ def masked_crops(s, d):
     return f(_labelled_fg(s, d), 2).select("label", "z", "y", "x")
 
 
+def _stamp_listing(s, d):
+    """Stamp files made from lineitem: which of the three parts exist depends on the row."""
+    li = s.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
+    k = F.concat(F.lit("patch_"), F.lpad(F.col("l_orderkey").cast("string"), 7, "0"), F.lit("_fiber_"), F.lpad(F.col("l_linenumber").cast("string"), 2, "0"))
+    mk = lambda cond, part: F.when(cond, F.concat(k, F.lit(f"_{part}.npy")))
+    arr = F.array_compact(F.array(mk(F.lit(True), "vol"), mk(F.col("l_returnflag") != "R", "intensity"), mk(F.col("l_linestatus") == "F", "ori"),
+                                  F.when(F.col("l_linenumber") == 1, F.concat(F.lit("notes_"), F.col("l_orderkey"), F.lit(".txt")))))
+    return li.select("l_orderkey", "l_linenumber", F.explode(arr).alias("name"))
+
+
+def _patch_key(c):
+    return F.concat(F.lit("patch_"), F.lpad(F.col(c).cast("string"), 7, "0"))
+
+
+@query
+def stamps_to_extract(s, d):
+    li = s.read.parquet(f"{d}/lineitem.parquet")
+    vox = li.select(_patch_key("l_orderkey").alias("patch"), F.col("l_linenumber").cast("int").alias("fiber"),
+                    F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("l_quantity").cast("int") % 9)))).drop("col")
+    return stamps.stamps_to_extract(vox, _stamp_listing(s, d))
+
+
+@query
+def removed_stamps(s, d):
+    o = s.read.parquet(f"{d}/orders.parquet").filter("o_orderstatus = 'F'").select(_patch_key("o_orderkey").alias("patch"))
+    return stamps.without_patch_stamps(_stamp_listing(s, d).select("name"), o).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def cleared_stamps(s, d):
+    return stamps.without_stamps(_stamp_listing(s, d).select("name"))
+
+
+@query
+def synced_library(s, d):
+    li = s.read.parquet(f"{d}/lineitem.parquet").select(_patch_key("l_orderkey").alias("patch"), F.col("l_linenumber").cast("int").alias("fiber"), "l_returnflag", "l_linestatus", "l_orderkey")
+    files = _stamp_listing(s, d).filter("l_orderkey % 3 <> 0").select("name")
+    return stamps.synced_library(li.filter("l_returnflag <> 'N'"), li.filter("l_linestatus = 'F'"), files)
+
+
+@query
+def save_slots(s, d):
+    o = s.read.parquet(f"{d}/orders.parquet")
+    return stamps.save_slots(o.select(F.col("o_orderkey").alias("request"), F.when(F.col("o_orderstatus") == "F", F.col("o_custkey")).alias("loaded")),
+                             s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("index")))
+
+
+@query
+def patch_checks(s, d):
+    pid = pack(*[F.floor(F.col(c) / 24) for c in "zyx"]).alias("patch")
+    return stamps.patch_checks(_labelled_fg(s, d).select(pid, "vid", "label"), lift.skeleton(s, d).select(pid, "vid", (F.col("fiber") + 1).cast("int").alias("label")))
+
+
+@query
+def fiber_quality(s, d):
+    from strandlake.operators.donors import through_curves as f
+
+    return stamps.fiber_quality(f(_curve(s, d), 70, 75.0)).select("curve", "n", "valid", "reason")
+
+
+@query
+def intact_counts(s, d):
+    from strandlake.operators.donors import through_curves as f
+
+    return stamps.intact_counts(f(_curve(s, d), 70, 40.0).withColumn("patch", F.floor(F.col("curve") / 4)))
+
+
+@query
+def labels_by_volume(s, d):
+    pid = pack(*[F.floor(F.col(c) / 24) for c in "zyx"]).alias("patch")
+    return stamps.by_volume(_labelled_fg(s, d).select(pid, "label"), "patch")
+
+
+@query
+def face_coordinates(s, d):
+    f = lift.skeleton(s, d).withColumn("p", stamps.face_coordinates(48)).filter("p is not null")
+    return f.select("vid", "p.face", R(F.col("p.u")).alias("u"), R(F.col("p.v")).alias("v"))
+
+
+@query
+def opened_patch(s, d):
+    """A cube asked for beyond the volume's end is moved back inside."""
+    sk = materialize(lift.skeleton(s, d))
+    return stamps.open_patch(sk, extent(sk), (99999, 5, 3), 24)[0].select("z", "y", "x", "fiber")
+
+
+@query
+def one_of_each_stem(s, d):
+    return stamps.one_of_each_stem(_files(s, d), ["_vol.tif", "_vol.npy"])
+
+
+@query
+def first_occurrences(s, d):
+    e = s.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("value"), F.col("o_orderkey").alias("at"))
+    return stamps.first_occurrences(e, "value", "at")
+
+
+@query
+def metrics_report(s, d):
+    return stamps.report_lines(panoptic_metrics(s, d))
+
+
+@query
+def decoded_field(s, d):
+    """Sixteen-bit samples of the field scaled to 0..1, and whether the labels make an instance volume."""
+    from strandlake.sources.voxels import rescale
+
+    return lift.skeleton(s, d).select("vid", R(rescale(windows3d.to_uint16(F.col("intensity")), 16), 7).alias("v"))
+
+
+@query
+def oriented_training_windows(s, d):
+    """Origins of training windows around foreground voxels, clamped to the volume; one for every eighth voxel."""
+    from strandlake.operators.patches import sample_windows
+
+    sk = materialize(lift.skeleton(s, d))
+    return sample_windows(s, sk.count() // 8, extent(sk), 24, sk, 11)
+
+
 # ---- kernels on bounded groups ---------------------------------------------------------------
 
 @query

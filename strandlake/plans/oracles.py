@@ -541,4 +541,40 @@ O["augmented_curves"] = sql("SELECT curve,seq,block," + ",".join(f"round({c}+CAS
                             "ac3 AS (SELECT * REPLACE (CASE k WHEN 0 THEN y WHEN 1 THEN x WHEN 2 THEN 95.0-y ELSE 95.0-x END AS y,CASE k WHEN 0 THEN x WHEN 1 THEN 95.0-y WHEN 2 THEN 95.0-x ELSE y END AS x),"
                             f"0.5::DOUBLE+0.7::DOUBLE*{_U(50, 'curve')} AS amp,dz,dy,dx,sqrt(dz*dz+dy*dy+dx*dx)+1e-8 AS nn FROM (SELECT *,{','.join(f'{_N(40 + i, _CURVE)} AS d{c}' for i, c in enumerate('zyx'))} FROM ac2))")
 
+# stamps, patches and reports
+_PK = "concat('patch_',lpad(l_orderkey::VARCHAR,7,'0'))"
+_FB = f"concat({_PK},'_fiber_',lpad(l_linenumber::VARCHAR,2,'0'))"
+LISTING = f"""ls AS MATERIALIZED (SELECT l_orderkey,{_PK} AS patch,concat({_FB},'_vol.npy') AS name,true AS stamp FROM lineitem UNION ALL SELECT l_orderkey,{_PK},concat({_FB},'_intensity.npy'),true FROM lineitem WHERE l_returnflag<>'R'
+ UNION ALL SELECT l_orderkey,{_PK},concat({_FB},'_ori.npy'),true FROM lineitem WHERE l_linestatus='F' UNION ALL SELECT l_orderkey,NULL,concat('notes_',l_orderkey,'.txt'),false FROM lineitem WHERE l_linenumber=1)"""
+O["stamps_to_extract"] = f"""WITH v AS (SELECT {_PK} AS patch,l_linenumber::INTEGER AS fiber,sum(greatest(1,l_quantity::INTEGER%9))::BIGINT AS n,bool_or(l_returnflag<>'R') AND bool_or(l_linestatus='F') AS whole FROM lineitem GROUP BY 1,2)
+ SELECT patch,fiber,n FROM v WHERE n>=3 AND NOT whole"""
+O["removed_stamps"] = sql("SELECT name,count(*) AS n FROM ls WHERE patch IS NULL OR patch NOT IN (SELECT concat('patch_',lpad(o_orderkey::VARCHAR,7,'0')) FROM orders WHERE o_orderstatus='F') GROUP BY 1", LISTING)
+O["cleared_stamps"] = sql("SELECT name FROM ls WHERE NOT stamp", LISTING)
+O["synced_library"] = f"""WITH o AS (SELECT DISTINCT {_PK} AS patch,l_linenumber::INTEGER AS fiber FROM lineitem WHERE l_returnflag<>'N'),
+ n AS (SELECT DISTINCT {_PK} AS patch,l_linenumber::INTEGER AS fiber FROM lineitem WHERE l_linestatus='F' AND l_orderkey%3<>0)
+ SELECT coalesce(o.patch,n.patch) AS patch,coalesce(o.fiber,n.fiber) AS fiber,CASE WHEN o.patch IS NULL THEN 'added' WHEN n.patch IS NULL THEN 'removed' ELSE 'kept' END AS change FROM o FULL JOIN n ON o.patch=n.patch AND o.fiber=n.fiber"""
+O["save_slots"] = "SELECT o_orderkey AS request,CASE WHEN o_orderstatus='F' THEN o_custkey ELSE (SELECT max(c_custkey) FROM customer)+row_number() OVER (PARTITION BY o_orderstatus='F' ORDER BY o_orderkey) END AS index FROM orders"
+_P24 = VID("z//24", "y//24", "x//24")
+O["patch_checks"] = sql(f"""SELECT patch,coalesce(k,0) AS skel_voxels,coalesce(n,0) AS vol_voxels,coalesce(bad,0) AS mismatches,CASE WHEN coalesce(bad,0)=0 THEN 'CLEAN' ELSE 'ERROR' END AS status FROM (SELECT {_P24} AS patch,count(*) AS n FROM fg GROUP BY 1)
+ FULL JOIN (SELECT {_P24} AS patch,count(*) AS k,count(*) FILTER (f.label IS DISTINCT FROM s.fiber+1) AS bad FROM (SELECT vid,z,y,x,fiber FROM sk) s LEFT JOIN (SELECT vid,label FROM fg) f USING (vid) GROUP BY 1) USING (patch)""", *FGL)
+_TC = O["through_curves"]
+_TC75 = _TC.replace("length>=40.0", "length>=75.0")
+_head = lambda q: (q[:q.rindex("SELECT curve,n,length,entry_face")], q[q.rindex("SELECT curve,n,length,entry_face"):])
+O["fiber_quality"] = _head(_TC75)[0] + f"""SELECT curve,n,valid,CASE WHEN n<15 THEN 'too_short' WHEN length<75 THEN 'short_length' WHEN entry_face IS NULL OR exit_face IS NULL OR entry_face=exit_face THEN 'invalid_endpoints' WHEN NOT valid THEN 'parallel_sliced' END AS reason FROM ({_head(_TC75)[1]})"""
+O["intact_counts"] = _head(_TC)[0] + f"SELECT curve//4 AS patch,count(*) AS num_fibers,count(*) FILTER (valid) AS intact FROM ({_head(_TC)[1]}) GROUP BY 1"
+O["labels_by_volume"] = sql(f"SELECT patch,label,n,row_number() OVER (PARTITION BY patch ORDER BY n DESC,label)::INTEGER AS rank FROM (SELECT {_P24} AS patch,label,count(*) AS n FROM fg GROUP BY 1,2 HAVING count(*)>=8)", *FGL)
+_FCO = [("z", "y", "x"), ("y", "z", "x"), ("x", "z", "y")]
+_case = lambda pick: "CASE " + " ".join(f"WHEN {c}<=1 THEN {pick(c, a, b, 'min')} WHEN {c}>=46 THEN {pick(c, a, b, 'max')}" for c, a, b in _FCO) + " END"
+O["face_coordinates"] = sql("SELECT vid,face,round(u,6) AS u,round(v,6) AS v FROM (SELECT vid," + _case(lambda c, a, b, m: f"'{c}_{m}'") + " AS face," + _case(lambda c, a, b, m: f"{a}/47.0::DOUBLE") + " AS u," + _case(lambda c, a, b, m: f"{b}/47.0::DOUBLE") + " AS v FROM sk) WHERE face IS NOT NULL", SK)
+_AT = lambda c, o: f"greatest(0,least({o},n{c}-24))"
+O["opened_patch"] = sql("SELECT " + ",".join(f"({c}-{_AT(c, o)})::INTEGER AS {c}" for c, o in zip("zyx", (99999, 5, 3))) + ",fiber FROM sk,m WHERE " + " AND ".join(f"{c}>={_AT(c, o)} AND {c}<{_AT(c, o)}+24" for c, o in zip("zyx", (99999, 5, 3))), SK, _M)
+O["one_of_each_stem"] = "SELECT concat('model_',o_orderkey) AS stem,CASE WHEN o_orderkey%2=0 THEN concat('model_',o_orderkey,'_vol.tif') ELSE concat('model_',o_orderkey,'_vol.npy') END AS name FROM orders WHERE o_orderkey%2=0 OR o_orderkey%3<>0"
+O["first_occurrences"] = "SELECT value,row_number() OVER (ORDER BY first_at,value) AS rank FROM (SELECT o_custkey AS value,min(o_orderkey) AS first_at FROM orders GROUP BY 1)"
+_RP = [("n_gt", 0), ("n_pred", 0), ("matched", 0), ("split", 0), ("merge", 0), ("missing", 0), ("mean_iou", 1), ("sq", 1), ("rq_gt", 1), ("pq", 1)]
+O["metrics_report"] = "WITH p AS (" + O["panoptic_metrics"] + ") " + " UNION ALL ".join(f"SELECT {i}::INTEGER AS line,concat(rpad('{c}',20,' '),': ',{'printf(%r,%s)' % ('%.4f', c) if r else c + '::VARCHAR'}) AS text FROM p" for i, (c, r) in enumerate(_RP))
+O["decoded_field"] = sql("SELECT vid,round(trunc(least(greatest(intensity,0),1)*65535)/65535.0::DOUBLE,7) AS v FROM sk", SK)
+_UW = lambda k: _U(11 + k, "sample")
+O["oriented_training_windows"] = sql("SELECT sample," + ",".join(f"least(greatest(coalesce({c}-12+floor({_UW(10 + i)}*5)::BIGINT-2,floor({_UW(20 + i)}*(greatest(n{c}-24,0)+1))::BIGINT),0),greatest(n{c}-24,0))::INTEGER AS {c}0" for i, c in enumerate("zyx"))
+                                     + f" FROM (SELECT range AS sample FROM range(0,(SELECT count(*)//8 FROM sk))) LEFT JOIN (SELECT z,y,x,row_number() OVER (ORDER BY vid) AS rank FROM sk) r ON {_UW(0)}<0.85 AND r.rank=floor({_UW(1)}*(SELECT count(*) FROM sk))::BIGINT+1,m", SK, _M)
+
 ORACLES = O
