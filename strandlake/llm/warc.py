@@ -144,21 +144,21 @@ def salvage(data: bytes) -> tuple[list[dict], list[tuple[int, int, str]]]:
     return records, gaps
 
 
-def with_roles(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """page_id, payload, digest, size, refers_to (of revisits) and copy (number among equal rows, from 0).
+def with_roles(pages: DataFrame, files: int, least: int = LEAST_REVISIT) -> DataFrame:
+    """page_id, payload, size, shared and first (the largest page_id of the payload), dealt to ``files`` partitions, equal rows together.
 
-    Digests are grouped without the payloads; the payloads move once, by page, and never by digest: copies
-    of one page, however many, are spread over all tasks.
+    Digests are grouped without the payloads; the payloads move once, by page and digest, never by digest
+    alone: copies under other ids, however many, are spread over all tasks.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), payload.alias("payload"))
+    name = F.coalesce(F.col("page_id").cast("long").cast("string"), F.lit("")).alias("name")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), name, payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload").cast("long"))
-    light = rows.select("page_id", "digest", "size").filter(F.col("size") >= least)
+    light = rows.select("page_id", "name", "digest", "size").filter(F.col("size") >= least)
     firsts = light.groupBy("digest").agg(F.max("page_id").alias("first"))
-    roles = light.groupBy("page_id", "digest").agg(F.count(F.lit(1)).alias("copies")).join(firsts, "digest")
-    roles = roles.select(F.col("page_id").alias("_p"), F.col("digest").alias("_d"), "first")
-    met = rows.join(roles, rows["page_id"].eqNullSafe(roles["_p"]) & (rows["digest"] == roles["_d"]), "left")
-    return met.select("page_id", "payload", "size", F.col("_d").isNotNull().alias("shared"), "first")
+    roles = light.select("name", "digest").distinct().join(firsts, "digest").withColumn("shared", F.lit(True))
+    met = rows.repartition(files, "name", "digest").join(roles, ["name", "digest"], "left").sortWithinPartitions("name", "digest")
+    return met.select("page_id", "payload", "size", F.coalesce("shared", F.lit(False)).alias("shared"), "first")
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = LEAST_REVISIT) -> None:
@@ -179,8 +179,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_REVISIT) ->
     spark = pages.sparkSession
     total = pages.agg(F.coalesce(F.sum(F.octet_length("html").cast("long")), F.lit(0))).first()[0]
     files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total) // FILE_BYTES + 1)
-    rows = with_roles(pages, least).repartition(files, "page_id").sortWithinPartitions("page_id", F.sha1("payload"))
-    rows.mapInPandas(members, "value binary").select(F.col("value").cast("string")).write.option("lineSep", PAD).text(folder)
+    with_roles(pages, files, least).mapInPandas(members, "value binary").select(F.col("value").cast("string")).write.option("lineSep", PAD).text(folder)
 
 
 RECORDS = "file string, start long, stop long, reason string, kind string, page_id long, payload_bytes long, payload_digest string, refers_to long, payload binary"
