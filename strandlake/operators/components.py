@@ -56,7 +56,7 @@ def _tile_labels(pdf: pd.DataFrame) -> pd.DataFrame:
         src.append(i[hit])
         dst.append(j[hit])
     lab = min_labels(n, np.concatenate(src), np.concatenate(dst))
-    return pd.DataFrame({"vid": v, "own": pdf["own"].to_numpy(), "shared": pdf["shared"].to_numpy(), "lab": v[lab]})
+    return pd.DataFrame({"vid": v, "own": pdf["own"].to_numpy(), "shared": pdf["shared"].to_numpy(), "grp": g, "lab": v[lab]})
 
 
 def _contract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -115,7 +115,7 @@ def connected_components(vox: DataFrame, same: str | None = None, tile: int = TI
     local = (
         halo(src, tile, 1).withColumn("own", F.col("home") == F.col("tile"))
         .select("tile", "vid", "grp", "own", "shared")
-        .groupBy("tile").applyInPandas(_tile_labels, "vid long, own boolean, shared boolean, lab long")
+        .groupBy("tile").applyInPandas(_tile_labels, "vid long, own boolean, shared boolean, grp long, lab long")
     )
     local = materialize(local)
     # a voxel seen by several tiles ties their labels together (at most eight of them)
@@ -124,17 +124,15 @@ def connected_components(vox: DataFrame, same: str | None = None, tile: int = TI
         .filter(F.size("labs") > 1).select("a", F.explode("labs").alias("b")).filter("a <> b")
     )
     roots = edge_components(ties)
-    own = local.filter("own").select("vid", "lab")
+    own = local.filter("own").select("vid", "grp", "lab")
     # a tile-local label covers at most one tile, so this key cannot be hot
     out = own.join(roots.withColumnRenamed("v", "lab"), "lab", "left").select(
-        "vid", F.coalesce("root", "lab").alias("comp"))
+        "vid", "grp", F.coalesce("root", "lab").alias("comp"))
     z = F.shiftright("vid", 42).cast("int").alias("z")
     y = F.shiftright("vid", 21).bitwiseAND(F.lit((1 << 21) - 1)).cast("int").alias("y")
     x = F.col("vid").bitwiseAND(F.lit((1 << 21) - 1)).cast("int").alias("x")
-    out = out.select("vid", z, y, x, "comp")
-    if same is not None:
-        out = out.join(vox.select("vid", same), "vid")
-    return out
+    kept = [] if same is None else [F.col("grp").cast(vox.schema[same].dataType).alias(same)]
+    return out.select("vid", z, y, x, "comp", *kept)
 
 
 def component_boxes(cc: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from strandlake.functions.vec3 import dot, fixed, norm, safe, unfixed, unit, vec
 from strandlake.grid import zyx
 from strandlake.operators.components import connected_components
 from strandlake.operators.lookup import salted_lookup
-from strandlake.operators.stencil import split_junctions, stencil
+from strandlake.operators.stencil import JUNCTION_DEGREE, degree, stencil
 from strandlake.params import Params
 from strandlake.session import materialize
 
@@ -23,10 +23,11 @@ RUNG_ALIGNMENT = 0.60   # fixed value of rule (b)
 
 def branches_and_clusters(skel: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(branch voxels with ``branch``, junction voxels with ``cluster``); ids are smallest voxel ids."""
-    j, rest = split_junctions(skel)
-    b = connected_components(rest).withColumnRenamed("comp", "branch")
-    c = connected_components(j).withColumnRenamed("comp", "cluster")
-    return b, c
+    # one run for both: voxels connect only to voxels of their own kind
+    kind = degree(skel).select("vid", "z", "y", "x", (F.col("deg") >= JUNCTION_DEGREE).cast("int").alias("junction"))
+    cc = materialize(connected_components(kind, same="junction"))
+    return (cc.filter("junction = 0").drop("junction").withColumnRenamed("comp", "branch"),
+            cc.filter("junction = 1").drop("junction").withColumnRenamed("comp", "cluster"))
 
 
 def branch_stats(branches: DataFrame, field: DataFrame | None = None) -> DataFrame:

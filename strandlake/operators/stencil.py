@@ -54,6 +54,9 @@ def stencil(vox: DataFrame, aggs: list[Column], carry: list[str] | None = None,
     return g.select(F.col("target").alias("vid"), z, y, x, *rest)
 
 
+JUNCTION_DEGREE = 3
+
+
 def degree(vox: DataFrame) -> DataFrame:
     """Number of 26-neighbours of every voxel, as column ``deg``."""
     return stencil(vox, [(F.count(F.lit(1)) - 1).cast("int").alias("deg")])
@@ -70,7 +73,7 @@ def split_junctions(vox: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(junction voxels, remaining voxels); a junction has three or more neighbours."""
     d = degree(vox)
     cols = ["vid", "z", "y", "x"]
-    return d.filter("deg >= 3").select(cols), d.filter("deg < 3").select(cols)
+    return d.filter(F.col("deg") >= JUNCTION_DEGREE).select(cols), d.filter(F.col("deg") < JUNCTION_DEGREE).select(cols)
 
 
 def endpoints(vox: DataFrame) -> DataFrame:
