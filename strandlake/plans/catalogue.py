@@ -966,6 +966,15 @@ def thinned_foreground(s, d):
     return skeletonize(lift.foreground(s, d, 8))
 
 
+@query
+def thinning_checks(s, d):
+    """What thinning must keep: the number of components; and no voxel outside the mask."""
+    fg = materialize(lift.foreground(s, d, 8))
+    t = materialize(thinned_foreground(s, d))
+    n = components.component_boxes(components.connected_components(t)).agg(F.count(F.lit(1)).alias("n_components"))
+    return n.crossJoin(F.broadcast(t.join(fg, "vid", "left_anti").agg(F.count(F.lit(1)).alias("n_outside"))))   # one row each
+
+
 @query
 def curve_order(s, d):
     from strandlake.operators.donors import order_points

