@@ -1,42 +1,17 @@
-"""Connected components of an edge table by alternating large and small stars."""
+"""Connected components of an edge table, by the library's general contraction."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import stored
-
-
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """Hang neighbours on the smallest one: the larger neighbours (large star) or the smaller ones and the node itself."""
-    if large:
-        near = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    else:
-        near = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    met = near.join(least, "u")
-    if large:
-        out = met.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = met.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(met.select("u", F.col("m").alias("v")))
-    return out.filter("u <> v").distinct()
+from strandlake.operators.components import edge_components
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) for every node of an edge; root is the smallest node reachable.
 
-    Each round contracts all stars at once, so the number of rounds grows with the logarithm of the
-    longest path. Only minima per node are gathered: no neighbour list ever meets in one task, and the
-    join back is an ordinary equi-join that adaptive execution splits where a hub is large.
+    Edges are contracted inside partitions, then in rounds of large and small stars; only minima per node
+    are gathered, and the joins with them are ordinary ones that adaptive execution splits where a hub is large.
     """
-    now = stored(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct())
-    seen = None
-    while True:
-        mark = tuple(now.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
-        if mark == seen or mark[0] == 0:
-            break
-        seen = mark
-        now = stored(_stars(_stars(now, large=True), large=False))
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
-        now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    return edge_components(edges, a, b).select(F.col("v").alias("node"), "root")
