@@ -122,7 +122,8 @@ def test_direct_and_chunked_runs(vox):
     assert len(v) == f.count() + 4   # the gap of four voxels is bridged
     assert len(left) == 1 and len(right) == 1 and left != right
     c = run_chunked(f, (40, 40, 40), p)
-    w = {(r.z, r.y, r.x): r.label for r in c["volume"].collect()}
+    low = (1 << 21) - 1
+    w = {(r.vid >> 42, r.vid >> 21 & low, r.vid & low): r.label for r in c["volume"].collect()}
     pairs = {(v[k], w[k]) for k in v if k in w}
     assert set(v) >= {(r.z, r.y, r.x) for r in f.collect()} and set(w) >= {(r.z, r.y, r.x) for r in f.collect()}
     assert len(pairs) == 2 and len({a for a, _ in pairs}) == 2 and len({b for _, b in pairs}) == 2   # one label each, in both runs
