@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.grid import pack
-from strandlake.session import materialize
+from strandlake.session import materialize, release
 
 SHIFT = 1 << 19   # keeps cell coordinates of slightly negative positions non-negative
 
@@ -129,7 +129,8 @@ def nearest(points: DataFrame, sites: DataFrame, key: str, site_key: str, k: int
         done = found if done is None else done.union(found)
         if final:
             break
-        todo = materialize(todo.join(found.select(key).distinct(), key, "left_anti").select(key, *on, *pk))
+        past, todo = todo, materialize(todo.join(found.select(key).distinct(), key, "left_anti").select(key, *on, *pk))
+        release(past)
         if todo.isEmpty():
             break
         radius *= 2.0

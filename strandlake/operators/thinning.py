@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.grid import DX, DY, DZ, MASK, OFFSETS_27, halo, tile_of, zyx
-from strandlake.session import materialize
+from strandlake.session import materialize, release
 
 HALO = 9
 TILE = 96
@@ -96,7 +96,8 @@ def skeletonize(mask: DataFrame, tile: int = TILE, max_rounds: int = 10_000) ->
         for d in DIRECTIONS:
             t = cur.select("vid", *zyx("vid"))
             t = halo(t.withColumn("home", tile_of(tile)), tile, HALO).select("tile", "vid", (F.col("home") == F.col("tile")).alias("own"))
-            cur = materialize(t.groupBy("tile").applyInPandas(_pass(d), "vid long"))
+            past, cur = cur, materialize(t.groupBy("tile").applyInPandas(_pass(d), "vid long"))
+            release(past)
         m = cur.count()
         if m == n:
             return cur.select("vid", *zyx("vid"))

@@ -128,9 +128,9 @@ CH = (_M, _starts("z"), _starts("y"), _starts("x"),
 _IN = lambda v, g: " AND ".join(f"{v}.{c}>={g}.{c}0 AND {v}.{c}<{g}.{c}1" for c in "zyx")
 ASSIGN = f"asg AS MATERIALIZED (SELECT g.chunk,s.* FROM sk s JOIN grid g ON {_IN('s', 'g')})"
 O["active_chunks"] = sql("SELECT chunk,max(intensity) AS max_intensity FROM asg GROUP BY 1 HAVING max(intensity)>=0.28", SK, *CH, ASSIGN)
-O["dense_patch"] = sql(f"""SELECT c.id,c.z0,c.y0,c.x0,count(*)/512.0::DOUBLE AS density FROM (SELECT id,
- {','.join(f'floor(((id*{k}+{k})%997)/997.0::DOUBLE*(greatest(n{c}-8,0)+1))::INTEGER AS {c}0' for c, k in zip('zyx', (379, 521, 761)))} FROM (SELECT range AS id FROM range(50)), m) c
- JOIN sk s ON {' AND '.join(f's.{c}>=c.{c}0 AND s.{c}<c.{c}0+8' for c in 'zyx')} GROUP BY 1,2,3,4 HAVING density BETWEEN 0.03 AND 0.35 ORDER BY id LIMIT 1""", SK, _M)
+O["dense_patch"] = sql(f"""SELECT c.id,c.z0,c.y0,c.x0,count(s.vid)/512.0::DOUBLE AS density FROM (SELECT id,
+ {','.join(f'CASE WHEN id=50 THEN greatest(n{c}-8,0)//2 ELSE floor(((id*{k}+{k})%997)/997.0::DOUBLE*(greatest(n{c}-8,0)+1)) END::INTEGER AS {c}0' for c, k in zip('zyx', (379, 521, 761)))} FROM (SELECT range AS id FROM range(51)), m) c
+ LEFT JOIN sk s ON {' AND '.join(f's.{c}>=c.{c}0 AND s.{c}<c.{c}0+8' for c in 'zyx')} GROUP BY 1,2,3,4 HAVING id=50 OR density BETWEEN 0.03 AND 0.35 ORDER BY id LIMIT 1""", SK, _M)
 O["mip"] = sql("SELECT y,x,max(intensity) AS v FROM sk GROUP BY 1,2", SK)
 O["intensity_u16"] = sql("SELECT vid,trunc(least(greatest(intensity*1.5::DOUBLE-0.1::DOUBLE,0),1)*65535)::INTEGER AS v FROM sk", SK)
 O["orientation_rgb"] = sql("SELECT vid," + ",".join(f"trunc(least(abs(o{c}),1)*255)::INTEGER AS {c}" for c in "zyx") + " FROM ori", SK, _ori("ori", "sk"))

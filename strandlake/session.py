@@ -51,5 +51,7 @@ def materialize(df: DataFrame) -> DataFrame:
 def release(*tables: DataFrame) -> None:
     """Remove barrier tables that nothing reads any more: what earlier rounds of a loop wrote."""
     for df in tables:
+        if not hasattr(df, "_barrier"):
+            continue
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._barrier)
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
