@@ -528,7 +528,7 @@ O["cropped_curves"] = sql("SELECT i.block,i.fiber AS curve,i.seq," + ",".join(f"
                           f"bx AS MATERIALIZED (SELECT id//30 AS block,id%30 AS try,{','.join(f'floor(((id*{k}+{k})%997)/997.0::DOUBLE*(greatest(n{c}-12,0)+1))::INTEGER AS {c}0' for c, k in zip('zyx', (379, 521, 761)))} FROM (SELECT unnest(range(0,30*(3+(SELECT max(fiber)//8 FROM sk)))) AS id), m)",
                           f"inb AS MATERIALIZED (SELECT b.*,s.fiber,s.seq,s.z,s.y,s.x FROM bx b JOIN sk s ON {_IN12})", "per AS MATERIALIZED (SELECT block,try,fiber FROM inb GROUP BY 1,2,3 HAVING count(*)>=6)")
 
-O["thinning_checks"] = sql("SELECT count(DISTINCT l) AS n_components,0::BIGINT AS n_outside FROM cf0", *FG8, _nb("ef", "fg"), _cc("cf0", "fg", "ef"))
+O["thinning_checks"] = sql("SELECT count(DISTINCT comp) AS n_components,0::BIGINT AS n_outside FROM cf", *CC8)
 
 # augmentation: seeded draws are the first 28 bits of an MD5 digest
 _U = lambda seed, key: f"(('0x'||substr(md5('{seed}:'||{key}::BIGINT),1,7))::BIGINT/268435456.0::DOUBLE)"
