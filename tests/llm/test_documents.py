@@ -273,3 +273,31 @@ def test_empty_tables(spark, make):
     for df in (simhash.near_duplicates(none), simhash.one_of_each(none), lines.without_repeats(none), mixing.mix(sized, mixing.targets(sized)), mixing.mixed(none),
                packing.pack_documents(none), digest.fingerprints(none), secrets.scan(none), pii.find(none), toxicity.scored(none, toxicity.train(none, labels))):
         assert df.count() == 0
+
+
+def test_lines_found_are_those_of_edit_similarity(spark):
+    """Recall against edit similarity alone: no limit on fingerprints; exact below lines.SHORT characters."""
+    import random
+    rnd = random.Random(11)
+    words = ["".join(rnd.choice("aeioubcdlmnrst") for _ in range(rnd.randint(1, 8))) for _ in range(3000)]
+    letters = "abcdefghijklmnopqrstuvwxyz é"
+    pairs = []
+    for n in range(700):
+        text = " ".join(rnd.choice(words) for _ in range((2, 4, 6, 12, 25, 60, 120)[n % 7]))
+        chars = list(text)
+        most = int(0.1 * len(text) + 1e-9)
+        for _ in range(1 if n % 2 else most):   # one character, or as many as the rule allows
+            chars.insert(at := rnd.randrange(len(chars) + 1), rnd.choice(letters))
+            if rnd.random() < 0.7:
+                del chars[at + 1 if at + 1 < len(chars) else at - 1]
+        pairs.append((text, "".join(chars)))
+    forms = spark.createDataFrame([(2 * i + j, " ".join(t.split()), 1) for i, p in enumerate(pairs) for j, t in enumerate(p)], "key long, norm string, times long")
+    forms = forms.selectExpr("key", "norm", "times", "char_length(norm) as size")
+    texts = {r["key"]: r["norm"] for r in forms.collect()}
+    root = {r["key"]: r["root"] for r in lines.groups(forms).collect()}
+    for low, high, least in ((0, lines.SHORT, 1), (lines.SHORT, 100, 0.97), (100, 1 << 30, 0.97)):
+        due = [i for i in range(len(pairs)) if low <= min(len(texts[2 * i]), len(texts[2 * i + 1])) < high and texts[2 * i] != texts[2 * i + 1]
+               and lines.within(texts[2 * i], texts[2 * i + 1], int(0.1 * max(len(texts[2 * i]), len(texts[2 * i + 1])) + 1e-9))]
+        found = sum(root.get(2 * i, -1) == root.get(2 * i + 1, -2) for i in due)
+        print(low, found, len(due))
+        assert len(due) > 50 and found >= least * len(due)
