@@ -8,6 +8,8 @@ repeated rows are packed like others. Other columns are ignored; an empty table
 from __future__ import annotations
 
 import base64
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,6 +28,8 @@ CACHE = 400_000    # words whose ids a worker keeps
 GAP = 2e-3         # the plan may need so much more stock than the linear program's bound
 BUCKET_ROWS = 8192
 
+Added = tuple[tuple[str, int], ...]   # literal and id
+
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -40,10 +44,11 @@ class Encoder:
     no other white space next to a space, nor at its ends, is the sequence of its words with the space
     before them. Unknown words of a text are encoded in one call and told apart by their leading space; ids
     of known ones are kept. Words that are empty or have white space at an end never become known: their
-    texts are encoded whole.
+    texts are encoded whole. Added tokens (such as <|endoftext|>) have one id each wherever they stand; the
+    parts between them are encoded on their own.
     """
 
-    def __init__(self, ranks_path: str, pattern: str) -> None:
+    def __init__(self, ranks_path: str, pattern: str, added: Added = ()) -> None:
         import tiktoken
 
         with open(ranks_path, "rb") as lines:
@@ -52,6 +57,8 @@ class Encoder:
         self.spaced = np.zeros(max(ranks.values()) + 1, dtype=bool)
         self.spaced[[i for b, i in ranks.items() if b[:1] == b" "]] = True
         self.known: dict[str, bytes] = {}
+        self.added = {t: np.array([i], dtype="<u4").tobytes() for t, i in added}
+        self.at_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
 
     def whole(self, text: str) -> bytes:
         return np.array(self.bpe.encode_ordinary(text), dtype="<u4").tobytes()
@@ -64,6 +71,11 @@ class Encoder:
             self.known[word] = part.tobytes()
 
     def encode(self, text: str) -> bytes:
+        if self.at_added and self.at_added.search(text):
+            return b"".join([self.added[t] if i % 2 else self.between(t) for i, t in enumerate(self.at_added.split(text)) if t])
+        return self.between(text)
+
+    def between(self, text: str) -> bytes:
         first, *rest = text.split(" ")
         if not plain(first):
             return self.whole(text)
@@ -79,18 +91,18 @@ class Encoder:
             return self.whole(first) + b"".join(list(map(self.known.__getitem__, rest)))
 
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
+_ENCODERS: dict[tuple[str, str, Added], Encoder] = {}
 
 
-def encoder(ranks_path: str, pattern: str) -> Encoder:
+def encoder(ranks_path: str, pattern: str, added: Added) -> Encoder:
     """One for each worker process; it outlives the task."""
-    if (ranks_path, pattern) not in _ENCODERS:
-        _ENCODERS[ranks_path, pattern] = Encoder(ranks_path, pattern)
-    return _ENCODERS[ranks_path, pattern]
+    if (ranks_path, pattern, added) not in _ENCODERS:
+        _ENCODERS[ranks_path, pattern, added] = Encoder(ranks_path, pattern, added)
+    return _ENCODERS[ranks_path, pattern, added]
 
 
-def cut_batches(batches: Iterator[pa.RecordBatch], ranks_path: str, pattern: str, length: int, end_id: int) -> Iterator[pa.RecordBatch]:
-    enc = encoder(ranks_path, pattern)
+def cut_batches(batches: Iterator[pa.RecordBatch], ranks_path: str, pattern: str, added: Added, length: int, end_id: int) -> Iterator[pa.RecordBatch]:
+    enc = encoder(ranks_path, pattern, added)
     tail = np.array([end_id], dtype="<u4").tobytes()
     for batch in batches:
         out: list[tuple] = []
@@ -102,9 +114,9 @@ def cut_batches(batches: Iterator[pa.RecordBatch], ranks_path: str, pattern: str
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
 
-def pieces(docs: DataFrame, ranks_path: str, pattern: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
+def pieces(docs: DataFrame, ranks_path: str, pattern: str, added: Added = (), length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(lambda it: cut_batches(it, ranks_path, pattern, length, end_id), PIECES)
+    return rows.mapInArrow(lambda it: cut_batches(it, ranks_path, pattern, added, length, end_id), PIECES)
 
 
 def best_pattern(value: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.ndarray]:
@@ -225,14 +237,18 @@ def pack(cut: DataFrame, length: int = LENGTH, grain: int = GRAIN) -> DataFrame:
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0)).cast("long")).drop("rank")
 
 
-def tokenizer_files() -> tuple[str, str]:
-    """The ranks of the vocabulary byte_bpe_50k and its word pattern."""
+def tokenizer_files() -> tuple[str, str, Added]:
+    """The ranks of the vocabulary byte_bpe_50k, its word pattern and its added tokens."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added):
+        raise ValueError("an added token that takes its surroundings into account")
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, tuple((t["content"], t["id"]) for t in added)
 
 
-def pack_documents(docs: DataFrame, length: int = LENGTH, files: tuple[str, str] | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, length: int = LENGTH, files: tuple[str, str, Added] | None = None) -> DataFrame:
     return pack(stored(pieces(docs, *(files or tokenizer_files()), length)), length)
 
 

@@ -301,3 +301,17 @@ def test_lines_found_are_those_of_edit_similarity(spark):
         found = sum(root.get(2 * i, -1) == root.get(2 * i + 1, -2) for i in due)
         print(low, found, len(due))
         assert len(due) > 50 and found >= least * len(due)
+
+
+def test_added_tokens_are_those_of_the_tokenizer_as_loaded(make):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+    tk = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"a b {end} c", end, end * 2, f" {end}", f"{end} ", f"x{end}y z\n{end}\t {end}é  é", f"<|endof{end}text|>", "<|endoftext", f"a {end.upper()} b", "no literal  here", None]
+    got = {r["doc_id"]: (r["ids_crc32"], r["doc_tokens"]) for r in packing.pack_documents(make([(i, t, "a") for i, t in enumerate(texts)])).collect()}
+    assert tk.encode(texts[0], add_special_tokens=False).ids == [64, 275, 220, 50256, 269]
+    for i, t in enumerate(texts):
+        ids = tk.encode(t or "", add_special_tokens=False).ids + [1]
+        assert got[i] == (zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids)), len(ids))
