@@ -315,3 +315,34 @@ def test_added_tokens_are_those_of_the_tokenizer_as_loaded(make):
     for i, t in enumerate(texts):
         ids = tk.encode(t or "", add_special_tokens=False).ids + [1]
         assert got[i] == (zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids)), len(ids))
+
+
+def test_pairs_of_shingle_similarity_are_linked(make):
+    import random
+
+    import corpus_pipeline
+    rnd = random.Random(17)
+    words = ["".join(rnd.choice("aeioubcdlmnrst") for _ in range(rnd.randint(2, 8))) for _ in range(3000)]
+
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+
+    rows, like = [], {}
+    for n in range(500):
+        w = [rnd.choice(words) for _ in range(rnd.randint(60, 400))]
+        v = list(w)
+        for _ in range(max(1, int(len(w) * rnd.choice((0.002, 0.005, 0.01, 0.02, 0.03))))):
+            v[rnd.randrange(len(v))] = rnd.choice(words)
+        a, b = shingles(" ".join(w)), shingles(" ".join(v))
+        like[2 * n] = len(a & b) / len(a | b)
+        rows += [(2 * n, " ".join(w), "a"), (2 * n + 1, " ".join(v), "b")]
+    rows += [(5000, None, "a"), (5001, " ", "a"), (5002, "one two", "a"), (5003, "One  two", "a"), (None, rows[0][1], "a")]
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_copies(None, make(rows), "").collect()}
+    assert {5000, 5002} <= kept and not {5001, 5003, None} & kept
+    for low, high in ((0.8, 0.9), (0.9, 1.01)):
+        due = [i for i, j in like.items() if low <= j < high]
+        found = sum((i in kept) != (i + 1 in kept) for i in due)
+        print(low, found, len(due))
+        assert len(due) > 50 and found >= 0.99 * len(due)
+    assert all(i in kept and i + 1 in kept for i, j in like.items() if j < 0.8)
