@@ -63,7 +63,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
         out += [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
     if not re.search("[0-9]", text):
         return out
-    out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split("."))]
+    out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split("."))]
     for m in CARD.finditer(text):
         d = digits_of(m[0])
         if 14 <= len(d) <= 19 and luhn(d):
@@ -82,7 +82,7 @@ def votes(text: str, kind: str, start: int, end: int, base: bool) -> str:
         check, known, shape = "0", "+" if last in ENDINGS else "-", "+" if len(span) <= 80 else "-"
     elif kind == "ip":
         parts = span.split(".")
-        check = "0" if ":" in span else "+" if all(p == str(int(p)) for p in parts) else "-"
+        check = "0" if ":" in span else "+" if all(p == (p.lstrip("0") or "0") for p in parts) else "-"
         known = "0" if ":" in span else "-" if parts[0] in ("0", "1", "2", "3") and len(span) < 9 else "+"
         shape = "-" if text[end:end + 1] == "." and text[end + 1:end + 2].isdigit() or text[start - 1:start] == "." else "+"
     elif kind == "card":

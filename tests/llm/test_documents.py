@@ -346,3 +346,9 @@ def test_pairs_of_shingle_similarity_are_linked(make):
         print(low, found, len(due))
         assert len(due) > 50 and found >= 0.99 * len(due)
     assert all(i in kept and i + 1 in kept for i, j in like.items() if j < 0.8)
+
+
+def test_address_parts_of_many_zeros():
+    text = "see " + "0" * 5000 + "1.2.3.4 now"
+    base, loose = pii.marked(text)
+    assert [(x["start"], x["end"]) for x in base] == [(4, 5011)] and base[0]["mark"][:5] == "ip:+-"
