@@ -1,10 +1,12 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
 from strandlake.llm.digest import op9_fingerprints
+from strandlake.llm.exact import OP13_SQL, op13_exact
 from strandlake.llm.lines import op7_lines
 from strandlake.llm.mixing import OP2_SQL, op2_mixing
 from strandlake.llm.neighbours import op1_neighbours
 from strandlake.llm.packing import op3_packing
+from strandlake.llm.periodic import op12_periodic
 from strandlake.llm.pii import op5_pii
 from strandlake.llm.secrets import op4_secrets
 from strandlake.llm.simhash import op10_simhash
@@ -22,6 +24,8 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_fingerprints": op9_fingerprints,
     "op10_simhash": op10_simhash,
+    "op12_periodic": op12_periodic,
+    "op13_exact": op13_exact,
 }
 
-ORACLES = {"op2_mixing": OP2_SQL, "op6_warc": OP6_SQL}
+ORACLES = {"op2_mixing": OP2_SQL, "op6_warc": OP6_SQL, "op13_exact": OP13_SQL}
