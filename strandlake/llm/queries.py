@@ -1,6 +1,7 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
 from strandlake.llm.digest import op9_fingerprints
+from strandlake.llm.divergence import OP11_SQL, op11_divergence
 from strandlake.llm.exact import OP13_SQL, op13_exact
 from strandlake.llm.lines import op7_lines
 from strandlake.llm.mixing import OP2_SQL, op2_mixing
@@ -24,8 +25,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_fingerprints": op9_fingerprints,
     "op10_simhash": op10_simhash,
+    "op11_divergence": op11_divergence,
     "op12_periodic": op12_periodic,
     "op13_exact": op13_exact,
 }
 
-ORACLES = {"op2_mixing": OP2_SQL, "op6_warc": OP6_SQL, "op13_exact": OP13_SQL}
+ORACLES = {"op2_mixing": OP2_SQL, "op6_warc": OP6_SQL, "op11_divergence": OP11_SQL, "op13_exact": OP13_SQL}
