@@ -141,8 +141,22 @@ def test_distributed_matching_is_the_sequential_one(spark, seed):
     c = spark.createDataFrame(rows, "frag_a long, end_a int, frag_b long, end_b int, cost double, score double")
     c = c.withColumns({"vid_a": F.lit(0).cast("long"), "vid_b": F.lit(0).cast("long")}).cache()
     want = python_greedy(single, rows)
-    got = matching.greedy_bridges(ends, c).collect()
-    assert sorted((r.frag_a, r.end_a, r.frag_b, r.end_b) for r in got) == want
+    for bound in (matching.SOLVED, 0):   # whole components in a task; rounds
+        got = matching.greedy_bridges(ends, c, bound=bound).collect()
+        assert sorted((r.frag_a, r.end_a, r.frag_b, r.end_b) for r in got) == want
+
+
+def test_long_rising_rows_take_few_rounds(spark):
+    n = 12_000
+    ends = spark.range(2 * n + 2).select(F.col("id").alias("frag"), F.lit(9).alias("length"), F.col("id").alias("head"), (F.col("id") + 1).alias("tail"))
+    zero = {"vid_a": F.lit(0).cast("long"), "vid_b": F.lit(0).cast("long"), "score": F.lit(0.5)}
+    shape = "frag_a long, end_a int, frag_b long, end_b int, cost double"
+    joined = [(i, 1, i + 1, 0, 1 + i / n) for i in range(n)]                     # one long path, every bridge dearer than the last
+    contested = [(i, 0, i + 1, 0, 1 + i / n) for i in range(n)]                  # every bridge shares an end with the next one
+    for rows in (joined, contested):
+        c = spark.createDataFrame(rows, shape).withColumns(zero)
+        got = matching.greedy_bridges(ends, c, bound=100, max_rounds=3).collect()
+        assert sorted((r.frag_a, r.end_a, r.frag_b, r.end_b) for r in got) == python_greedy({i: False for i in range(2 * n + 2)}, [(*r, 0.5) for r in rows])
 
 
 def test_broken_line_becomes_one_chain(vox):
