@@ -80,7 +80,7 @@ def result(docs, **kw):
     return set(got)
 
 
-@pytest.mark.parametrize("way", [{}, {"limit": 0, "bits": 5}, {"bits": 4, "top": 20}, {"tile": 2, "cells_bits": 6}])
+@pytest.mark.parametrize("way", [{}, {"limit": 0, "bits": 5}, {"bits": 4, "top": 20}, {"tile": 2, "cells": 64}])
 def test_divergence(spark, rows, way):
     docs = spark.createDataFrame([(*r, 1, "n", 2) for r in rows], "text string, lang string, source string, idx int, term string, ordinal int")
     assert result(docs.repartition(6), **way) == plain(rows, top=way.get("top", 200))
