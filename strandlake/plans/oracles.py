@@ -585,4 +585,16 @@ _UW = lambda k: _U(11 + k, "sample")
 O["oriented_training_windows"] = sql("SELECT sample," + ",".join(f"least(greatest(coalesce({c}-12+floor({_UW(10 + i)}*5)::BIGINT-2,floor({_UW(20 + i)}*(greatest(n{c}-24,0)+1))::BIGINT),0),greatest(n{c}-24,0))::INTEGER AS {c}0" for i, c in enumerate("zyx"))
                                      + f" FROM (SELECT range AS sample FROM range(0,(SELECT count(*)//8 FROM sk))) LEFT JOIN (SELECT z,y,x,row_number() OVER (ORDER BY vid) AS rank FROM sk) r ON {_UW(0)}<0.85 AND r.rank=floor({_UW(1)}*(SELECT count(*) FROM sk))::BIGINT+1,m", SK, _M)
 
+O["tile_routes"] = sql(
+    "SELECT route,(max(k) OVER (PARTITION BY route)-k)::BIGINT AS seq,v AS vid,dist FROM back", *FG8,
+    "cv AS MATERIALIZED (SELECT vid,200000+((7*z+13*y+29*x)%17)*100000 AS c FROM fg)",
+    """ed AS MATERIALIZED (SELECT s.vid AS a,n.vid AS b,CASE abs(dz)+abs(dy)+abs(dx) WHEN 1 THEN 5000 WHEN 2 THEN 7071 ELSE 8660 END::BIGINT*(s.c+n.c) AS w
+ FROM cv s CROSS JOIN off JOIN cv n ON n.vid=s.vid+off.d WHERE off.d<>0)""",
+    "req AS MATERIALIZED (SELECT fiber::BIGINT AS route,min_by(vid,seq) AS src,max_by(vid,seq) AS dst FROM sk8 GROUP BY 1)",
+    """ds(route,v,d) USING KEY (route,v) AS (SELECT route,src,0::BIGINT FROM req UNION
+ SELECT c.route,e.b,min(c.d+e.w) FROM ds c JOIN ed e ON e.a=c.v LEFT JOIN recurring.ds r ON r.route=c.route AND r.v=e.b WHERE r.d IS NULL OR c.d+e.w<r.d GROUP BY 1,2)""",
+    "par AS MATERIALIZED (SELECT x.route,x.v,min(e.a) AS u FROM ds x JOIN ed e ON e.b=x.v JOIN ds y ON y.route=x.route AND y.v=e.a WHERE y.d+e.w=x.d GROUP BY 1,2)",
+    """back(route,v,dist,k) AS (SELECT q.route,q.dst,x.d,0::BIGINT FROM req q JOIN ds x ON x.route=q.route AND x.v=q.dst
+ UNION ALL SELECT b.route,p.u,x.d,b.k+1 FROM back b JOIN req q ON q.route=b.route AND b.v<>q.src JOIN par p ON p.route=b.route AND p.v=b.v JOIN ds x ON x.route=b.route AND x.v=p.u)""")
+
 ORACLES = O
