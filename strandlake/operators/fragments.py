@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,8 +13,9 @@ from strandlake.operators.components import connected_components
 from strandlake.operators.ranges import near_join
 from strandlake.operators.stencil import split_junctions, stencil
 from strandlake.params import Params
-from strandlake.session import materialize
+from strandlake.session import materialize, release
 
+WHOLE = 1 << 18          # voxels of a piece that one task ranks
 ANCHOR_RANK = 6          # the sixth voxel nearest to an end, the end itself included
 ANCHOR_REACH2 = 75       # five steps of a 26-path stay within 5*sqrt(3)
 WINDOW = 2               # half width of the direction window around the anchor
@@ -36,45 +39,70 @@ def links(fv: DataFrame) -> DataFrame:
     return s.select("vid", "frag", "nb")
 
 
-def list_rank(nodes: DataFrame) -> DataFrame:
-    """Distance of every node to the end of its list: (id, nxt) -> (id, rank, last).
-
-    Pointer doubling: each round joins a node with the node it points to and doubles the span, so the
-    number of rounds is the logarithm of the longest list. Every key occurs once; nothing is skewed.
-    """
-    cur = nodes.select("id", "nxt", F.when(F.col("nxt").isNull(), F.lit(0)).otherwise(F.lit(1)).cast("long").alias("rank"),
-                       F.coalesce("nxt", "id").alias("last"))
-    cur = materialize(cur)
+def _ranked(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Lists that are whole in this task: pointer doubling on arrays."""
+    a, b, c = (pdf[k].to_numpy() for k in "abc")
+    goes = c >= 0
+    vids = np.unique(np.concatenate([a, b]))
+    n = len(vids)
+    at = lambda v: np.searchsorted(vids, v)
+    key = at(a) * n + at(b)
+    order = np.argsort(key)
+    last = np.arange(len(key))
+    last[goes] = order[np.searchsorted(key[order], at(b[goes]) * n + at(c[goes]))]
+    rank = goes.astype(np.int64)
     while True:
-        t = cur.select(F.col("id").alias("nxt"), F.col("nxt").alias("n2"), F.col("rank").alias("r2"), F.col("last").alias("l2"))
-        nxt = cur.join(t, "nxt", "left").select(
-            "id", F.col("n2").alias("nxt"), (F.col("rank") + F.coalesce("r2", F.lit(0))).alias("rank"),
-            F.coalesce("l2", "last").alias("last"))
-        cur = materialize(nxt)
-        if cur.filter("nxt is not null").isEmpty():
-            return cur.select("id", "rank", "last")
+        ahead = last[last]
+        if (ahead == last).all():
+            return pd.DataFrame({"a": a, "b": b, "rank": rank, "la": a[last], "lb": b[last]})
+        rank, last = rank + rank[last], ahead
 
 
-def _loop_ends(loops: DataFrame) -> DataFrame:
+def list_rank(darts: DataFrame, sizes: DataFrame, bound: int = WHOLE) -> DataFrame:
+    """Distance of every dart to the end of its list: (frag, a, b, c) -> (a, b, rank, la, lb).
+
+    A dart goes from voxel a to voxel b; the next one is (b, c), none where c is null. ``sizes`` (frag, length) tells which
+    pieces fit a task: those are ranked whole, many in a task. Longer ones take rounds of pointer doubling, so the number of
+    rounds is the logarithm of the longest list; every key occurs once, and nothing is skewed.
+    """
+    parts = max(int(darts.sparkSession.conf.get("spark.sql.shuffle.partitions")), sizes.agg(F.sum("length")).first()[0] // max(bound, 1))
+    large = sizes.filter(F.col("length") > bound).select("frag")
+    whole = darts.select("frag", "a", "b", F.coalesce("c", F.lit(-1)).alias("c")).join(large, "frag", "left_anti").withColumn("part", F.pmod(F.xxhash64("frag"), F.lit(parts)))
+    out = whole.groupBy("part").applyInPandas(_ranked, "a long, b long, rank long, la long, lb long")
+    if large.isEmpty():
+        return out
+    cur = materialize(darts.join(large, "frag", "left_semi").select(
+        "a", "b", F.when(F.col("c").isNull(), 0).otherwise(1).cast("long").alias("rank"), F.when(F.col("c").isNotNull(), F.col("b")).alias("na"), F.col("c").alias("nb"),
+        F.when(F.col("c").isNull(), F.col("a")).otherwise(F.col("b")).alias("la"), F.coalesce("c", "b").alias("lb")))
+    while not cur.filter("na is not null").isEmpty():
+        t = cur.select(F.col("a").alias("na"), F.col("b").alias("nb"), F.col("na").alias("na2"), F.col("nb").alias("nb2"), F.col("rank").alias("r2"),
+                       F.col("la").alias("la2"), F.col("lb").alias("lb2"))
+        nxt = cur.join(t, ["na", "nb"], "left").select(
+            "a", "b", (F.col("rank") + F.coalesce("r2", F.lit(0))).alias("rank"), F.col("na2").alias("na"), F.col("nb2").alias("nb"),
+            F.coalesce("la2", "la").alias("la"), F.coalesce("lb2", "lb").alias("lb"))
+        past, cur = cur, materialize(nxt)
+        release(past)
+    return out.union(cur.select("a", "b", "rank", "la", "lb"))
+
+
+def _loop_ends(loops: DataFrame, sizes: DataFrame, bound: int = WHOLE) -> DataFrame:
     """Ends of closed loops by a double sweep: farthest from the first voxel, then farthest from that.
 
     Every link is taken in both directions as a dart; a dart's successor is the dart that goes on. Cut
     at the first voxel, ranks are the two ways round. Ties go to the smaller voxel id.
     """
-    d = loops.select("frag", "vid", F.explode("nb").alias("to"))
-    nbs = loops.select(F.col("vid").alias("to"), F.col("nb").alias("tnb"))
-    d = d.join(nbs, "to")
-    onward = F.when(F.col("to") == F.col("frag"), F.lit(None)).otherwise(
-        F.when(F.element_at("tnb", 1) == F.col("vid"), F.element_at("tnb", 2)).otherwise(F.element_at("tnb", 1)))
-    name = lambda a, b: F.concat_ws(">", a.cast("string"), b.cast("string"))
-    darts = d.select("frag", "vid", "to", name(F.col("vid"), F.col("to")).alias("id"),
-                     F.when(onward.isNotNull(), name(F.col("to"), onward)).alias("nxt"))
-    darts = materialize(darts)
-    ranked = darts.join(list_rank(darts), "id").select("frag", "vid", (F.col("rank") + 1).alias("k"), "last")
+    d = loops.select("frag", F.col("vid").alias("a"), F.explode("nb").alias("b"))
+    nbs = loops.select(F.col("vid").alias("b"), F.col("nb").alias("tnb"))
+    d = d.join(nbs, "b")
+    onward = F.when(F.col("b") == F.col("frag"), F.lit(None)).otherwise(
+        F.when(F.element_at("tnb", 1) == F.col("a"), F.element_at("tnb", 2)).otherwise(F.element_at("tnb", 1)))
+    darts = materialize(d.select("frag", "a", "b", onward.alias("c")))
+    last = F.struct("la", "lb").alias("last")
+    ranked = darts.join(list_rank(darts, sizes, bound), ["a", "b"]).select("frag", F.col("a").alias("vid"), (F.col("rank") + 1).alias("k"), last)
+    ranked = materialize(ranked)
     # one direction per loop: the one that comes home over the smaller last dart
     way = ranked.groupBy("frag").agg(F.min("last").alias("last"))
-    n = loops.groupBy("frag").agg(F.count(F.lit(1)).alias("n"))
-    pos = ranked.join(way, ["frag", "last"]).join(n, "frag").select(
+    pos = ranked.join(way, ["frag", "last"]).join(sizes.withColumnRenamed("length", "n"), "frag").select(
         "frag", "vid", "n", F.when(F.col("vid") == F.col("frag"), F.lit(0)).otherwise(F.col("k")).alias("k"))
     ring = lambda a: F.least(a, F.col("n") - a)
     p1 = pos.groupBy("frag").agg(F.max(F.struct(ring(F.col("k")), -F.col("vid"), F.col("k").alias("k"))).alias("s")).select(
@@ -84,7 +112,7 @@ def _loop_ends(loops: DataFrame) -> DataFrame:
     return p2.select("frag", "head", (-F.col("s.col2")).alias("tail"))
 
 
-def fragment_ends(fv: DataFrame) -> DataFrame:
+def fragment_ends(fv: DataFrame, bound: int = WHOLE) -> DataFrame:
     """frag, length, head, tail (voxel ids).
 
     A piece is a path (its two ends), a single voxel (both ends the same) or a closed loop.
@@ -98,28 +126,25 @@ def fragment_ends(fv: DataFrame) -> DataFrame:
     closed = ends.filter("head is null").select("frag", "length")
     if closed.isEmpty():
         return ends
-    loop = _loop_ends(li.join(closed.select("frag"), "frag", "left_semi"))
+    loop = _loop_ends(li.join(closed.select("frag"), "frag", "left_semi"), closed, bound)
     return ends.filter("head is not null").union(closed.join(loop, "frag").select("frag", "length", "head", "tail"))
 
 
-def path_positions(fv: DataFrame, ends: DataFrame) -> DataFrame:
+def path_positions(fv: DataFrame, ends: DataFrame, bound: int = WHOLE) -> DataFrame:
     """frag, vid, seq: position of every voxel along its piece, counted from the head (loops: one way round)."""
-    li = links(fv).join(ends, "frag")
+    li = materialize(links(fv).join(ends.select("frag", "head"), "frag"))
     # walk towards the tail: a dart leaves each voxel by the neighbour that is not the one it came from
-    d = li.select("frag", "vid", "head", F.explode("nb").alias("to"))
-    t = li.select(F.col("vid").alias("to"), F.col("nb").alias("tnb"))
-    d = d.join(t, "to")
+    d = li.select("frag", "head", F.col("vid").alias("a"), F.explode("nb").alias("b"))
+    t = li.select(F.col("vid").alias("b"), F.col("nb").alias("tnb"))
     onward = F.when(
-        F.size("tnb") < 2, F.lit(None)).when(F.element_at("tnb", 1) == F.col("vid"), F.get("tnb", F.lit(1))).otherwise(F.element_at("tnb", 1))
-    onward = F.when(F.col("to") == F.col("head"), F.lit(None)).otherwise(onward)
-    name = lambda a, b: F.concat_ws(">", a.cast("string"), b.cast("string"))
-    darts = materialize(d.select("frag", "vid", "to", "head", name(F.col("vid"), F.col("to")).alias("id"),
-                                 F.when(onward.isNotNull(), name(F.col("to"), onward)).alias("nxt")))
-    r = darts.join(list_rank(darts), "id")
-    r = r.withColumn("home", F.split("last", ">")[1].cast("long") == F.col("head")).filter("home and vid <> head")
-    way = r.groupBy("frag", "vid").agg(F.min("last").alias("last"), F.min_by(F.col("rank") + 1, "last").alias("seq"))
+        F.size("tnb") < 2, F.lit(None)).when(F.element_at("tnb", 1) == F.col("a"), F.get("tnb", F.lit(1))).otherwise(F.element_at("tnb", 1))
+    onward = F.when(F.col("b") == F.col("head"), F.lit(None)).otherwise(onward)
+    darts = materialize(d.join(t, "b").select("frag", "a", "b", "head", onward.alias("c")))
+    r = darts.join(list_rank(darts, ends.select("frag", "length"), bound), ["a", "b"]).filter((F.col("lb") == F.col("head")) & (F.col("a") != F.col("head")))
+    last = F.struct("la", "lb")
+    way = r.groupBy("frag", F.col("a").alias("vid")).agg(F.min_by(F.col("rank") + 1, last).alias("seq"))
     heads = ends.select("frag", F.col("head").alias("vid"), F.lit(0).cast("long").alias("seq"))
-    return way.select("frag", "vid", "seq").union(heads)
+    return way.union(heads)
 
 
 def end_table(ends: DataFrame) -> DataFrame:

@@ -235,9 +235,9 @@ def least_cost_routes(cost: DataFrame, requests: DataFrame, tile: int = TILE, we
 
     ``cost``: space, z, y, x, cost (whole, positive, in UNIT; voxels that are missing are barriers); ``requests``: route, space, src, dst (voxel
     ids, route unique). ``weight`` makes voxels dearer by their distance from the straight line; ``pad`` keeps a route in the box of
-    its ends, grown by so much. ``bucket`` is the width of a round's distances (default: what crosses a tile at unit cost).
+    its ends, grown by so much. ``bucket`` is the width of a round's distances (default: what crosses four tiles at unit cost).
     """
-    bucket = bucket or 2 * HALF_STEP[1] * UNIT * tile
+    bucket = bucket or 8 * HALF_STEP[1] * UNIT * tile
     home = tile_of(tile, *[F.shiftright("dst", s).bitwiseAND(F.lit(MASK)) for s in (42, 21, 0)])
     start = tile_of(tile, *[F.shiftright("src", s).bitwiseAND(F.lit(MASK)) for s in (42, 21, 0)])
     tiles = materialize(cost_tiles(cost, tile))

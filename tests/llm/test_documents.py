@@ -87,22 +87,25 @@ def plain_lines(corpus):
             if w:
                 where.append(((i is not None, i or 0, th, j), forms.setdefault(b" ".join(w), len(forms))))
     names = [n.decode() for n in forms]
-    prints = []
-    for n in forms:
-        h = [xxhash.xxh64_intdigest(w) for w in n.split()]
-        prints.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)))
 
-    def distance(a, b):
+    def distance(a, b, most):
+        """The edit distance, or more than ``most`` as soon as no cell of a row is within it."""
         row = list(range(len(b) + 1))
         for i, c in enumerate(a, 1):
             new = [i]
             for j, d in enumerate(b, 1):
                 new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (c != d)))
             row = new
-        return row[-1]
-
-    links = [(a, b) for a in range(len(names)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= lines.MAX_BITS
-             and distance(names[a], names[b]) <= int(0.1 * max(len(names[a]), len(names[b])) + 1e-9)]
+            if min(row) > most:
+                break
+        return max(row[-1], min(row))
+
+    links = []
+    for a in range(len(names)):
+        for b in range(a):
+            most = int(0.1 * max(len(names[a]), len(names[b])) + 1e-9)
+            if abs(len(names[a]) - len(names[b])) <= most and distance(names[a], names[b], most) <= most:
+                links.append((a, b))
     group = roots(len(names), links)
     first = {}
     for at, n in where:

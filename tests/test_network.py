@@ -169,6 +169,16 @@ def test_broken_line_becomes_one_chain(vox):
     assert {lab[(z, 5, 5)] for z in range(50)} == {1} and {lab[(z, 5, 25)] for z in range(5, 45)} == {2}
 
 
+def test_ranks_in_rounds_are_those_of_whole_pieces(vox):
+    ring = [(0, 5, x) for x in range(3, 9)] + [(0, 9, x) for x in range(3, 9)] + [(0, y, 2) for y in range(6, 9)] + [(0, y, 9) for y in range(6, 9)]
+    fv = fragments.fragment_voxels(vox(ring + line(3, 40, 1, 1) + line(5, 6, 20, 20))).cache()
+    ends = fragments.fragment_ends(fv).cache()
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(fragments.fragment_ends(fv, bound=1)) == rows(ends)
+    assert rows(fragments.path_positions(fv, ends, bound=1)) == rows(fragments.path_positions(fv, ends))
+    assert fv.count() == fragments.path_positions(fv, ends).count() and ends.filter("length > 15").count() == 2
+
+
 def test_triangle_refuses_the_cycle(spark):
     ends = spark.createDataFrame([(f, 5, f * 10, f * 10 + 1) for f in (1, 2, 3)], "frag long, length int, head long, tail long")
     rows = [(1, 1, 2, 0, 1.0, 0.0), (2, 1, 3, 0, 1.0, 0.0), (1, 0, 3, 1, 2.0, 0.0)]
