@@ -131,19 +131,30 @@ class _Tile:
         z, y, x = (v + o for v, o in zip(np.unravel_index(flat, (self.side,) * 3), self.low))
         return (z << 42) + (y << 21) + x
 
+    def outside(self) -> np.ndarray:
+        """What the neighbours know of the ring at most: the voxels that gave entries, and ways from them along the ring."""
+        start = np.full(self.cost.size, FAR, dtype=np.int64)
+        cost = self.cost.ravel()
+        for at, by in self.by.items():
+            u = int(self.flat(np.array([by]))[0])
+            if u != at:
+                apart = [abs(a - b) for a, b in zip(np.unravel_index(at, self.cost.shape), np.unravel_index(u, self.cost.shape))]
+                start[u] = min(start[u], self.entry.ravel()[at] - HALF_STEP[int(sum(apart))] * (cost[at] + cost[u]))
+        return settle(np.where(self.ring(), self.cost, -1), start.reshape(self.cost.shape)).ravel()
+
     def exits(self, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(voxel, distance, previous voxel) of the ring around the tile, where a way out is no longer than the limit."""
+        """(voxel, distance, previous voxel) of the ring around the tile, where a way out is no longer than the limit and news to the neighbours."""
         best, by = np.full(self.cost.size, FAR), np.full(self.cost.size, -1, dtype=np.int64)
         shell = np.zeros_like(self.ring())
         shell[1:-1, 1:-1, 1:-1] = True
         shell[2:-2, 2:-2, 2:-2] = False
         src = np.flatnonzero(shell.ravel() & (self.dist.ravel() < limit))   # rising, so the smaller previous voxel comes first
-        cost, dist = self.cost.ravel(), self.dist.ravel()
+        cost, dist, known = self.cost.ravel(), self.dist.ravel(), self.outside()
         for dz, dy, dx in OFFSETS_26[::-1]:
             step = (dz * self.side + dy) * self.side + dx
             to = src + step
             d = dist[src] + HALF_STEP[abs(dz) + abs(dy) + abs(dx)] * (cost[src] + cost[to])
-            ok = self.ring().ravel()[to] & (cost[to] >= 0) & (d <= limit)
+            ok = self.ring().ravel()[to] & (cost[to] >= 0) & (d <= np.minimum(limit, known[to]))
             to, d, s = to[ok], d[ok], src[ok]
             better = (d < best[to]) | (d == best[to]) & (s < by[to])
             best[to[better]], by[to[better]] = d[better], s[better]
@@ -164,7 +175,8 @@ def _tasks(rim: DataFrame, routes: DataFrame, tiles: DataFrame) -> DataFrame:
     """One row for each (route, tile) of rim: its entries, ends, limit and costs."""
     e = rim.groupBy("route", "tile").agg(F.collect_list(F.struct("vid", "dist", "by")).alias("e"))   # at most a tile's surface
     e = e.select("route", "tile", F.col("e.vid").alias("vids"), F.col("e.dist").alias("dists"), F.col("e.by").alias("bys"))
-    return salted_lookup(e.join(routes, "route"), tiles, ["space", "tile"], ["route"])
+    tasks = salted_lookup(e.join(routes, "route"), tiles, ["space", "tile"], ["route"])
+    return tasks.repartition(int(rim.sparkSession.conf.get("spark.sql.shuffle.partitions")), "route", "tile")   # few bytes, much work: not to be coalesced
 
 
 def _explore(tile: int, weight: float, pad: int | None):

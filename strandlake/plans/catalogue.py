@@ -1013,14 +1013,14 @@ def routed_curves(s, d):
 
 @query
 def tile_routes(s, d):
-    """The cheapest way along every fibre, from its first to its last voxel, through voxels of different cost; tiles of 16."""
+    """The cheapest way along every fibre, from its first to its last voxel, through voxels of different cost."""
     from strandlake.operators.routing import least_cost_routes
 
     cost = lift.foreground(s, d, 8).select(F.lit(0).cast("long").alias("space"), "z", "y", "x",
                                            (200_000 + F.pmod(7 * F.col("z") + 13 * F.col("y") + 29 * F.col("x"), F.lit(17)) * 100_000).cast("long").alias("cost"))
     ends = lift.skeleton(s, d, 8).groupBy("fiber").agg(F.min_by("vid", "seq").alias("src"), F.max_by("vid", "seq").alias("dst"))
     asks = ends.select(F.col("fiber").cast("long").alias("route"), F.lit(0).cast("long").alias("space"), "src", "dst")
-    return least_cost_routes(cost, asks, tile=16).select("route", "seq", "vid", "dist")
+    return least_cost_routes(cost, asks).select("route", "seq", "vid", "dist")
 
 
 @query
