@@ -1,7 +1,7 @@
 """Annotation patches: distance transform, routing between seeds, curve refinement, targets.
 
 A patch is a cube of fixed side (96 by default), so a patch is a bounded group: about 0.9 million voxels.
-Only routing and the spline are sequential and run per patch or curve; diffusion, centring and the
+Only routing is sequential and runs per patch; diffusion, centring, splines and the
 target fields are the joins used everywhere else.
 """
 
@@ -22,13 +22,13 @@ from strandlake.operators.donors import order_points
 from strandlake.operators.fields import unit_hash
 from strandlake.operators.morph import two_nearest_curves
 from strandlake.operators.ranges import nearest
+from strandlake.operators.splines import spline_curves
 
 EMPTY_COST = 8.0        # cost of a background voxel
 OCCUPIED_COST = 2.0     # added where an earlier curve already runs
 LANE_WEIGHT = 0.20      # cost per voxel of distance from the straight line
 BOX_PAD = 16
 MAX_SHIFT = 1.5
-PIN_WEIGHT = 500.0
 
 
 def edt(patches: DataFrame, size: int) -> DataFrame:
@@ -186,40 +186,6 @@ def _trace(dt: np.ndarray, cost: np.ndarray, start, size: int) -> np.ndarray:
     return p if p is not None else np.array([start])
 
 
-def _basis(u: np.ndarray, n: int) -> np.ndarray:
-    """Clamped cubic B-spline basis with n coefficients at parameters u in [0, 1]."""
-    k = np.concatenate([np.zeros(3), np.linspace(0, 1, n - 2), np.ones(3)])
-    u = np.clip(u, 0, 1 - 1e-12)
-    b = ((u[:, None] >= k[None, :-1]) & (u[:, None] < k[None, 1:])).astype(float)
-    for p in range(1, 4):
-        m = len(k) - p - 1
-        l, r = k[p:p + m] - k[:m], k[p + 1:p + 1 + m] - k[1:m + 1]
-        b = (np.where(l > 0, (u[:, None] - k[:m]) / np.where(l > 0, l, 1), 0) * b[:, :m]
-             + np.where(r > 0, (k[p + 1:p + 1 + m] - u[:, None]) / np.where(r > 0, r, 1), 0) * b[:, 1:m + 1])
-    return b
-
-
-def _spline(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Weighted least-squares cubic spline through one smoothed curve; ends and pinned points are exact."""
-    pdf = pdf.sort_values("seq")
-    p, pin = pdf[["z", "y", "x"]].to_numpy(float), pdf["pin"].to_numpy(bool).copy()
-    pin[[0, -1]] = True
-    out = p
-    step = np.linalg.norm(np.diff(p, axis=0), axis=1)
-    if len(p) >= 4 and step.sum() > 0:
-        arc = np.concatenate([[0.0], np.cumsum(step)])
-        u = arc / arc[-1]
-        w = np.where(pin, PIN_WEIGHT, 1.0)[:, None]
-        n = max(4, len(p) // 4)
-        coef = np.linalg.lstsq(_basis(u, n) * w, p * w, rcond=None)[0]
-        m = max(3, int(np.round(arc[-1])))
-        out = _basis(np.linspace(0, 1, m), n) @ coef
-        for q in p[pin][1:-1]:
-            out[((out - q) ** 2).sum(1).argmin()] = q
-        out[0], out[-1] = p[0], p[-1]
-    return pd.DataFrame({"curve": pdf["curve"].iloc[0], "seq": np.arange(len(out)), "z": out[:, 0], "y": out[:, 1], "x": out[:, 2]})
-
-
 def refine_curves(paths: DataFrame, mask: DataFrame, sigma: float = 1.2, max_radius: float = 3.5) -> DataFrame:
     """Centre coarse curves in their mask (shift of at most 1.5), smooth, fit a spline.
 
@@ -240,8 +206,7 @@ def refine_curves(paths: DataFrame, mask: DataFrame, sigma: float = 1.2, max_rad
     s = smooth(moved, sigma, "nearest").select("curve", "seq", *[F.col(a).alias(f"s{a}") for a in AX])
     held = F.col("pin") | (F.col("seq") == 0) | (F.col("seq") == F.col("last"))
     s = moved.join(s, ["curve", "seq"]).select("curve", "seq", "pin", *[F.when(held, F.col(a)).otherwise(F.col(f"s{a}")).alias(a) for a in AX])
-    ty = paths.schema["curve"].dataType.simpleString()
-    return s.groupBy("curve").applyInPandas(_spline, f"curve {ty}, seq long, z double, y double, x double")
+    return spline_curves(s)
 
 
 def target_fields(body: DataFrame, curves: DataFrame) -> DataFrame:

@@ -1023,6 +1023,18 @@ def tile_routes(s, d):
     return least_cost_routes(cost, asks).select("route", "seq", "vid", "dist")
 
 
+@query
+def refined_curves(s, d):
+    """Straight curves, so that the result has a closed form: a point a unit of length from end to end."""
+    from strandlake.operators.patches import refine_curves
+
+    e = lift.skeleton(s, d, 8)
+    line = e.select(F.col("fiber").alias("curve"), "seq", (F.col("seq") + 0.00001234).alias("z"), (10.00001234 + 0.5 * F.col("seq")).alias("y"),
+                    (20.00001234 + 0.25 * (F.col("fiber") % 5) * F.col("seq")).alias("x"), F.lit(False).alias("pin"))
+    mask = e.limit(0).select(F.col("fiber").alias("curve"), "vid", "z", "y", "x")
+    return rounded(refine_curves(line, mask), ["z", "y", "x"], 4)
+
+
 @query
 def label_seeds(s, d):
     from strandlake.operators.patches import seeds_from_labels

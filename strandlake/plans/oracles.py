@@ -597,4 +597,11 @@ O["tile_routes"] = sql(
     """back(route,v,dist,k) AS (SELECT q.route,q.dst,x.d,0::BIGINT FROM req q JOIN ds x ON x.route=q.route AND x.v=q.dst
  UNION ALL SELECT b.route,p.u,x.d,b.k+1 FROM back b JOIN req q ON q.route=b.route AND b.v<>q.src JOIN par p ON p.route=b.route AND p.v=b.v JOIN ds x ON x.route=b.route AND x.v=p.u)""")
 
+_LEN = "sqrt(((n-1)*(n-1))::DOUBLE*(1.25::DOUBLE+(0.25::DOUBLE*(fiber%5))*(0.25::DOUBLE*(fiber%5))))"
+_ALONG = lambda t: f"round(0.00001234::DOUBLE+{t},4) AS z,round(10.00001234::DOUBLE+0.5::DOUBLE*{t},4) AS y,round(20.00001234::DOUBLE+0.25::DOUBLE*(fiber%5)*{t},4) AS x"
+O["refined_curves"] = sql(
+    f"SELECT fiber AS curve,k AS seq,{_ALONG('((n-1)*k/(m-1)::DOUBLE)')} FROM (SELECT *,unnest(range(0,m)) AS k FROM (SELECT fiber,n,greatest(3,floor({_LEN}+0.5)::BIGINT) AS m FROM cl WHERE n>=4))"
+    f" UNION ALL SELECT fiber,seq,{_ALONG('seq::DOUBLE')} FROM sk8 JOIN cl USING (fiber) WHERE n<4", SK8,
+    "cl AS MATERIALIZED (SELECT fiber,count(*)::BIGINT AS n FROM sk8 GROUP BY 1)")
+
 ORACLES = O
