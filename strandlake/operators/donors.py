@@ -47,55 +47,92 @@ def through_curves(curves: DataFrame, size: int, min_length: float = 75.0, margi
     return g.select("curve", "n", F.round("length", 5).alias("length"), "entry_face", "exit_face", F.coalesce(valid, F.lit(False)).alias("valid"))
 
 
-def _greedy_order(pts: np.ndarray, start: int, jump: float | None) -> list[int]:
-    """Nearest unvisited point next (ties: lower index); stops where the jump is too long."""
-    left = np.ones(len(pts), bool)
-    order, cur = [], start
+class _Grid:
+    """Points in cells, for the nearest one that is left. Points are taken out as they are visited."""
+
+    def __init__(self, p: np.ndarray, side: int):
+        self.p, self.side = p, side
+        self.left = np.ones(len(p), bool)
+        self.cells: dict[tuple, list[int]] = {}
+        for i, c in enumerate(map(tuple, (p // side).tolist())):
+            self.cells.setdefault(c, []).append(i)
+        self.rest, self.gone = np.arange(len(p)), 0
+
+    def take(self, i: int) -> None:
+        self.left[i] = False
+        self.cells[tuple((self.p[i] // self.side).tolist())].remove(i)
+        self.gone += 1
+        if 2 * self.gone > len(self.rest):   # what a wide search looks through shrinks with what is left
+            self.rest, self.gone = self.rest[self.left[self.rest]], 0
+
+    def nearest(self, i: int) -> tuple[int, int] | None:
+        """(square distance, point) of the nearest point left, ties to the lower one: around it first, all others only if nothing is near."""
+        z, y, x = (self.p[i] // self.side).tolist()
+        near = [j for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) for j in self.cells.get((z + a, y + b, x + c), ())]
+        if near:
+            d = ((self.p[near] - self.p[i]) ** 2).sum(1)
+            best = min(zip(d.tolist(), near, strict=True))
+            if best[0] <= self.side * self.side:   # nothing outside these cells is closer
+                return best
+        rest = self.rest[self.left[self.rest]]
+        if not len(rest):
+            return None
+        d = ((self.p[rest] - self.p[i]) ** 2).sum(1)
+        return int(d.min()), int(rest[d.argmin()])
+
+
+def _greedy_order(p: np.ndarray, start: int, jump: float | None) -> tuple[list[int], int]:
+    """Nearest unvisited point next (ties: lower index), and how many points come before the first jump that is too long."""
+    grid = _Grid(p, int(np.ceil(jump)) if jump else 4)
+    order, whole, cur = [], None, start
     while True:
         order.append(cur)
-        left[cur] = False
-        rest = np.nonzero(left)[0]
-        if not len(rest):
-            return order
-        d = ((pts[rest] - pts[cur]) ** 2).sum(1)
-        i = int(d.argmin())
-        if jump is not None and d[i] > jump * jump:
-            return order
-        cur = int(rest[i])
+        grid.take(cur)
+        step = grid.nearest(cur)
+        if step is None:
+            return order, whole or len(order)
+        if whole is None and jump is not None and step[0] > jump * jump:
+            whole = len(order)
+        cur = step[1]
 
 
 # start point and longest admissible jump of the three ordering rules
 ORDER_RULES = {"export": ("far", 8.0), "donor": ("axis", None), "seed": ("far", 4.5)}
 
 
-def order_points(points: DataFrame, rule: str = "export") -> DataFrame:
+def order_points(points: DataFrame, rule: str = "export", beyond: bool = False) -> DataFrame:
     """(label, seq, z, y, x): points of every label ordered along its curve, by one of three rules.
 
-    The rule is greedy and sequential within a label. A label here is a one-voxel-wide curve, whose size
-    is bounded by the length of a curve in one patch or volume; labels are independent groups.
+    The rule is greedy and sequential within a label; a cell grid makes a step cost what lies near it, not the whole label. Points
+    past the first jump that is too long are no part of the curve: they are left out, or, with ``beyond``, go on in order with that column true.
     """
     how, jump = ORDER_RULES[rule]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["z", "y", "x"])
-        p = pdf[["z", "y", "x"]].to_numpy(float)
+        p = pdf[["z", "y", "x"]].to_numpy(np.int64)
         if len(p) < 3:
-            order = list(range(len(p)))
+            order, whole = list(range(len(p))), len(p)
         else:
-            c = p - p.mean(0)
             if how == "far":
+                c = p - p.min(0)
+                c = c * len(p) - c.sum(0)
+                c = c if np.abs(c).max() < 1 << 30 else c.astype(float)   # whole numbers while they fit: ties are ties
                 start = int((c ** 2).sum(1).argmax())
             else:
+                c = p - p.mean(0)
                 axis = np.linalg.svd(c, full_matrices=False)[2][0]
                 axis = axis if axis[np.abs(axis).argmax()] > 0 else -axis
                 start = int((c @ axis).argmin())
-            order = _greedy_order(p, start, jump)
+            order, whole = _greedy_order(p, start, jump)
         out = pdf.iloc[order][["label", "z", "y", "x"]].copy()
         out.insert(1, "seq", np.arange(len(out)))
-        return out
+        out["beyond"] = np.arange(len(out)) >= whole
+        return out if beyond else out[~out["beyond"]].drop(columns="beyond")
 
     ty = points.schema["label"].dataType.simpleString()
-    return points.select("label", *AX).groupBy("label").applyInPandas(run, f"label {ty}, seq long, z int, y int, x int")
+    shape = f"label {ty}, seq long, z int, y int, x int" + (", beyond boolean" if beyond else "")
+    return points.select("label", *AX).groupBy("label").applyInPandas(run, shape)
 
 
 def centre_curves(curves: DataFrame, mask: DataFrame, sigma: float = 1.0) -> DataFrame:

@@ -47,14 +47,29 @@ def distance2(a, b) -> Column:
     return d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
 
 
+# a cell and half of its neighbours: of two cells that touch, one lists the other
+HALF_CELLS = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) >= (0, 0, 0)]
+
+
 def pairs_within(points: DataFrame, radius: float, key: str, cols=("z", "y", "x"), extra: list[str] | None = None) -> DataFrame:
-    """Unordered pairs of points (key a < key b) within a closed ball; columns get suffixes _a, _b and d2."""
+    """Unordered pairs of points (key a < key b) within a closed ball; columns get suffixes _a, _b and d2.
+
+    Cells have the side of the radius. A point meets those of its own cell and of half the cells around it, so every
+    pair is built once.
+    """
     cols_all = list(dict.fromkeys([key, *cols, *(extra or [])]))
-    a = points.select(*[F.col(c).alias(f"{c}_a") for c in cols_all])
-    b = points.select(*[F.col(c).alias(f"{c}_b") for c in cols_all])
-    ca, cb = [f"{c}_a" for c in cols], [f"{c}_b" for c in cols]
-    p = near_join(a, b, radius, ca, cb).filter(F.col(f"{key}_a") < F.col(f"{key}_b"))
-    return p.withColumn("d2", distance2(ca, cb)).filter(F.col("d2") <= radius * radius)
+    at = [F.floor(F.col(c) / F.lit(float(radius))) + SHIFT for c in cols]
+    p = points.select(F.struct(*cols_all).alias("p"), *[v.alias(f"_c{k}") for k, v in enumerate(at)])
+    here = p.select("p", pack("_c0", "_c1", "_c2").alias("_cell"))
+    steps = F.explode(F.array(*[F.struct(*[F.lit(v).alias(f"s{k}") for k, v in enumerate(o)]) for o in HALF_CELLS])).alias("_s")
+    there = p.select(F.col("p").alias("q"), "_c0", "_c1", "_c2", steps).select(
+        "q", pack(*[F.col(f"_c{k}") + F.col(f"_s.s{k}") for k in range(3)]).alias("_cell"), ((F.col("_s.s0") == 0) & (F.col("_s.s1") == 0) & (F.col("_s.s2") == 0)).alias("_own"))
+    met = here.join(there, "_cell").withColumn("d2", distance2([f"p.{c}" for c in cols], [f"q.{c}" for c in cols])).filter(
+        (F.col("d2") <= radius * radius) & (~F.col("_own") | (F.col(f"p.{key}") < F.col(f"q.{key}"))))
+    first = F.col(f"p.{key}") < F.col(f"q.{key}")
+    a, b = F.when(first, F.col("p")).otherwise(F.col("q")), F.when(first, F.col("q")).otherwise(F.col("p"))
+    met = met.select(a.alias("p"), b.alias("q"), "d2")
+    return met.select(*[F.col(f"p.{c}").alias(f"{c}_a") for c in cols_all], *[F.col(f"q.{c}").alias(f"{c}_b") for c in cols_all], "d2")
 
 
 def within_distance_anti(points: DataFrame, others: DataFrame, radius: float, key: str, cols=("z", "y", "x")) -> DataFrame:
@@ -106,7 +121,8 @@ def nearest(points: DataFrame, sites: DataFrame, key: str, site_key: str, k: int
             src = images
             for n, per in zip(sk, period):
                 src = src.filter((F.col(n) >= -radius) & (F.col(n) <= float(per) + radius))
-        near = near_join(src, todo, radius, sk, pk, on, size=radius)
+        # the side with fewer rows is copied into its cells: sites while all points are open, then the few points that still are
+        near = near_join(src, todo, radius, sk, pk, on, size=radius) if done is None else near_join(todo, src, radius, pk, sk, on, size=radius)
         near = near.withColumn("d2", distance2(pk, sk)).filter(F.col("d2") <= radius * radius)
         if k == 1:
             best = near.groupBy(key).agg(F.min(F.struct("d2", "_sk", *[f"_v_{c}" for c in carry])).alias("b"))

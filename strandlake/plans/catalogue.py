@@ -979,7 +979,7 @@ def thinning_checks(s, d):
 def curve_order(s, d):
     from strandlake.operators.donors import order_points
 
-    return order_points(lift.skeleton(s, d).select(F.col("fiber").alias("label"), "z", "y", "x"), "export")
+    return order_points(lift.skeleton(s, d).select(F.col("fiber").alias("label"), "z", "y", "x"), "export", beyond=True)
 
 
 def _patches(s, d, side):
