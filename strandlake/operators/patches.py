@@ -7,8 +7,6 @@ target fields are the joins used everywhere else.
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,6 +20,7 @@ from strandlake.operators.donors import order_points
 from strandlake.operators.fields import unit_hash
 from strandlake.operators.morph import two_nearest_curves
 from strandlake.operators.ranges import nearest
+from strandlake.operators.routing import FAR, UNIT, lane, previous, settle
 from strandlake.operators.splines import spline_curves
 
 EMPTY_COST = 8.0        # cost of a background voxel
@@ -51,48 +50,29 @@ def edt(patches: DataFrame, size: int) -> DataFrame:
 
 
 def least_cost_path(cost: np.ndarray, a, b) -> np.ndarray | None:
-    """Dijkstra over 26 neighbours; a step costs its length times the mean of both voxels."""
-    sh = cost.shape
-    best = np.full(sh, np.inf)
-    prev = {}
-    best[a] = 0.0
-    heap = [(0.0, a)]
-    steps = [(i, j, k, (i * i + j * j + k * k) ** 0.5) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if i or j or k]
-    while heap:
-        d, p = heapq.heappop(heap)
-        if p == b:
-            out = [p]
-            while out[-1] != a:
-                out.append(prev[out[-1]])
-            return np.array(out[::-1])
-        if d > best[p]:
-            continue
-        for i, j, k, s in steps:
-            q = (p[0] + i, p[1] + j, p[2] + k)
-            if min(q) < 0 or q[0] >= sh[0] or q[1] >= sh[1] or q[2] >= sh[2] or not np.isfinite(cost[q]):
-                continue
-            nd = d + s * 0.5 * (cost[p] + cost[q])
-            if nd < best[q]:
-                best[q], prev[q] = nd, p
-                heapq.heappush(heap, (nd, q))
-    return None
+    """Voxels of the cheapest way over 26 neighbours (whole costs, negative ones are barriers); ties by the smaller previous voxel."""
+    start = np.full(cost.shape, FAR, dtype=np.int64)
+    start[a] = 0
+    dist = settle(cost, start)
+    if dist[b] >= FAR:
+        return None
+    before = previous(cost, dist).ravel()
+    out = [int(np.ravel_multi_index(b, cost.shape))]
+    while before[out[-1]] >= 0:
+        out.append(int(before[out[-1]]))
+    return np.stack(np.unravel_index(out[::-1], cost.shape), 1)
 
 
 def route(cost: np.ndarray, a, b) -> np.ndarray:
     """Least-cost path with a lane penalty, in a padded box around both points (else the whole patch)."""
-    pa, pb = np.array(a, float), np.array(b, float)
-    length = np.linalg.norm(pb - pa)
-    if length < 1e-4:
+    if tuple(a) == tuple(b):
         return np.array([a])
     for pad in (BOX_PAD, max(cost.shape)):
         lo = np.maximum(np.minimum(a, b) - pad, 0)
         hi = np.minimum(np.maximum(a, b) + pad + 1, cost.shape)
-        box = tuple(slice(p, q) for p, q in zip(lo, hi))
-        g = np.stack(np.meshgrid(*[np.arange(p, q) for p, q in zip(lo, hi)], indexing="ij"), -1)
-        u = (pb - pa) / length
-        t = np.clip((g - pa) @ u, 0, length)
-        lane = np.linalg.norm(g - pa - t[..., None] * u, axis=-1)
-        p = least_cost_path(cost[box] + LANE_WEIGHT * lane, tuple(int(v) for v in np.array(a) - lo), tuple(int(v) for v in np.array(b) - lo))
+        box = cost[tuple(slice(p, q) for p, q in zip(lo, hi))]
+        dear = np.where(box >= 0, box + lane(lo, hi, a, b, LANE_WEIGHT), -1)
+        p = least_cost_path(dear, tuple(int(v) for v in np.array(a) - lo), tuple(int(v) for v in np.array(b) - lo))
         if p is not None:
             return p + lo
     return np.array([a, b])
@@ -142,7 +122,7 @@ def route_seeds(dt: DataFrame, seeds: DataFrame, size: int) -> DataFrame:
             return pd.DataFrame({c: [] for c in cols})
         f = np.zeros((size,) * 3)
         f[d["z"], d["y"], d["x"]] = d["dt"]
-        base = np.where(f > 0, 1.0 / (f * f + 0.1), EMPTY_COST)
+        base = np.floor(np.where(f > 0, 1.0 / (f * f + 0.1), EMPTY_COST) * UNIT + 0.5).astype(np.int64)
         cost = base.copy()
         out = []
         for fiber, g in s.sort_values(["fiber", "ord"]).groupby("fiber"):
@@ -154,7 +134,7 @@ def route_seeds(dt: DataFrame, seeds: DataFrame, size: int) -> DataFrame:
                 legs = [route(cost, tuple(pts[i]), tuple(pts[j])) for i, j in zip(order, order[1:])]
                 path = np.concatenate([legs[0], *[leg[1:] for leg in legs[1:]]])
                 pins = {tuple(pts[i]) for i in order[1:-1]}
-            cost[path[:, 0], path[:, 1], path[:, 2]] += OCCUPIED_COST
+            cost[path[:, 0], path[:, 1], path[:, 2]] += int(OCCUPIED_COST * UNIT)
             out.append(pd.DataFrame({"patch": s["patch"].iloc[0], "fiber": fiber, "seq": np.arange(len(path)), "z": path[:, 0],
                                      "y": path[:, 1], "x": path[:, 2], "pin": [tuple(p) in pins for p in path.tolist()]}))
         return pd.concat(out)[cols]
@@ -182,7 +162,7 @@ def _trace(dt: np.ndarray, cost: np.ndarray, start, size: int) -> np.ndarray:
     inner = ((c > 1) & (c < size - 2)).all(1)
     c = c[inner] if inner.any() else c
     end = tuple(int(v) for v in c[((c - np.array(start)) ** 2).sum(1).argmax()])
-    p = least_cost_path(np.where(comp, cost, np.inf), start, end)
+    p = least_cost_path(np.where(comp, cost, -1), start, end)
     return p if p is not None else np.array([start])
 
 

@@ -1035,6 +1035,19 @@ def refined_curves(s, d):
     return rounded(refine_curves(line, mask), ["z", "y", "x"], 4)
 
 
+@query
+def tiled_box(s, d):
+    """The foreground written as tiles, and a box of it read back."""
+    import uuid
+
+    from strandlake.session import shared_folder
+    from strandlake.sources.voxels import read_box, write_tiles
+
+    path = f"{shared_folder(s).rstrip('/')}/strandlake/{uuid.uuid4().hex}"
+    write_tiles(lift.foreground(s, d), path, 32)
+    return read_box(s, path, (10, 3, 5), (40, 20, 30)).select(V)
+
+
 @query
 def label_seeds(s, d):
     from strandlake.operators.patches import seeds_from_labels

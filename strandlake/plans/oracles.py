@@ -604,14 +604,19 @@ O["refined_curves"] = sql(
     f" UNION ALL SELECT fiber,seq,{_ALONG('seq::DOUBLE')} FROM sk8 JOIN cl USING (fiber) WHERE n<4", SK8,
     "cl AS MATERIALIZED (SELECT fiber,count(*)::BIGINT AS n FROM sk8 GROUP BY 1)")
 
-O["curve_order"] = sql(
-    "SELECT label,seq,z,y,x,beyond FROM walk JOIN pt USING (label,i) UNION ALL SELECT label,i,z,y,x,false FROM pt WHERE n<3", SK,
-    """pt AS MATERIALIZED (SELECT fiber AS label,z,y,x,row_number() OVER (PARTITION BY fiber ORDER BY z,y,x)-1 AS i,count(*) OVER w AS n,sum(z) OVER w AS sz,
- sum(y) OVER w AS sy,sum(x) OVER w AS sx FROM sk WINDOW w AS (PARTITION BY fiber))""",
-    """walk(label,seq,i,seen,beyond) AS (SELECT label,0::BIGINT,arg_min(i,{'d':-((z*n-sz)*(z*n-sz)+(y*n-sy)*(y*n-sy)+(x*n-sx)*(x*n-sx)),'i':i}),
- [arg_min(i,{'d':-((z*n-sz)*(z*n-sz)+(y*n-sy)*(y*n-sy)+(x*n-sx)*(x*n-sx)),'i':i})],false FROM pt WHERE n>=3 GROUP BY label
- UNION ALL SELECT label,seq+1,t.i,list_append(seen,t.i),beyond OR t.d>64 FROM (
-  SELECT w.label,w.seq,w.seen,w.beyond,min({'d':(p.z-c.z)*(p.z-c.z)+(p.y-c.y)*(p.y-c.y)+(p.x-c.x)*(p.x-c.x),'i':p.i}) AS t FROM walk w
-  JOIN pt c ON c.label=w.label AND c.i=w.i JOIN pt p ON p.label=w.label AND NOT list_contains(w.seen,p.i) GROUP BY ALL))""")
+_PT = """pt AS MATERIALIZED (SELECT fiber AS label,z,y,x,row_number() OVER (PARTITION BY fiber ORDER BY z,y,x)-1 AS i,count(*) OVER w AS n,sum(z) OVER w AS sz,
+ sum(y) OVER w AS sy,sum(x) OVER w AS sx FROM sk WINDOW w AS (PARTITION BY fiber))"""
+_START = "arg_min(i,{'d':-((z*n-sz)*(z*n-sz)+(y*n-sy)*(y*n-sy)+(x*n-sx)*(x*n-sx)),'i':i})"
+_VISIT = lambda jump2: f"""walk(label,seq,i,seen,beyond) AS (SELECT label,0::BIGINT,{_START},[{_START}],false FROM pt WHERE n>=3 GROUP BY label
+ UNION ALL SELECT label,seq+1,t.i,list_append(seen,t.i),beyond OR t.d>{jump2} FROM (
+  SELECT w.label,w.seq,w.seen,w.beyond,min({{'d':(p.z-c.z)*(p.z-c.z)+(p.y-c.y)*(p.y-c.y)+(p.x-c.x)*(p.x-c.x),'i':p.i}}) AS t FROM walk w
+  JOIN pt c ON c.label=w.label AND c.i=w.i JOIN pt p ON p.label=w.label AND NOT list_contains(w.seen,p.i) GROUP BY ALL))"""
+_ORDER = "SELECT label,seq,z,y,x,beyond FROM walk JOIN pt USING (label,i) UNION ALL SELECT label,i,z,y,x,false FROM pt WHERE n<3"
+O["curve_order"] = sql(_ORDER, SK, _PT, _VISIT(64))
+_FACE96 = "CASE " + " ".join(f"WHEN {c}<=1 THEN '{c}_min' WHEN {c}>=94 THEN '{c}_max'" for c in "zyx") + " ELSE 'internal' END"
+O["label_seeds"] = sql(
+    f"""SELECT label,seq AS ord,z,y,x,NOT (seq=0 OR seq=n-1) AS way,{_FACE96} AS face FROM (SELECT *,count(*) OVER (PARTITION BY label) AS n FROM od WHERE NOT beyond)
+ WHERE n>=8 AND (seq=0 OR seq=n-1 OR CASE WHEN n>=12 THEN seq=n//3 OR seq=2*(n//3) ELSE seq=n//2 END)""", SK, _PT, _VISIT(20.25), f"od AS MATERIALIZED ({_ORDER})")
+O["tiled_box"] = sql("SELECT vid,z,y,x FROM fg WHERE z BETWEEN 10 AND 40 AND y BETWEEN 3 AND 20 AND x BETWEEN 5 AND 30", *FG)
 
 ORACLES = O

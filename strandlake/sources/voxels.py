@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from strandlake.grid import tile_of
+from strandlake.grid import AXIS, tile_of
 
 
 class Slab(InputPartition):
@@ -18,28 +18,37 @@ class Slab(InputPartition):
 
 
 class NpyReader(DataSourceReader):
-    """Rows (z, y, x, v0[, v1, v2]) of the non-zero voxels; one partition per slab of slices."""
+    """Rows (z, y, x, v0[, v1, v2]) of the non-zero voxels; one partition per slab of slices.
 
-    def __init__(self, path: str, slab: int):
+    With a box, only slabs that meet it are partitions, and only its rows and columns are read from their slices. The box is an
+    option of the relation, not a pushed filter: Spark 4.1 keeps the reader of a Python source between queries of one
+    DataFrame, and with it the filters of an earlier query.
+    """
+
+    def __init__(self, path: str, slab: int, low: list[int], high: list[int]):
         self.path, self.slab = path, slab
         a = np.load(path, mmap_mode="r")
         self.shape = a.shape
         # a vector field is stored component first or component last
         self.first = a.ndim == 4 and a.shape[0] == 3 and a.shape[-1] != 3
-        self.depth = a.shape[1] if self.first else a.shape[0]
+        sides = a.shape[1:] if self.first else a.shape[:3]
+        self.box = {c: [max(a, 0), min(b + 1, n)] for c, n, a, b in zip("zyx", sides, low, high)}
 
     def partitions(self):
-        return [Slab(z, min(z + self.slab, self.depth)) for z in range(0, self.depth, self.slab)]
+        low, high = self.box["z"]
+        slabs = [Slab(max(z, low), min(z + self.slab, high)) for z in range(low - low % self.slab, high, self.slab)]
+        return slabs if slabs and all(a < b for a, b in self.box.values()) else [Slab(0, 0)]
 
     def read(self, part):
         a = np.load(self.path, mmap_mode="r")
+        (y0, y1), (x0, x1) = self.box["y"], self.box["x"]
         for z in range(part.z0, part.z1):
-            s = np.asarray(a[:, z] if self.first else a[z])
+            s = np.asarray(a[:, z, y0:y1, x0:x1] if self.first else a[z, y0:y1, x0:x1])
             s = s[None] if s.ndim == 2 else (s if self.first else np.moveaxis(s, -1, 0))
             y, x = np.nonzero((s != 0).any(axis=0))
             if not len(y):
                 continue
-            cols = [pa.array(np.full(len(y), z, np.int32)), pa.array(y.astype(np.int32)), pa.array(x.astype(np.int32))]
+            cols = [pa.array(np.full(len(y), z, np.int32)), pa.array((y + y0).astype(np.int32)), pa.array((x + x0).astype(np.int32))]
             cols += [pa.array(s[c, y, x].astype(np.float64)) for c in range(len(s))]
             yield pa.RecordBatch.from_arrays(cols, names=["z", "y", "x", *[f"v{c}" for c in range(len(s))]])
 
@@ -55,13 +64,26 @@ class NpyVolume(DataSource):
         return "z int, y int, x int, " + ", ".join(f"v{c} double" for c in range(k))
 
     def reader(self, schema):
-        return NpyReader(self.options["path"], int(self.options.get("slab", "8")))
+        low, high = ([int(v) for v in self.options.get(side, default).split(",")] for side, default in (("low", "0,0,0"), ("high", f"{AXIS},{AXIS},{AXIS}")))
+        return NpyReader(self.options["path"], int(self.options.get("slab", "8")), low, high)
 
 
-def read_npy(spark: SparkSession, path: str, slab: int = 8) -> DataFrame:
-    """Non-zero voxels of a (D, H, W), (D, H, W, 3) or (3, D, H, W) array on a shared path."""
+def read_npy(spark: SparkSession, path: str, slab: int = 8, lo=None, hi=None) -> DataFrame:
+    """Non-zero voxels of a (D, H, W), (D, H, W, 3) or (3, D, H, W) array on a shared path, or of an inclusive box of it."""
     spark.dataSource.register(NpyVolume)
-    return spark.read.format("voxel_npy").option("slab", slab).load(path)
+    r = spark.read.format("voxel_npy").option("slab", slab)
+    for name, side in (("low", lo), ("high", hi)):
+        r = r if side is None else r.option(name, ",".join(str(int(v)) for v in side))
+    return r.load(path)
+
+
+def read_volume(spark: SparkSession, path: str) -> DataFrame:
+    """Voxels of a volume by its kind: a dense .npy array, or a folder of tiles. Other files raise."""
+    if path.lower().endswith(".npy"):
+        return read_npy(spark, path)
+    if "." not in path.rstrip("/").rsplit("/", 1)[-1] or path.rstrip("/").lower().endswith(".parquet"):
+        return spark.read.parquet(path)
+    raise ValueError(f"no reader for this kind of volume: {path}")
 
 
 def npy_shape(path: str) -> tuple[int, ...]:
@@ -95,8 +117,10 @@ def write_tiles(vox: DataFrame, path: str, size: int = 256, mode: str = "overwri
 
 
 def read_box(spark: SparkSession, path: str, lo, hi) -> DataFrame:
-    """Voxels of an inclusive box; the predicates are pushed to the scan."""
-    df = spark.read.parquet(path)
+    """Voxels of an inclusive box; nothing else is read, whatever the kind of volume (tiles: row groups by their statistics)."""
+    if path.lower().endswith(".npy"):
+        return read_npy(spark, path, lo=lo, hi=hi)
+    df = read_volume(spark, path)
     for c, a, b in zip("zyx", lo, hi):
         df = df.filter(F.col(c).between(a, b))
     return df

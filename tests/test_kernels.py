@@ -159,6 +159,21 @@ def test_incremental_preparation(spark, tmp_path):
     assert spark.read.parquet(out).groupBy("doc").count().collect().__len__() == 2
 
 
+def test_boxes_open_only_their_slabs(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    a = (rng.random((40, 11, 13)) < 0.3).astype(np.uint8) * 9
+    np.save(tmp_path / "v.npy", a)
+    path = str(tmp_path / "v.npy")
+    whole, box = voxels.read_npy(spark, path, 4), voxels.read_npy(spark, path, 4, (10, 2, 7), (14, 6, 7))
+    want = {(z, y, x) for z, y, x in np.argwhere(a).tolist() if 10 <= z <= 14 and 2 <= y <= 6 and x == 7}
+    assert {(r.z, r.y, r.x) for r in box.collect()} == want and want
+    assert whole.rdd.getNumPartitions() == 10 and box.rdd.getNumPartitions() == 2
+    assert voxels.read_npy(spark, path, 4, (100, 0, 0)).count() == 0 and whole.count() == np.count_nonzero(a)
+    assert voxels.read_box(spark, path, (10, 2, 7), (14, 6, 7)).count() == len(want)
+    with pytest.raises(ValueError):
+        voxels.read_volume(spark, "/x/volume.nii")
+
+
 def test_npy_source_and_tiles(spark, tmp_path):
     a = np.zeros((20, 6, 7), np.float32)
     a[3, 2, 1], a[19, 5, 6] = 200.0, 90.0

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandlake.grid import pack
-from strandlake.operators import routing
+from strandlake.operators import patches, routing
 
 STEPS = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if a or b or c]
 
@@ -73,6 +73,18 @@ def test_a_long_winding_route(spark):
     assert got == want and len(got) > 1100
 
 
+def test_a_patch_is_routed_the_same_way():
+    rnd = random.Random(9)
+    for _ in range(6):
+        cost = maze(rnd, 9, rnd.choice([0.3, 0.7, 1.0]))
+        box = np.full((9, 9, 9), -1, dtype=np.int64)
+        for p, c in cost.items():
+            box[p] = c
+        a, b = rnd.sample(sorted(cost), 2)
+        got, want = patches.least_cost_path(box, a, b), dijkstra(cost, a, b)
+        assert (got is None) == (want is None) and (want is None or [tuple(p) for p in got.tolist()] == [w[:3] for w in want])
+
+
 def test_lane_and_box(spark):
     """The straight lane wins among equal ways, and nothing leaves the padded box."""
     c = spark.range(20 * 20 * 20).select(F.lit(0).cast("long").alias("space"), *[(F.floor(F.col("id") / d) % 20).cast("int").alias(n) for n, d in (("z", 400), ("y", 20), ("x", 1))],
