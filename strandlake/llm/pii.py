@@ -18,10 +18,11 @@ from strandlake.llm.common import stored, table, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 
-# The base patterns.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+# The base patterns. Runs are possessive and start where no run is under way, so a long run is read once.
+LOCAL = re.compile(r"[A-Za-z0-9._%+-]++(@?)")
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 # Looser forms that only the classifier can accept.
@@ -56,11 +57,23 @@ def digits_of(s: str) -> str:
     return re.sub("[^0-9]", "", s)
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of runs before an @ with a domain after it. A domain may end inside a run; the rest of that run can go on."""
+    pos = 0
+    for run in LOCAL.finditer(text):
+        start = max(run.start(), pos)
+        if run[1] and start < run.start(1):
+            domain = DOMAIN.match(text, run.end())
+            if domain:
+                pos = domain.end()
+                yield start, pos
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end), sorted. A character that each pattern needs is looked for first."""
     out = []
     if "@" in text:
-        out += [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
+        out += [(a, 0, b) for a, b in emails(text)]
     if not re.search("[0-9]", text):
         return out
     out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split("."))]
@@ -103,12 +116,15 @@ def marked(text: str) -> tuple[list[dict], list[dict]]:
     item = lambda s, k, e, b: {"start": s, "kind": k, "end": e, "mark": KINDS[k] + ":" + votes(text, KINDS[k], s, e, b)}
     loose: list[tuple[int, int, int]] = []
     if re.search(r"[0-9]|[\[(]\s?at", text):
-        taken = [(s, e) for s, _, e in base]
+        taken = bytearray(len(text))   # a mark for each character of a span
+        for a, _, b in base:
+            taken[a:b] = b"\1" * (b - a)
         for kind, pattern in LOOSE:
             for m in pattern.finditer(text):
-                if not any(s < m.end() and e > m.start() for s, e in taken):
-                    taken.append(m.span())
-                    loose.append((m.start(), KINDS.index(kind), m.end()))
+                a, b = m.span()
+                if taken.find(1, a, b) < 0:
+                    taken[a:b] = b"\1" * (b - a)
+                    loose.append((a, KINDS.index(kind), b))
     return [item(*x, True) for x in base], [item(*x, False) for x in sorted(loose)]
 
 

@@ -107,13 +107,16 @@ def held_out(id_col: str = "doc_id") -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
     """(text, toxic) of at most ``bound`` labelled documents that are not held out, each text once.
 
+    Where the labels of an id, or of the rows with one text, disagree, the majority counts, and 0 in a tie.
     The ids are drawn by hash; being at most ``bound``, they may be broadcast, so that no text moves.
     """
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    usable = usable.filter("doc_id is not null and toxic in (0, 1)").filter(~held_out()).dropDuplicates(["doc_id"])
+    usable = usable.filter("doc_id is not null and toxic in (0, 1)").filter(~held_out())
+    most = (F.avg("toxic") > 0.5).cast("int").alias("toxic")
+    usable = usable.groupBy("doc_id").agg(most)
     drawn = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.join(F.broadcast(drawn), "doc_id").select("text", "toxic").dropDuplicates(["text"])
+    return rows.join(F.broadcast(drawn), "doc_id").groupBy("text").agg(most)
 
 
 def learn(sample: DataFrame) -> dict[str, float]:
