@@ -130,17 +130,20 @@ def greedy_bridges(ends: DataFrame, cands: DataFrame, p: Params = Params(), max_
     ``bound`` candidates are decided in one task each.
     """
     c = materialize(_slots(ends, cands, p))
+    types = ", ".join(f"{n} {c.schema[n].dataType.simpleString()}" for n in NAMES)
+    vids = cands.select(*NAMES, "vid_a", "vid_b", "cost")
+    if c.count() <= bound:   # all of them fit a task: their components need not be told apart
+        return c.withColumn("part", F.lit(0)).groupBy("part").applyInPandas(_decided, types).join(vids, NAMES)
     roots = edge_components(c, "frag_a", "frag_b").select(F.col("v").alias("frag_a"), "root")
     named = materialize(c.join(roots, "frag_a"))
     sizes = named.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
     large = sizes.filter(F.col("n") > bound).select("root")
     parts = max(int(c.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(named.count() / max(bound, 1)))
     small = named.join(large, "root", "left_anti").withColumn("part", F.pmod(F.xxhash64("root"), F.lit(parts)))
-    types = ", ".join(f"{n} {c.schema[n].dataType.simpleString()}" for n in NAMES)
     took = small.groupBy("part").applyInPandas(_decided, types)
     if not large.isEmpty():
         took = took.union(_in_rounds(named.join(large, "root", "left_semi"), max_rounds))
-    return took.join(cands.select(*NAMES, "vid_a", "vid_b", "cost"), NAMES)
+    return took.join(vids, NAMES)
 
 
 def chains(ends: DataFrame, bridges: DataFrame, self_cost: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions.vec3 import dot, safe
@@ -11,7 +11,7 @@ from strandlake.operators.curves import AX, arc_length, frames, neighbours_on_cu
 from strandlake.operators.fields import unit_hash
 from strandlake.operators.geometry import project_to_curve
 from strandlake.operators.ranges import distance2, near_join, nearest, within_distance_anti
-from strandlake.session import materialize
+from strandlake.session import materialize, release
 
 BODY_LEVEL = 0.40     # interpolated mask value above which a voxel belongs to the curve's body
 END_SLACK = 0.5       # voxels past an end plane by more than this are cut
@@ -124,19 +124,56 @@ def render(bodies: DataFrame, curves: DataFrame) -> DataFrame:
     return out.fillna(0.0, ["intensity", "oz", "oy", "ox"])
 
 
-def separable_offsets(stamps: DataFrame, existing: DataFrame, tries: DataFrame, min_distance: float = 6.0) -> DataFrame:
-    """First try (stamp, try, z0, y0, x0) that keeps a stamp's centre line clear of the existing ones.
+def separable_offsets(stamps: DataFrame, existing: DataFrame, tries: DataFrame, min_distance: float = 6.0, max_rounds: int = 1_000) -> DataFrame:
+    """(stamp, patch, try, z0, y0, x0): where stamps are placed, patch by patch in the order of their numbers.
 
-    All tries of all stamps are tested in one join; the existing centre lines are those of the patch
-    before any of these stamps, so stamps of one call belong to different patches (column ``patch``).
+    A stamp takes its first try whose centre line keeps clear of the patch's centre lines and of the stamps placed before it; one
+    without such a try is left out. All tries of all stamps are tested in two joins: with the existing lines, and among
+    themselves. Then rounds decide every stamp that no undecided earlier one can still get in the way of, in all patches at once; in each
+    patch the first undecided stamp is one of them. Stamps far apart do not wait for each other.
+
+    ``stamps``: stamp, z, y, x, intensity; ``existing``: patch, z, y, x, intensity; ``tries``: stamp, patch, try, z0, y0, x0.
     """
     t = tries.join(stamps.filter("intensity > 0.5").select("stamp", *AX), "stamp")
-    t = t.select("stamp", "try", "patch", "z0", "y0", "x0", *[(F.col(c) + F.col(f"{c}0")).alias(c) for c in AX])
+    t = materialize(t.select("stamp", "try", "patch", *[(F.col(c) + F.col(f"{c}0")).alias(c) for c in AX]))
     e = existing.filter("intensity > 0.5").select("patch", *[F.col(c).alias(f"e{c}") for c in AX])
-    hit = near_join(t, e, min_distance, AX, ("ez", "ey", "ex"), ["patch"])
-    bad = hit.filter(distance2(AX, ("ez", "ey", "ex")) < min_distance ** 2).select("stamp", "try").distinct()
-    ok = t.select("stamp", "patch", "try", "z0", "y0", "x0").distinct().join(bad, ["stamp", "try"], "left_anti")
-    return ok.groupBy("stamp", "patch").agg(F.min_by(F.struct("try", "z0", "y0", "x0"), "try").alias("b")).select("stamp", "patch", "b.*")
+    close = lambda df: df.filter(distance2(AX, ("ez", "ey", "ex")) < min_distance ** 2)
+    bad = close(near_join(t, e, min_distance, AX, ("ez", "ey", "ex"), ["patch"])).select("stamp", "try").distinct()
+    named = tries.select("stamp", "patch", "try").distinct()
+    open_ = materialize(named.join(bad, ["stamp", "try"], "left_anti"))
+    o = t.select("patch", F.col("stamp").alias("before"), F.col("try").alias("its"), *[F.col(c).alias(f"e{c}") for c in AX])
+    meet = close(near_join(t, o, min_distance, AX, ("ez", "ey", "ex"), ["patch"]).filter("before < stamp"))
+    meet = materialize(meet.select("stamp", "try", "before", "its").distinct())
+    placed = []
+    for _ in range(max_rounds):
+        if open_.isEmpty():
+            break
+        first = open_.groupBy("stamp", "patch").agg(F.min("try").alias("try"))
+        rivals = meet.join(open_.select(F.col("stamp").alias("before"), F.col("try").alias("its")), ["before", "its"], "left_semi")
+        won = materialize(first.join(rivals.select("stamp", "try").distinct(), ["stamp", "try"], "left_anti"))
+        placed.append(won)
+        spoilt = meet.join(won.select(F.col("stamp").alias("before"), F.col("try").alias("its")), ["before", "its"], "left_semi").select("stamp", "try").distinct()
+        rest = open_.join(won.select("stamp"), "stamp", "left_anti").join(spoilt, ["stamp", "try"], "left_anti")
+        past, open_ = open_, materialize(rest)
+        release(past)
+    else:
+        raise RuntimeError("stamps were not placed within the rounds")
+    out = named.limit(0)
+    for won in placed:
+        out = out.union(won.select(*named.columns))
+    return out.join(tries.select("stamp", "try", "z0", "y0", "x0"), ["stamp", "try"]).select("stamp", "patch", "try", "z0", "y0", "x0")
+
+
+def place_stamps(patches: DataFrame, stamps: DataFrame, tries: DataFrame, min_distance: float = 6.0) -> DataFrame:
+    """Patches with all stamps merged in that find a place, as if one after the other: the k-th stamps of all patches at once."""
+    where = separable_offsets(stamps, patches, tries, min_distance)
+    where = materialize(where.withColumn("k", F.row_number().over(Window.partitionBy("patch").orderBy("stamp"))))   # a patch holds few stamps
+    now = patches.select("patch", *AX, "intensity", "oz", "oy", "ox")
+    for k in range(1, (where.agg(F.max("k")).first()[0] or 0) + 1):
+        at = where.filter(F.col("k") == k)
+        new = merge_stamps(now.join(at.select("patch"), "patch", "left_semi"), stamps, at.drop("patch", "k").join(at.select("stamp", "patch"), "stamp"))
+        now = materialize(now.join(at.select("patch"), "patch", "left_anti").union(new.select(*now.columns)))
+    return now
 
 
 def merge_stamps(patches: DataFrame, stamps: DataFrame, offsets: DataFrame) -> DataFrame:

@@ -1048,6 +1048,22 @@ def tiled_box(s, d):
     return read_box(s, path, (10, 3, 5), (40, 20, 30)).select(V)
 
 
+@query
+def placed_stamps(s, d):
+    """Three of four fibres as stamps for a patch of sixteen, at the first of five places that keeps clear of what is there."""
+    from strandlake.operators.morph import separable_offsets
+
+    sk = materialize(lift.skeleton(s, d, 8))
+    patch = F.floor(F.col("fiber") / 16).alias("patch")
+    own = sk.filter("seq < 24").withColumns({"y": F.col("y") % 8, "x": F.col("x") % 8})
+    stamps = own.filter("fiber % 4 <> 0").select(F.col("fiber").alias("stamp"), "z", "y", "x", F.lit(1.0).alias("intensity"))
+    existing = own.filter("fiber % 4 = 0").select(patch, "z", (F.col("y") + F.col("fiber") % 16).alias("y"), (F.col("x") + 2 * (F.col("fiber") % 16)).alias("x"),
+                                                  F.lit(1.0).alias("intensity"))
+    tries = own.filter("fiber % 4 <> 0").select(F.col("fiber").alias("stamp"), patch, F.explode(F.sequence(F.lit(0), F.lit(4))).alias("try")).distinct()
+    tries = tries.withColumns({"z0": F.lit(0), "y0": ((7 * F.col("stamp") + 5 * F.col("try")) % 24).cast("int"), "x0": ((11 * F.col("stamp") + 13 * F.col("try")) % 40).cast("int")})
+    return separable_offsets(stamps, existing, tries)
+
+
 @query
 def label_seeds(s, d):
     from strandlake.operators.patches import seeds_from_labels

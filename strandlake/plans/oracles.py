@@ -619,4 +619,22 @@ O["label_seeds"] = sql(
  WHERE n>=8 AND (seq=0 OR seq=n-1 OR CASE WHEN n>=12 THEN seq=n//3 OR seq=2*(n//3) ELSE seq=n//2 END)""", SK, _PT, _VISIT(20.25), f"od AS MATERIALIZED ({_ORDER})")
 O["tiled_box"] = sql("SELECT vid,z,y,x FROM fg WHERE z BETWEEN 10 AND 40 AND y BETWEEN 3 AND 20 AND x BETWEEN 5 AND 30", *FG)
 
+O["placed_stamps"] = sql(
+    "SELECT s.stamp,s.patch,t.try,0::INTEGER AS z0,((7*s.stamp+5*t.try)%24)::INTEGER AS y0,((11*s.stamp+13*t.try)%40)::INTEGER AS x0 FROM go s,LATERAL (SELECT unnest(s.took) AS try) t WHERE t.try IS NOT NULL",
+    SK8,
+    "own AS MATERIALIZED (SELECT fiber,fiber//16 AS patch,z,y%8 AS y,x%8 AS x FROM sk8 WHERE seq<24)",
+    "ex AS MATERIALIZED (SELECT patch,z,y+fiber%16 AS y,x+2*(fiber%16) AS x FROM own WHERE fiber%4=0)",
+    """tp AS MATERIALIZED (SELECT fiber AS stamp,patch,k::INTEGER AS try,z,y+(7*fiber+5*k)%24 AS y,x+(11*fiber+13*k)%40 AS x FROM own,range(0,5) g(k) WHERE fiber%4<>0)""",
+    "dead AS MATERIALIZED (SELECT DISTINCT stamp,try FROM tp t JOIN ex e ON e.patch=t.patch WHERE (t.z-e.z)**2+(t.y-e.y)**2+(t.x-e.x)**2<36)",
+    """meet AS MATERIALIZED (SELECT DISTINCT a.stamp,a.try,b.stamp AS before,b.try AS its FROM tp a JOIN tp b ON a.patch=b.patch AND b.stamp<a.stamp
+ WHERE (a.z-b.z)**2+(a.y-b.y)**2+(a.x-b.x)**2<36)""",
+    "st AS MATERIALIZED (SELECT stamp,patch,row_number() OVER (PARTITION BY patch ORDER BY stamp) AS r FROM (SELECT DISTINCT stamp,patch FROM tp))",
+    "free AS MATERIALIZED (SELECT DISTINCT t.stamp,t.try FROM tp t LEFT JOIN dead d ON d.stamp=t.stamp AND d.try=t.try WHERE d.stamp IS NULL)",
+    """go(patch,r,stamp,took,placed) AS (
+ SELECT patch,r,stamp,[(SELECT min(try) FROM free f WHERE f.stamp=st.stamp)],[{'s':stamp,'t':(SELECT min(try) FROM free f WHERE f.stamp=st.stamp)}] FROM st WHERE r=1
+ UNION ALL SELECT patch,r,stamp,[t],list_append(placed,{'s':stamp,'t':t}) FROM (
+  SELECT g.patch,n.r,n.stamp,g.placed,min(f.try) FILTER (WHERE m.stamp IS NULL) AS t FROM go g JOIN st n ON n.patch=g.patch AND n.r=g.r+1
+  LEFT JOIN free f ON f.stamp=n.stamp LEFT JOIN (SELECT stamp,try,list({'s':before,'t':its}) AS all FROM meet GROUP BY 1,2) m
+   ON m.stamp=f.stamp AND m.try=f.try AND list_has_any(m.all,g.placed) GROUP BY ALL))""")
+
 ORACLES = O

@@ -141,7 +141,7 @@ def test_distributed_matching_is_the_sequential_one(spark, seed):
     c = spark.createDataFrame(rows, "frag_a long, end_a int, frag_b long, end_b int, cost double, score double")
     c = c.withColumns({"vid_a": F.lit(0).cast("long"), "vid_b": F.lit(0).cast("long")}).cache()
     want = python_greedy(single, rows)
-    for bound in (matching.SOLVED, 0):   # whole components in a task; rounds
+    for bound in (matching.SOLVED, len(rows) - 1, 0):   # everything in a task; whole components; rounds
         got = matching.greedy_bridges(ends, c, bound=bound).collect()
         assert sorted((r.frag_a, r.end_a, r.frag_b, r.end_b) for r in got) == want
 
