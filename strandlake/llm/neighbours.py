@@ -2,7 +2,8 @@
 
 Vectors that are null, zero, of another than the most frequent length (ties: the shortest), or that hold
 null or non-finite components take no part; neither do rows with a null id. A query never meets rows of its
-own id; repeated rows of other ids are candidates each. Other columns are ignored; an empty table gives an
+own id; repeated rows of other ids are candidates each, but rows of one id and vector ask once. Where an id has several
+vectors, each of them asks, and the ranks are those of all that they found. Other columns are ignored; an empty table gives an
 empty result.
 """
 
@@ -166,7 +167,7 @@ def blocks_of(counts: dict[int, int], rows: int):
     return out
 
 
-def rerank(queries: pa.Table, candidates: pa.Table) -> pa.Table:
+def rerank(queries: pa.Table, candidates: pa.Table, nearest: int = NEAREST) -> pa.Table:
     """The nearest candidates of each query by exact inner products; ties at the limit are settled by the smaller id."""
     names = ["query_id", "vec_id", "score"]
     if not queries.num_rows or not candidates.num_rows:
@@ -178,11 +179,11 @@ def rerank(queries: pa.Table, candidates: pa.Table) -> pa.Table:
     out: list[tuple] = []
     for i in range(len(q)):
         row = np.where(cid == qid[i], -np.inf, s[i])
-        k = min(NEAREST, len(row))
+        k = min(nearest, len(row))
         limit = np.partition(row, len(row) - k)[len(row) - k] - blur[i]
         at = np.flatnonzero((row >= limit) & (cid != qid[i]))
         exact = (c[at] * q[i]).sum(axis=1)   # the same sum for equal vectors, wherever they stand
-        best = np.lexsort((cid[at], -exact))[:NEAREST]
+        best = np.lexsort((cid[at], -exact))[:nearest]
         out.append((np.full(len(best), qid[i]), cid[at][best], exact[best]))
     return pa.Table.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=names)
 
@@ -195,7 +196,7 @@ def search(vectors: DataFrame, is_query, nearest: int = NEAREST, parts: int = PA
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
     router = Router(matrix(drawn["v"]), parts, goal, nearest)
     index = stored(routed(rows, router, 1))
-    asked = stored(routed(rows.filter(is_query), router, router.visits))
+    asked = stored(routed(rows.filter(is_query).dropDuplicates(["vec_id", "v"]), router, router.visits))
     counts = {r["part"]: r["n"] for r in index.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}     # at most PARTS rows each
     asks = {r["part"]: r["n"] for r in asked.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
     c_blocks, q_blocks = blocks_of(counts, CANDIDATE_BLOCK), blocks_of(asks, QUERY_BLOCK)
@@ -203,7 +204,7 @@ def search(vectors: DataFrame, is_query, nearest: int = NEAREST, parts: int = PA
     index = index.withColumn("cb", here).withColumn("qb", F.explode(F.sequence(F.lit(0), q_blocks - 1)))
     asked = asked.withColumn("qb", salt).withColumn("cb", F.explode(F.sequence(F.lit(0), c_blocks - 1)))
     keys = ["part", "qb", "cb"]
-    found = asked.groupBy(*keys).cogroup(index.groupBy(*keys)).applyInArrow(lambda a, b: rerank(a, b), "query_id long, vec_id long, score double")
+    found = asked.groupBy(*keys).cogroup(index.groupBy(*keys)).applyInArrow(lambda a, b: rerank(a, b, nearest), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
 

@@ -33,6 +33,11 @@ def test_neighbours_recall_and_order(spark):
         hit += len({v for _, v, _ in mine} & set(np.lexsort((ids, -np.round(s, 9)))[:20]))
     assert hit / (20 * len(got)) >= 0.9
     assert neighbours.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+    once = lambda t: sorted(tuple(r) for r in t.filter("query_id in (40, 60)").collect())
+    few = df.filter("vec_id < 400")
+    again = few.union(few.filter("vec_id in (40, 60)"))   # repeated query rows ask once
+    found = once(neighbours.search(again, F.col("vec_id") % 20 == 0, nearest=30))
+    assert [r[1] for r in found] == 2 * list(range(1, 31)) and len({(r[0], r[2]) for r in found}) >= 58
     two = neighbours.search(df.filter("vec_id in (0, 1)"), F.col("vec_id") % 20 == 0).collect()
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in two] == [(0, 1, 1)]
 
