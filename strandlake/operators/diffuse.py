@@ -131,11 +131,11 @@ def prune_and_repropagate(skel: DataFrame, vol: DataFrame, min_length: int = 5)
     sk = materialize(salted_lookup(skel.select("vid", "z", "y", "x", "label"), ids, ["label"], ["vid"], "inner").select(
         "vid", "z", "y", "x", F.col("new").cast("int").alias("label")))
     v = salted_lookup(vol.select("vid", "z", "y", "x", "label"), ids, ["label"], ["vid"])
-    v = v.join(sk.select("vid", F.col("label").alias("lock")), "vid", "left")
+    v = v.join(sk.select("vid", F.col("label").alias("lock")).hint("merge"), "vid", "left")
     v = v.select("vid", "z", "y", "x", F.coalesce("lock", F.col("new").cast("int")).alias("label"))
     v = materialize(v)
     near = nearest_label(v.filter("label is null"), sk)
     out = v.filter("label is not null").select("vid", "label").union(near)
     # skeleton voxels outside the old volume are labelled too
-    out = out.union(sk.join(vol.select("vid"), "vid", "left_anti").select("vid", "label"))
+    out = out.union(sk.join(vol.select("vid").hint("merge"), "vid", "left_anti").select("vid", "label"))
     return sk, out.select("vid", *zyx("vid"), "label")
