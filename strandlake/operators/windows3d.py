@@ -79,7 +79,7 @@ def sliding_predict(vox: DataFrame, shape, predict: Callable[[np.ndarray], np.nd
 
     ``predict`` maps a (size, size, size) float array to (channels, size, size, size). A window is one
     group of at most size^3 voxels. ``empty`` also runs windows without any voxel.
-    Output: vid, z, y, x, c0..; only non-zero predictions are exchanged.
+    Output: vid, z, y, x, c0.. of every stored voxel, and of others where a prediction is not zero.
     """
     nw = [(padded(n, size, stride) - size) // stride + 1 for n in shape]
     p = reflect_pad(vox.select("z", "y", "x", F.col(value).cast("double").alias("v")), shape, size, stride)
@@ -95,9 +95,12 @@ def sliding_predict(vox: DataFrame, shape, predict: Callable[[np.ndarray], np.nd
         oz, oy, ox = (int(k) * stride for k in key)
         pdf = pdf.dropna()
         a = np.zeros((size,) * 3)
-        a[pdf["z"].to_numpy(int) - oz, pdf["y"].to_numpy(int) - oy, pdf["x"].to_numpy(int) - ox] = pdf["v"].to_numpy()
+        stored = pdf["z"].to_numpy(int) - oz, pdf["y"].to_numpy(int) - oy, pdf["x"].to_numpy(int) - ox
+        a[stored] = pdf["v"].to_numpy()
         out = np.asarray(predict(a)).reshape(channels, size, size, size)
-        z, y, x = np.nonzero((out != 0).any(axis=0))
+        keep = (out != 0).any(axis=0)
+        keep[stored] = True
+        z, y, x = np.nonzero(keep)
         res = {"wz": np.full(len(z), key[0]), "wy": np.full(len(z), key[1]), "wx": np.full(len(z), key[2]),
                "z": z + oz, "y": y + oy, "x": x + ox}
         res |= {f"c{c}": out[c, z, y, x] for c in range(channels)}

@@ -1,9 +1,12 @@
 """What must hold when tables are large: plans that do not send them through the driver, bounded groups."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from strandlake.operators import ranges, ranks
 from strandlake.operators.lookup import salted_lookup
+from strandlake.operators.morph import separable_offsets
+from strandlake.operators.windows3d import sliding_predict
 from strandlake.session import materialize
 
 
@@ -35,3 +38,19 @@ def test_salted_copies_are_shuffled(spark, capsys):
 
 def test_bucket_offsets_are_shuffled(spark, capsys):
     assert "Broadcast" not in plan(ranks.sequence_in_group(points(spark), ["g"], ["id"], F.floor(F.col("id") / 10)), capsys)
+
+
+def test_stamp_rounds_are_shuffled(spark, capsys):
+    p = points(spark)
+    stamps = p.select(F.col("g").alias("stamp"), "z", "y", "x", F.lit(1.0).alias("intensity"))
+    tries = stamps.select("stamp", (F.col("stamp") % 2).alias("patch"), F.lit(0).alias("try"), *[(F.col("stamp") * 40).cast("int").alias(f"{c}0") for c in "zyx"]).distinct()
+    lines = p.limit(0).select((F.col("g") % 2).alias("patch"), "z", "y", "x", F.lit(1.0).alias("intensity"))
+    out = separable_offsets(materialize(stamps), materialize(lines), materialize(tries))
+    assert "Broadcast" not in plan(out, capsys)
+    assert out.count() == 7
+
+
+def test_stored_voxels_of_value_zero_are_predicted(spark, vox):
+    v = vox([(0, 0, 0, 0.0), (1, 2, 3, 0.25), (9, 9, 9, 0.0)], "v double")
+    got = {(r.z, r.y, r.x): r.c0 for r in sliding_predict(v, (10, 10, 10), np.sqrt, "v", 8, 4).collect()}
+    assert {k: round(x, 6) for k, x in got.items()} == {(0, 0, 0): 0.0, (1, 2, 3): 0.5, (9, 9, 9): 0.0}
