@@ -54,3 +54,29 @@ def test_stored_voxels_of_value_zero_are_predicted(spark, vox):
     v = vox([(0, 0, 0, 0.0), (1, 2, 3, 0.25), (9, 9, 9, 0.0)], "v double")
     got = {(r.z, r.y, r.x): r.c0 for r in sliding_predict(v, (10, 10, 10), np.sqrt, "v", 8, 4).collect()}
     assert {k: round(x, 6) for k, x in got.items()} == {(0, 0, 0): 0.0, (1, 2, 3): 0.5, (9, 9, 9): 0.0}
+
+
+def test_search_starts_as_small_as_sites_are_dense(spark):
+    c = [((F.col("id") * k) % 101 / 16.0).alias(a) for a, k in zip("zyx", (3, 5 * 101 + 7, 11))]
+    p = materialize(spark.range(3000).select("id", *c))
+    assert ranges.first_radius(p, "zyx", [], 16.0, 8) <= 2.0       # one cell of 16 holds all of them
+    got = {(r.id, r["rank"]): (r.site, r.d2) for r in ranges.nearest(p.filter("id % 50 = 0"), p.withColumnRenamed("id", "site"), "id", "site", k=3, cell=16.0).collect()}
+    rows = np.array([(r.z, r.y, r.x) for r in p.orderBy("id").collect()])
+    for i in range(0, 3000, 50):
+        d2 = ((rows - rows[i]) ** 2).sum(1)
+        want = np.lexsort((np.arange(3000), d2))[:3]
+        assert [got[i, r][0] for r in (1, 2, 3)] == want.tolist()
+
+
+def test_copies_at_one_place_leave_the_search(spark):
+    p = materialize(spark.range(4000).select("id", *[F.lit(1.0).alias(c) for c in "zyx"]))
+    n = ranges.nearest(p.limit(5), p.withColumnRenamed("id", "site"), "id", "site", k=8)
+    rows = n.collect()
+    assert len(rows) == 40 and all(r.site == r["rank"] - 1 and r.d2 == 0.0 for r in rows)
+
+
+def test_folded_search_has_one_row_a_point(spark):
+    p = points(spark)
+    n = ranges.nearest(p, p.withColumnRenamed("id", "site"), "id", "site", k=4, fold=[F.max("d2").alias("far"), F.min("_first").alias("own")])
+    rows = n.collect()
+    assert len(rows) == 300 and n.columns == ["id", "far", "own"]
