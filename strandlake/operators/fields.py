@@ -33,13 +33,11 @@ def analytic_field(fg: DataFrame, spine: DataFrame, domain=None, sigma: float =
     both are within 3.
     """
     s = spine.withColumn("sk", F.struct("curve", "seq"))
-    n = nearest(fg, s, "vid", "sk", k=k, period=domain, cell=cell, carry=["tz", "ty", "tx"])
-    first = n.groupBy("vid").agg(F.min(F.struct("d2", "sk", "tz", "ty", "tx")).alias("b"),
-                                 F.sort_array(F.collect_list(F.struct("d2", F.col("sk.curve").alias("c")))).alias("l"))
-    other = F.filter("l", lambda e: e["c"] != F.col("b.sk.curve"))
-    d2 = F.when(F.size(other) > 0, F.sqrt(F.get(other, F.lit(0))["d2"])).otherwise(999.0)
-    f = first.select("vid", F.sqrt("b.d2").alias("d1"), d2.alias("d2"), F.col("b.sk.curve").alias("curve"),
-                     F.col("b.tz").alias("oz"), F.col("b.ty").alias("oy"), F.col("b.tx").alias("ox"))
+    own = F.col("_first.curve")
+    # one row a voxel leaves the search, not k
+    f = nearest(fg, s, "vid", "sk", k=k, period=domain, cell=cell, carry=["tz", "ty", "tx"], fold=[
+        F.min(F.struct("d2", "_sk", *[F.col(f"_v_t{c}").alias(f"o{c}") for c in AX])).alias("b"), F.min(F.when(F.col("_sk.curve") != own, F.col("d2"))).alias("q")])
+    f = f.select("vid", F.sqrt("b.d2").alias("d1"), F.coalesce(F.sqrt("q"), F.lit(999.0)).alias("d2"), F.col("b._sk.curve").alias("curve"), "b.oz", "b.oy", "b.ox")
     return f.select("vid", "curve", "d1", "d2", potential(F.col("d1"), F.col("d2"), sigma).alias("intensity"), "oz", "oy", "ox")
 
 
