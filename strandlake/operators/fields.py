@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions.vec3 import dot, safe, vec
-from strandlake.grid import ball_offsets, pack
+from strandlake.grid import ball_offsets, pack, tile_of
 from strandlake.operators.curves import AX, densify, tangents
 from strandlake.operators.ranges import nearest
 from strandlake.operators.stencil import median3
@@ -64,6 +64,8 @@ def dilate_by_radius(points: DataFrame, shape, radius: str = "r", fixed: float |
     base = points.select(*[F.bround(F.col(c)).cast("int").alias(c) for c in AX], r.alias("_r"))
     # one voxel keeps its largest ball only: duplicates go before the expansion
     base = base.groupBy(*AX).agg(F.max("_r").alias("_r"))
+    # balls that overlap are expanded in one task, which drops what they share before anything moves
+    base = base.repartition(tile_of(32))
     left = F.col("_r") * F.col("_r")
     for c in AX:
         k = F.floor(F.sqrt(F.greatest(left, F.lit(0.0))) + 1e-9).cast("int")
@@ -84,12 +86,12 @@ def normal_hash(seed: int, *cols):
     return F.sqrt(-2.0 * F.log(F.greatest(u, F.lit(1e-12)))) * F.cos(2.0 * math.pi * v)
 
 
-def augmented_volume(curves: DataFrame, shape, max_shift: float = 2.0, seed: int = 42, factor: int = 8) -> dict[str, DataFrame]:
-    """Jittered, beaded tubes: {'volume', 'centerline', 'orientation', 'spine'}.
+def augmented_tubes(curves: DataFrame, shape, max_shift: float = 2.0, seed: int = 42, factor: int = 8) -> tuple[DataFrame, DataFrame]:
+    """(spine, volume) of jittered, beaded tubes.
 
     ``curves`` carries a radius ``r`` per point. Every curve is shifted by a random vector of bounded
     length; its radius gets a slow wave and one to three beads and is clipped to 1.5..5.5. The volume
-    passes a 3x3x3 median; orientation is the tangent of the nearest spine point, across the border.
+    passes a 3x3x3 median.
     """
     g = [normal_hash(seed + i, F.col("curve")) for i in range(3)]
     nn = F.sqrt(g[0] * g[0] + g[1] * g[1] + g[2] * g[2]) + 1e-8
@@ -113,8 +115,14 @@ def augmented_volume(curves: DataFrame, shape, max_shift: float = 2.0, seed: int
     tn = safe(F.sqrt(dot(vec("t"), vec("t"))), 1e-300)
     d = d.withColumn("r", F.least(F.greatest(F.col("r") + wave + beads, F.lit(1.5)), F.lit(5.5))).withColumn("_n", tn)
     spine = d.select("curve", "seq", "r", *AX, *[(F.col(f"t{c}") / F.col("_n")).alias(f"t{c}") for c in AX])
-    spine = materialize(spine)   # read by all three outputs
-    vol = materialize(median3(dilate_by_radius(spine, shape), shape))
+    spine = materialize(spine)   # read by all outputs
+    return spine, materialize(median3(dilate_by_radius(spine, shape), shape))
+
+
+def augmented_volume(curves: DataFrame, shape, max_shift: float = 2.0, seed: int = 42, factor: int = 8) -> dict[str, DataFrame]:
+    """Augmented tubes with their fields: {'volume', 'centerline', 'orientation', 'spine'}; orientation is the tangent of the nearest
+    spine point, across the border."""
+    spine, vol = augmented_tubes(curves, shape, max_shift, seed, factor)
     near = nearest(vol, spine.withColumn("sk", F.struct("curve", "seq")), "vid", "sk", period=tuple(map(float, shape)), carry=["tz", "ty", "tx"])
     return {"volume": vol, "centerline": dilate_by_radius(spine, shape, fixed=2.0), "spine": spine,
             "orientation": near.select("vid", F.col("tz").alias("oz"), F.col("ty").alias("oy"), F.col("tx").alias("ox"))}

@@ -80,3 +80,13 @@ def test_folded_search_has_one_row_a_point(spark):
     n = ranges.nearest(p, p.withColumnRenamed("id", "site"), "id", "site", k=4, fold=[F.max("d2").alias("far"), F.min("_first").alias("own")])
     rows = n.collect()
     assert len(rows) == 300 and n.columns == ["id", "far", "own"]
+
+
+def test_balls_that_overlap_are_expanded_in_one_task(spark, capsys):
+    from strandlake.operators.fields import augmented_tubes, augmented_volume, dilate_by_radius
+
+    p = points(spark)
+    assert "REPARTITION_BY_COL" in plan(dilate_by_radius(p, (20, 20, 20), fixed=2.0), capsys)
+    c = p.select(F.col("g").alias("curve"), F.floor(F.col("id") / 7).alias("seq"), "z", "y", "x", F.lit(1.6).alias("r"))
+    one, all_ = augmented_tubes(c, (24, 24, 24), factor=2)[1], augmented_volume(c, (24, 24, 24), factor=2)["volume"]
+    assert sorted(r.vid for r in one.collect()) == sorted(r.vid for r in all_.collect())
