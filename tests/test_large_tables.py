@@ -90,3 +90,9 @@ def test_balls_that_overlap_are_expanded_in_one_task(spark, capsys):
     c = p.select(F.col("g").alias("curve"), F.floor(F.col("id") / 7).alias("seq"), "z", "y", "x", F.lit(1.6).alias("r"))
     one, all_ = augmented_tubes(c, (24, 24, 24), factor=2)[1], augmented_volume(c, (24, 24, 24), factor=2)["volume"]
     assert sorted(r.vid for r in one.collect()) == sorted(r.vid for r in all_.collect())
+
+
+def test_neighbourhoods_keep_their_partitions(spark, vox, capsys):
+    from strandlake.operators.stencil import degree
+
+    assert "REPARTITION_BY_NUM" in plan(degree(vox([(1, 1, 1), (1, 1, 2)])), capsys)
