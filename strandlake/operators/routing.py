@@ -30,41 +30,89 @@ HALF_STEP = {1: 5_000, 2: 7_071, 3: 8_660}   # half the length of a step, in ten
 FAR = np.int64(1) << np.int64(62)
 
 
-def settle(cost: np.ndarray, dist: np.ndarray) -> np.ndarray:
-    """Least distances inside a box, from starting values; cost < 0 is a barrier. Only voxels with news pass them on."""
-    sh = tuple(n + 2 for n in cost.shape)
-    c = np.full(sh, -1, dtype=np.int64)
-    c[1:-1, 1:-1, 1:-1] = cost
-    d = np.full(sh, FAR, dtype=np.int64)
-    d[1:-1, 1:-1, 1:-1] = np.where(cost >= 0, dist, FAR)
-    c, d = c.ravel(), d.ravel()
-    step = np.array([(dz * sh[1] + dy) * sh[2] + dx for dz, dy, dx in OFFSETS_26])
-    half = np.array([HALF_STEP[abs(a) + abs(b) + abs(e)] for a, b, e in OFFSETS_26], dtype=np.int64)
-    front = np.flatnonzero(d < FAR)
+def steps_of(shape: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Flat step to each of the 26 neighbours in a box, rising, and half its length."""
+    step = np.array([(dz * shape[1] + dy) * shape[2] + dx for dz, dy, dx in OFFSETS_26])
+    return step, np.array([HALF_STEP[abs(a) + abs(b) + abs(e)] for a, b, e in OFFSETS_26], dtype=np.int64)
+
+
+def spread(c: np.ndarray, d: np.ndarray, shape: tuple[int, ...], front: np.ndarray, bound: np.ndarray | None = None) -> None:
+    """Lowers the distances d (flat) of a box with barriers all around. Only voxels with news pass them on; beyond its bound a voxel takes none."""
+    step, half = steps_of(shape)
     while len(front):
-        to = (front[:, None] + step).ravel()
-        new = (d[front][:, None] + half * (c[front][:, None] + c[front[:, None] + step])).ravel()
-        better = (c[to] >= 0) & (new < d[to])
-        to, new = to[better], new[better]
+        near = front[:, None] + step
+        new = d[front][:, None] + half * (c[front][:, None] + c[near])
+        better = (c[near] >= 0) & (new < d[near])
+        if bound is not None:
+            better &= new <= bound[near]
+        to, new = near[better], new[better]
         np.minimum.at(d, to, new)
-        front = np.unique(to)
-    return d.reshape(sh)[1:-1, 1:-1, 1:-1]
-
-
-def previous(cost: np.ndarray, dist: np.ndarray) -> np.ndarray:
-    """Place (flat) of each voxel's smallest best previous voxel inside the box; -1 where none explains its distance."""
-    n = np.arange(cost.size).reshape(cost.shape)
-    out = np.full(cost.shape, -1, dtype=np.int64)
-    for dz, dy, dx in OFFSETS_26:   # of the voxel as seen from the one before
-        at = tuple(slice(max(-o, 0), s - max(o, 0)) for o, s in zip((-dz, -dy, -dx), cost.shape))
-        by = tuple(slice(max(o, 0), s - max(-o, 0)) for o, s in zip((-dz, -dy, -dx), cost.shape))
-        w = HALF_STEP[abs(dz) + abs(dy) + abs(dx)] * (cost[at] + cost[by])
-        fits = (cost[at] >= 0) & (cost[by] >= 0) & (dist[by] < FAR) & (dist[by] + w == dist[at])
-        here = out[at]
-        out[at] = np.where(fits & ((here < 0) | (n[by] < here)), n[by], here)
+        to = np.sort(to)
+        front = to[np.append(True, to[1:] != to[:-1])[:len(to)]]
+
+
+def padded(box: np.ndarray, fill: int) -> np.ndarray:
+    out = np.full(tuple(n + 2 for n in box.shape), fill, dtype=np.int64)
+    out[1:-1, 1:-1, 1:-1] = box
+    return out
+
+
+def settle(cost: np.ndarray, dist: np.ndarray) -> np.ndarray:
+    """Least distances inside a box, from starting values; cost < 0 is a barrier."""
+    c, d = padded(cost, -1), padded(np.where(cost >= 0, dist, FAR), FAR)
+    flat = d.ravel()
+    spread(c.ravel(), flat, c.shape, np.flatnonzero(flat < FAR))
+    return d[1:-1, 1:-1, 1:-1]
+
+
+def previous_of(c: np.ndarray, d: np.ndarray, shape: tuple[int, ...], at: np.ndarray) -> np.ndarray:
+    """Smallest best previous voxel of each voxel ``at`` (flat, in a box with barriers all around); -1 where none explains its distance."""
+    out = np.full(len(at), -1, dtype=np.int64)
+    for step, half in zip(*steps_of(shape)):
+        u = at + step
+        fits = (out < 0) & (c[u] >= 0) & (d[u] < FAR) & (d[u] + half * (c[at] + c[u]) == d[at])
+        out[fits] = u[fits]
     return out
 
 
+def cheapest_way(cost: np.ndarray, a: tuple, b: tuple, first: np.ndarray | None = None) -> np.ndarray | None:
+    """Voxels of the cheapest way from a to b (whole positive costs, negative ones are barriers); ties by the smaller previous voxel.
+
+    A way through the ends and the voxels ``first`` alone gives a bound, where there is one. A voxel farther from a than the bound less what the
+    way to b takes at least lies on no cheapest way: nothing is passed on to it.
+    """
+    c = padded(cost, -1)
+    shape, c = c.shape, c.ravel()
+    flat = lambda p: int(np.ravel_multi_index(tuple(v + 1 for v in p), shape))
+    src, dst = flat(a), flat(b)
+    if c[src] < 0 or c[dst] < 0:
+        return None
+    bound = None
+    if first is not None:
+        d = np.full(len(c), FAR, dtype=np.int64)
+        d[src] = 0
+        few = padded(first, 0).ravel() > 0
+        few[[src, dst]] = True
+        spread(np.where(few, c, -1), d, shape, np.array([src]))
+        if d[dst] < FAR:
+            z, y, x = np.ix_(*[np.abs(np.arange(n) - 1 - v) for n, v in zip(shape, b)])
+            most = np.maximum(np.maximum(z, y), x)
+            bound = d[dst] - most.ravel() * (2 * HALF_STEP[1] * int(c[c >= 0].min()))
+    d = np.full(len(c), FAR, dtype=np.int64)
+    d[src] = 0
+    spread(c, d, shape, np.array([src]), bound)
+    if d[dst] >= FAR:
+        return None
+    step, half = steps_of(shape)
+    out = [dst]
+    while True:
+        u = out[-1] + step
+        fits = np.flatnonzero((c[u] >= 0) & (d[u] + half * (c[out[-1]] + c[u]) == d[out[-1]]))
+        if not len(fits):
+            return np.stack(np.unravel_index(out[::-1], shape), 1) - 1
+        out.append(int(u[fits[0]]))
+
+
 def lane(shape_from, shape_to, a, b, weight: float) -> np.ndarray:
     """Extra cost of each voxel of a box: its distance from the straight line between a and b."""
     a, b = np.asarray(a, float), np.asarray(b, float)
@@ -93,6 +141,15 @@ def cost_tiles(cost: DataFrame, tile: int = TILE) -> DataFrame:
     return rows.groupBy("space", "tile").applyInPandas(pack_tile, "space long, tile long, costs binary")
 
 
+def rims(side: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the outermost voxels of a box, those just inside them), as masks."""
+    ring, shell = np.ones((side,) * 3, dtype=bool), np.zeros((side,) * 3, dtype=bool)
+    ring[1:-1, 1:-1, 1:-1] = False
+    shell[1:-1, 1:-1, 1:-1] = True
+    shell[2:-2, 2:-2, 2:-2] = False
+    return ring, shell
+
+
 class _Tile:
     """One tile of one route: box of costs, starting values, and the voxels as ids."""
 
@@ -110,19 +167,16 @@ class _Tile:
                 out = (at < min(p, q) - pad) | (at > max(p, q) + pad)
                 cost = np.where(np.expand_dims(out, [i for i in range(3) if i != axis]), -1, cost)
         self.cost = cost
-        self.inner = np.where(self.ring(), -1, cost)
+        self.inner = np.full_like(cost, -1)
+        self.inner[1:-1, 1:-1, 1:-1] = cost[1:-1, 1:-1, 1:-1]
         start = np.full((self.side,) * 3, FAR, dtype=np.int64)
         vids, dist, by = (np.array(c, dtype=np.int64) for c in (r.vids, r.dists, r.bys))
         at = self.flat(vids)
         start.ravel()[at] = dist
-        self.dist = settle(self.inner, start)
+        self.dist = np.where(self.inner >= 0, start, FAR)
+        spread(self.inner.ravel(), self.dist.ravel(), self.inner.shape, np.flatnonzero(self.dist < FAR))   # the ring is the barrier
         self.entry, self.by = start, dict(zip(at.tolist(), by.tolist()))
 
-    def ring(self) -> np.ndarray:
-        ring = np.ones((self.side,) * 3, dtype=bool)
-        ring[1:-1, 1:-1, 1:-1] = False
-        return ring
-
     def flat(self, vids: np.ndarray) -> np.ndarray:
         z, y, x = ((vids >> s & MASK) - o for s, o in zip((42, 21, 0), self.low))
         return (z * self.side + y) * self.side + x
@@ -140,35 +194,36 @@ class _Tile:
             if u != at:
                 apart = [abs(a - b) for a, b in zip(np.unravel_index(at, self.cost.shape), np.unravel_index(u, self.cost.shape))]
                 start[u] = min(start[u], self.entry.ravel()[at] - HALF_STEP[int(sum(apart))] * (cost[at] + cost[u]))
-        return settle(np.where(self.ring(), self.cost, -1), start.reshape(self.cost.shape)).ravel()
+        return settle(np.where(rims(self.side)[0], self.cost, -1), start.reshape(self.cost.shape)).ravel()
 
     def exits(self, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(voxel, distance, previous voxel) of the ring around the tile, where a way out is no longer than the limit and news to the neighbours."""
         best, by = np.full(self.cost.size, FAR), np.full(self.cost.size, -1, dtype=np.int64)
-        shell = np.zeros_like(self.ring())
-        shell[1:-1, 1:-1, 1:-1] = True
-        shell[2:-2, 2:-2, 2:-2] = False
+        ring, shell = rims(self.side)
+        ring = ring.ravel()
         src = np.flatnonzero(shell.ravel() & (self.dist.ravel() < limit))   # rising, so the smaller previous voxel comes first
         cost, dist, known = self.cost.ravel(), self.dist.ravel(), self.outside()
         for dz, dy, dx in OFFSETS_26[::-1]:
             step = (dz * self.side + dy) * self.side + dx
             to = src + step
             d = dist[src] + HALF_STEP[abs(dz) + abs(dy) + abs(dx)] * (cost[src] + cost[to])
-            ok = self.ring().ravel()[to] & (cost[to] >= 0) & (d <= np.minimum(limit, known[to]))
+            ok = ring[to] & (cost[to] >= 0) & (d <= np.minimum(limit, known[to]))
             to, d, s = to[ok], d[ok], src[ok]
             better = (d < best[to]) | (d == best[to]) & (s < by[to])
             best[to[better]], by[to[better]] = d[better], s[better]
         at = np.flatnonzero(best < FAR)
         return self.vids(at), best[at], self.vids(by[at])
 
-    def before(self) -> np.ndarray:
-        """Flat place of each voxel's previous voxel; -1 where the way came from outside, or a smaller outside voxel explains it as well."""
-        inside = previous(self.inner, self.dist).ravel()
+    def before(self) -> tuple[np.ndarray, np.ndarray]:
+        """(voxel, its previous voxel), flat, for each voxel reached; -1 where the way came from outside, or a smaller outside voxel explains it as well."""
         dist, entry = self.dist.ravel(), self.entry.ravel()
-        for at, by in self.by.items():
-            if dist[at] == entry[at] and (inside[at] < 0 or by <= int(self.vids(np.array([inside[at]]))[0])):
-                inside[at] = -1
-        return inside
+        at = np.flatnonzero(dist < FAR)
+        inside = previous_of(self.inner.ravel(), dist, self.inner.shape, at)
+        for v, by in self.by.items():
+            i = int(np.searchsorted(at, v))
+            if i < len(at) and at[i] == v and dist[v] == entry[v] and (inside[i] < 0 or by <= int(self.vids(inside[i:i + 1])[0])):
+                inside[i] = -1
+        return at, inside
 
 
 def _tasks(rim: DataFrame, routes: DataFrame, tiles: DataFrame) -> DataFrame:
@@ -201,26 +256,22 @@ def _jumps(tile: int, weight: float, pad: int | None):
         for pdf in frames:
             for r in pdf.itertuples():
                 t = _Tile(r, tile, weight, pad)
-                before = t.before()
-                dist = t.dist.ravel()
-                n = np.arange(len(before))
-                to, steps = np.where(before >= 0, before, n), (before >= 0).astype(np.int64)
+                voxel, before = t.before()
+                n = np.arange(len(voxel))
+                to, steps = np.where(before >= 0, np.searchsorted(voxel, before), n), (before >= 0).astype(np.int64)
                 while True:   # to the voxel at which the way entered the tile
                     nxt = to[to]
                     if (nxt == to).all():
                         break
                     steps, to = steps + steps[to], nxt
-                shell = np.zeros((t.side,) * 3, dtype=bool)
-                shell[1:-1, 1:-1, 1:-1] = True
-                shell[2:-2, 2:-2, 2:-2] = False
-                keep = shell.ravel()
+                place = np.stack(np.unravel_index(voxel, (t.side,) * 3))
+                keep = ((place == 1) | (place == tile)).any(axis=0)
                 if r.home:
-                    keep[int(t.flat(np.array([r.dst]))[0])] = True
-                at = np.flatnonzero(keep & (dist <= int(r.limit)))
-                out = np.array([t.by.get(i, -1) for i in to[at].tolist()], dtype=np.int64)
-                own = t.vids(at)
-                more = (out >= 0) & (out != t.vids(to[at]))   # the start entered from itself
-                yield pd.DataFrame({"route": r.route, "v": own, "u": out, "steps": steps[at] + 1})[more]
+                    keep |= voxel == int(t.flat(np.array([r.dst]))[0])
+                at = np.flatnonzero(keep & (t.dist.ravel()[voxel] <= int(r.limit)))
+                out = np.array([t.by.get(i, -1) for i in voxel[to[at]].tolist()], dtype=np.int64)
+                more = (out >= 0) & (out != t.vids(voxel[to[at]]))   # the start entered from itself
+                yield pd.DataFrame({"route": r.route, "v": t.vids(voxel[at]), "u": out, "steps": steps[at] + 1})[more]
     return run
 
 
@@ -229,15 +280,16 @@ def _pieces(tile: int, weight: float, pad: int | None):
         for pdf in frames:
             for r in pdf.itertuples():
                 t = _Tile(r, tile, weight, pad)
-                before = t.before()
+                before = dict(zip(*(v.tolist() for v in t.before())))
+                way, place = [], []
                 for v, back in zip(r.marks, r.backs):
-                    at, k = int(t.flat(np.array([v]))[0]), 0
-                    way = []
+                    at = int(t.flat(np.array([v]))[0])
                     while at >= 0:
                         way.append(at)
-                        at = int(before[at])
-                    flat = np.array(way)
-                    yield pd.DataFrame({"route": r.route, "back": int(back) + np.arange(len(way)), "vid": t.vids(flat), "dist": t.dist.ravel()[flat]})
+                        place.append(int(back))
+                        at, back = before.get(at, -1), back + 1
+                flat = np.array(way, dtype=np.int64)
+                yield pd.DataFrame({"route": r.route, "back": np.array(place, dtype=np.int64), "vid": t.vids(flat), "dist": t.dist.ravel()[flat]})
     return run
 
 
