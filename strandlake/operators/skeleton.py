@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandlake.grid import pack, zyx
 from strandlake.operators.lookup import salted_lookup
+from strandlake.operators.stencil import dealt
 
 
 def voxel_lines(df: DataFrame, start: str, end: str, keep: list[str]) -> DataFrame:
@@ -23,7 +24,7 @@ def voxel_lines(df: DataFrame, start: str, end: str, keep: list[str]) -> DataFra
 
 def overlay(df: DataFrame, value: str, priority: list[str]) -> DataFrame:
     """One value per voxel: that of the row with the highest priority (the last writer)."""
-    return df.groupBy("vid").agg(F.max_by(value, F.struct(*priority)).alias(value))
+    return dealt(df, "vid").groupBy("vid").agg(F.max_by(value, F.struct(*priority)).alias(value))
 
 
 def labelled_skeleton(fv: DataFrame, members: DataFrame, ranked: DataFrame, bridges: DataFrame) -> DataFrame:

@@ -96,3 +96,13 @@ def test_neighbourhoods_keep_their_partitions(spark, vox, capsys):
     from strandlake.operators.stencil import degree
 
     assert "REPARTITION_BY_NUM" in plan(degree(vox([(1, 1, 1), (1, 1, 2)])), capsys)
+
+
+def test_expanding_steps_have_more_tasks_than_shuffle_partitions(spark, vox, capsys):
+    from strandlake.operators.skeleton import overlay
+    from strandlake.operators.stencil import TASKS, degree
+
+    v = vox([(1, 1, 1, 4), (1, 1, 2, 5)], "label int")
+    n = TASKS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for df in (degree(v), overlay(v.select("vid", "label"), "label", ["label"])):
+        assert f", {n}), REPARTITION_BY_NUM" in plan(df, capsys)
