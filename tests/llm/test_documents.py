@@ -355,3 +355,17 @@ def test_address_parts_of_many_zeros():
     text = "see " + "0" * 5000 + "1.2.3.4 now"
     base, loose = pii.marked(text)
     assert [(x["start"], x["end"]) for x in base] == [(4, 5011)] and base[0]["mark"][:5] == "ip:+-"
+
+
+def test_common_runs_are_counted_over_all_lines(spark):
+    from pyspark.sql import functions as F
+
+    own = lambda i: " ".join(f"{(i * 7919 + k * 104729) % 99991:05d}" for k in range(2))
+    rows = [(32 * i + 1, f"every line ends so {own(i)}" + " with a common end of the line") for i in range(lines.COMMON)]
+    forms = spark.createDataFrame(rows, "key long, norm string").withColumn("size", F.char_length("norm"))
+    shared = lines.smallest(*lines.gram_hashes(["with a common end of the line"]), 100)[1]
+    drawn = [set(lines.smallest(*lines.gram_hashes([t]), lines.DRAWN)[1].tolist()) for _, t in rows]
+    want = [h for h in shared.tolist() if all(h in d for d in drawn)]
+    assert want and lines.is_set(lines.common_grams(forms), lines.np.array(want, dtype=lines.np.uint64)).all()
+    few = lines.common_grams(forms.limit(lines.COMMON - 1))
+    assert not few.any()
