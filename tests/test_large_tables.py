@@ -106,3 +106,23 @@ def test_expanding_steps_have_more_tasks_than_shuffle_partitions(spark, vox, cap
     n = TASKS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     for df in (degree(v), overlay(v.select("vid", "label"), "label", ["label"])):
         assert f", {n}), REPARTITION_BY_NUM" in plan(df, capsys)
+
+
+def test_points_move_once_to_be_paired(spark, capsys):
+    p = points(spark).filter("id < 120").withColumn("w", F.concat(F.lit("w"), "id"))
+    out = ranges.pairs_within(p, 2.0, "id", extra=["w"])
+    assert plan(out, capsys).count("Exchange") == 1
+    rows = [(r.id, (r.z, r.y, r.x)) for r in p.collect()]
+    want = {(i, j) for i, a in rows for j, b in rows if i < j and sum((u - v) ** 2 for u, v in zip(a, b)) <= 4}
+    got = [(r.id_a, r.id_b, r.w_a, r.w_b) for r in out.collect()]
+    assert len(got) == len(want) and {g[:2] for g in got} == want and all(g[2:] == (f"w{g[0]}", f"w{g[1]}") for g in got)
+
+
+def test_pairs_are_compared_in_parts(monkeypatch):
+    rng = np.random.default_rng(3)
+    at = rng.integers(0, 6, (90, 3)).astype(float)
+    want = {(i, j) for i in range(90) for j in range(i) if ((at[i] - at[j]) ** 2).sum() <= 4}
+    for rows in (1, 50, 1 << 20):
+        monkeypatch.setattr(ranges, "PAIR_ROWS", rows)
+        got = [(max(i, j), min(i, j)) for a, b, _ in ranges.close_pairs(at, np.ones(90, dtype=bool), 2.0) for i, j in zip(a.tolist(), b.tolist())]
+        assert len(got) == len(want) and set(got) == want
