@@ -18,6 +18,7 @@ from strandlake.session import materialize, release
 WHOLE = 1 << 18          # voxels of a piece that one task ranks
 ANCHOR_RANK = 6          # the sixth voxel nearest to an end, the end itself included
 ANCHOR_REACH2 = 75       # five steps of a 26-path stay within 5*sqrt(3)
+NEAR = 64                # side of the cells in which an end meets its own fragment: few ends lie near a face and are copied
 WINDOW = 2               # half width of the direction window around the anchor
 
 
@@ -160,7 +161,7 @@ def anchors(fv: DataFrame, ends: DataFrame) -> DataFrame:
     ranks a whole fragment.
     """
     e = end_table(ends).select(F.col("frag").alias("frag"), "end", "n", *[F.col(c).alias(f"e{c}") for c in ("vid", "z", "y", "x")])
-    pairs = near_join(e, fv.select("frag", "vid", "z", "y", "x"), 8, ("ez", "ey", "ex"), ("z", "y", "x"), ["frag"])
+    pairs = near_join(e, fv.select("frag", "vid", "z", "y", "x"), 8, ("ez", "ey", "ex"), ("z", "y", "x"), ["frag"], size=NEAR)
     d2 = sum(((F.col(c) - F.col(f"e{c}")) * (F.col(c) - F.col(f"e{c}")) for c in ("z", "y", "x")), F.lit(0))
     w = Window.partitionBy("frag", "end").orderBy("d2", "vid")
     r = pairs.withColumn("d2", d2).filter(F.col("d2") <= ANCHOR_REACH2).withColumn("r", F.row_number().over(w))
@@ -175,7 +176,7 @@ TENSOR = [("zz", "z", "z"), ("zy", "z", "y"), ("zx", "z", "x"), ("yy", "y", "y")
 def nematic_tensor(anch: DataFrame, field: DataFrame, window: int = WINDOW) -> DataFrame:
     """Second-moment sums of unit directions in a cube around each anchor, in fixed point."""
     f = field.select("z", "y", "x", "oz", "oy", "ox")
-    pairs = near_join(anch, f, window, ("az", "ay", "ax"), ("z", "y", "x"))
+    pairs = near_join(anch, f, window, ("az", "ay", "ax"), ("z", "y", "x"), size=4 * window + 2)   # half the copies that the smallest cells take
     u = unit(vec("o"))
     pairs = pairs.withColumns({"uz": u[0], "uy": u[1], "ux": u[2]})
     keys = anch.columns

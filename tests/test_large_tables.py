@@ -126,3 +126,19 @@ def test_pairs_are_compared_in_parts(monkeypatch):
         monkeypatch.setattr(ranges, "PAIR_ROWS", rows)
         got = [(max(i, j), min(i, j)) for a, b, _ in ranges.close_pairs(at, np.ones(90, dtype=bool), 2.0) for i, j in zip(a.tolist(), b.tolist())]
         assert len(got) == len(want) and set(got) == want
+
+
+def test_ends_meet_their_surroundings_in_large_cells(spark, vox, monkeypatch):
+    from strandlake.operators import fragments
+
+    asked = []
+
+    def spy(left, right, reach, lcols, rcols, on=None, size=None, keep_cell=False):
+        asked.append((reach, size or 2 * reach + 1))
+        return ranges.near_join(left, right, reach, lcols, rcols, on, size, keep_cell)
+
+    monkeypatch.setattr(fragments, "near_join", spy)
+    fv = vox([(z, 3, 3, 0.0, 0.0, 1.0) for z in range(9)], "oz double, oy double, ox double").withColumn("frag", F.lit(1).cast("long"))
+    ends = spark.createDataFrame([(1, 9, (3 << 21) + 3, (8 << 42) + (3 << 21) + 3)], "frag long, length int, head long, tail long")
+    assert fragments.end_directions(fv, ends, fv).count() == 2
+    assert len(asked) == 2 and all(size >= 4 * reach for reach, size in asked)
