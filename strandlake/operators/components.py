@@ -39,7 +39,7 @@ def min_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return lab
 
 
-_HALF = [dz * DZ + dy * DY + dx * DX for dz, dy, dx in OFFSETS_26 if dz * DZ + dy * DY + dx * DX > 0]
+HALF = [dz * DZ + dy * DY + dx * DX for dz, dy, dx in OFFSETS_26 if dz * DZ + dy * DY + dx * DX > 0]
 
 
 def _tile_labels(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -47,7 +47,7 @@ def _tile_labels(pdf: pd.DataFrame) -> pd.DataFrame:
     v, g = pdf["vid"].to_numpy(), pdf["grp"].to_numpy()
     n = len(v)
     src, dst = [], []
-    for d in _HALF:
+    for d in HALF:
         j = np.searchsorted(v, v + d)
         ok = j < n
         i = np.nonzero(ok)[0]

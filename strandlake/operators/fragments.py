@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions.vec3 import cross, dot, fixed, flip_if, norm, safe, unit, vec
-from strandlake.grid import zyx
-from strandlake.operators.components import connected_components
+from strandlake.grid import halo, tile_of, zyx
+from strandlake.operators.components import HALF, TILE, connected_components
 from strandlake.operators.ranges import near_join
-from strandlake.operators.stencil import split_junctions, stencil
+from strandlake.operators.stencil import split_junctions
 from strandlake.params import Params
 from strandlake.session import materialize, release
 
@@ -32,12 +32,31 @@ def fragment_voxels(skel: DataFrame, min_length: int = 1) -> DataFrame:
     return f
 
 
+def _tile_links(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Smallest and largest neighbour of the voxels that this tile owns; -1 where there is none."""
+    pdf = pdf.sort_values("vid")
+    v, own = pdf["vid"].to_numpy(), pdf["own"].to_numpy()
+    lo, hi = np.full(len(v), np.iinfo(np.int64).max), np.full(len(v), -1)
+    for d in HALF:
+        j = np.searchsorted(v, v + d)
+        i = np.flatnonzero(j < len(v))
+        i = i[v[j[i]] == v[i] + d]
+        j = j[i]   # of one distance, a voxel has one neighbour on either side
+        lo[i], hi[i] = np.minimum(lo[i], v[j]), np.maximum(hi[i], v[j])
+        lo[j], hi[j] = np.minimum(lo[j], v[i]), np.maximum(hi[j], v[i])
+    return pd.DataFrame({"vid": v, "frag": pdf["frag"].to_numpy(), "lo": np.where(hi < 0, -1, lo), "hi": hi})[own]
+
+
 def links(fv: DataFrame) -> DataFrame:
-    """vid, frag, sorted neighbour ids (at most two of them)."""
-    src = fv.withColumn("src", F.col("vid"))
-    s = stencil(src, [F.sort_array(F.collect_list(F.when(~F.col("is_self"), F.col("src")))).alias("nb"),
-                      F.max(F.when(F.col("is_self"), F.col("frag"))).alias("frag")], ["src", "frag"])
-    return s.select("vid", "frag", "nb")
+    """vid, frag, sorted neighbour ids (at most two of them, as pieces hold no junctions).
+
+    A task looks the neighbours up in its tile: sent to their 27 places, the voxels would be sorted and spilled for every place,
+    voxel or not.
+    """
+    src = halo(fv.withColumn("home", tile_of(TILE)), TILE, 1).select("tile", "vid", "frag", (F.col("home") == F.col("tile")).alias("own"))
+    s = src.groupBy("tile").applyInPandas(_tile_links, "vid long, frag long, lo long, hi long")
+    nb = F.when(F.col("hi") < 0, F.array().cast("array<bigint>")).when(F.col("lo") == F.col("hi"), F.array("lo")).otherwise(F.array("lo", "hi"))
+    return s.select("vid", "frag", nb.alias("nb"))
 
 
 def _ranked(pdf: pd.DataFrame) -> pd.DataFrame:

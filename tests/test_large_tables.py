@@ -3,7 +3,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from strandlake.operators import ranges, ranks
+from strandlake.grid import with_vid
+from strandlake.operators import fragments, ranges, ranks
 from strandlake.operators.lookup import salted_lookup
 from strandlake.operators.morph import separable_offsets
 from strandlake.operators.windows3d import sliding_predict
@@ -142,3 +143,12 @@ def test_ends_meet_their_surroundings_in_large_cells(spark, vox, monkeypatch):
     ends = spark.createDataFrame([(1, 9, (3 << 21) + 3, (8 << 42) + (3 << 21) + 3)], "frag long, length int, head long, tail long")
     assert fragments.end_directions(fv, ends, fv).count() == 2
     assert len(asked) == 2 and all(size >= 4 * reach for reach, size in asked)
+
+
+def test_links_do_not_expand_voxels(spark, capsys):
+    at = [(z, y, 64 + x) for z, y, x in ((1, 1, -2), (1, 1, -1), (1, 2, 0), (2, 3, 1), (9, 9, 9))]   # over the face of a tile, and one alone
+    fv = with_vid(spark.createDataFrame(at, "z int, y int, x int")).withColumn("frag", F.lit(1).cast("long"))
+    li = fragments.links(fv)
+    assert "HashAggregate" not in plan(li, capsys)   # lists of every place's voxels are sorted and spilled
+    vid = [r["vid"] for r in fv.collect()]
+    assert {r["vid"]: r["nb"] for r in li.collect()} == {vid[0]: [vid[1]], vid[1]: [vid[0], vid[2]], vid[2]: [vid[1], vid[3]], vid[3]: [vid[2]], vid[4]: []}
