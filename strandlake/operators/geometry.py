@@ -12,6 +12,7 @@ from strandlake.grid import pack
 from strandlake.operators.curves import AX, curve_lengths, neighbours_on_curve
 from strandlake.operators.fields import normal_hash, unit_hash
 from strandlake.operators.lookup import salted_lookup
+from strandlake.session import materialize
 
 
 def flip(df: DataFrame, axis: str, n: int) -> DataFrame:
@@ -89,30 +90,33 @@ def project_to_curve(points: DataFrame, curves: DataFrame, key: str = "vid", cel
 
     carry = carry or []
     cols = [*AX, "arc", *carry]
-    nb = neighbours_on_curve(curves.select("curve", "seq", *cols), "curve", "seq", cols, 2)
+    # both are read twice: by the search, and for the segments
+    curves = materialize(curves.select("curve", "seq", *cols))
+    points = materialize(points.select(*dict.fromkeys([key, *(on or []), *AX])))
+    nb = neighbours_on_curve(curves, "curve", "seq", cols, 2)
     near = nearest(points, curves.withColumn("sk", F.struct("curve", "seq")), key, "sk", cell=cell, max_radius=max_radius, on=on)
     j = near.select(key, F.col("sk.curve").alias("curve"), F.col("sk.seq").alias("seq")).join(nb, ["curve", "seq"])
     j = j.join(points.select(key, *[F.col(c).cast("double").alias(f"q{c}") for c in AX]), key)
-
-    def seg(tag, i, k):
-        """Segment from neighbour i to neighbour k (suffix offsets)."""
-        at = lambda c, o: F.col(c) if o == 0 else F.col(f"{c}_{'m' if o < 0 else 'p'}{abs(o)}")
-        v = [at(c, k).cast("double") - at(c, i) for c in AX]
-        w = [F.col(f"q{c}") - at(c, i) for c in AX]
-        t = F.least(F.greatest(dot(w, v) / (dot(v, v) + 1e-8), F.lit(0.0)), F.lit(1.0))
-        lerp = lambda c: at(c, i) + t * (at(c, k) - at(c, i))
-        p = [lerp(c) for c in AX]
-        d2 = dot([F.col(f"q{c}") - q for c, q in zip(AX, p)], [F.col(f"q{c}") - q for c, q in zip(AX, p)])
-        return F.struct(d2.alias("d2"), *[q.alias(f"p{c}") for q, c in zip(p, AX)], lerp("arc").alias("arc"),
-                        *[lerp(c).alias(c) for c in carry])
-
     first, last = F.col("z_m1").isNull(), F.col("z_p1").isNull()
-    a = F.when(first, seg("a", 0, 1)).otherwise(seg("a", -1, 0))
-    b = F.when(last, seg("b", -1, 0)).otherwise(seg("b", 0, 1))
-    j = j.filter(~(first & last)).withColumn("sa", a).withColumn("sb", b)
-    j = j.withColumn("s", F.when(F.col("sb.d2") < F.col("sa.d2"), F.col("sb")).otherwise(F.col("sa")))
-    return j.select(key, "curve", F.col("s.pz"), F.col("s.py"), F.col("s.px"), F.col("s.arc"), F.col("s.d2"),
-                    *[F.col(f"s.{c}").alias(c) for c in carry])
+    j = j.filter(~(first & last))
+    # ends of both segments as plain columns, one step after the other: a nested expression would be evaluated anew for each of its uses
+    at = lambda c, o: F.col(c) if o == 0 else F.col(f"{c}_{'m' if o < 0 else 'p'}{abs(o)}")
+    j = j.select(key, "curve", *[f"q{c}" for c in AX],
+                 *[F.when(first, at(c, 0)).otherwise(at(c, -1)).alias(f"a0{c}") for c in cols], *[F.when(first, at(c, 1)).otherwise(at(c, 0)).alias(f"a1{c}") for c in cols],
+                 *[F.when(last, at(c, -1)).otherwise(at(c, 0)).alias(f"b0{c}") for c in cols], *[F.when(last, at(c, 0)).otherwise(at(c, 1)).alias(f"b1{c}") for c in cols])
+    foot = {}
+    for s in "ab":
+        v = [F.col(f"{s}1{c}").cast("double") - F.col(f"{s}0{c}") for c in AX]
+        w = [F.col(f"q{c}") - F.col(f"{s}0{c}") for c in AX]
+        foot[f"{s}t"] = F.least(F.greatest(dot(w, v) / (dot(v, v) + 1e-8), F.lit(0.0)), F.lit(1.0))
+    j = j.withColumns(foot)
+    lerp = lambda s, c: F.col(f"{s}0{c}") + F.col(f"{s}t") * (F.col(f"{s}1{c}") - F.col(f"{s}0{c}"))
+    j = j.withColumns({f"{s}p{c}": lerp(s, c) for s in "ab" for c in AX})
+    d2 = {s: [F.col(f"q{c}") - F.col(f"{s}p{c}") for c in AX] for s in "ab"}
+    j = j.withColumns({f"{s}d2": dot(v, v) for s, v in d2.items()}).withColumn("late", F.col("bd2") < F.col("ad2"))
+    pick = lambda f: F.when(F.col("late"), f("b")).otherwise(f("a"))
+    return j.select(key, "curve", *[pick(lambda s: F.col(f"{s}p{c}")).alias(f"p{c}") for c in AX], pick(lambda s: lerp(s, "arc")).alias("arc"),
+                    pick(lambda s: F.col(f"{s}d2")).alias("d2"), *[pick(lambda s: lerp(s, c)).alias(c) for c in carry])
 
 
 def crop_curves(curves: DataFrame, boxes: DataFrame, size: int, min_points: int = 6, min_curves: int = 2) -> DataFrame:

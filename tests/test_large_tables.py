@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from strandlake.grid import with_vid
-from strandlake.operators import fragments, ranges, ranks
+from strandlake.operators import fragments, geometry, ranges, ranks
 from strandlake.operators.lookup import salted_lookup
 from strandlake.operators.morph import separable_offsets
 from strandlake.operators.windows3d import sliding_predict
@@ -152,3 +152,11 @@ def test_links_do_not_expand_voxels(spark, capsys):
     assert "HashAggregate" not in plan(li, capsys)   # lists of every place's voxels are sorted and spilled
     vid = [r["vid"] for r in fv.collect()]
     assert {r["vid"]: r["nb"] for r in li.collect()} == {vid[0]: [vid[1]], vid[1]: [vid[0], vid[2]], vid[2]: [vid[1], vid[3]], vid[3]: [vid[2]], vid[4]: []}
+
+
+def test_projection_evaluates_each_place_once(spark):
+    c = spark.range(6).selectExpr("1L as curve", "id as seq", "double(id) as z", "0.0D as y", "0.0D as x", "double(id) as arc")
+    p = spark.createDataFrame([(1, 2, 1, 0), (2, 9, 0, 0)], "vid long, z int, y int, x int")
+    out = geometry.project_to_curve(p, c)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("1.0E-8") <= 2   # one foot a segment
+    assert [(r["vid"], round(r["pz"], 6), round(r["d2"], 6)) for r in out.orderBy("vid").collect()] == [(1, 2.0, 1.0), (2, 5.0, 16.0)]
