@@ -4,6 +4,7 @@ import json
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,6 +73,17 @@ def test_frames_do_not_depend_on_the_run_length(spark):
     assert np.allclose((n * np.array(a)[:, 5:8]).sum(1), 0, atol=1e-9) and np.allclose(np.linalg.norm(n, axis=1), 1)
 
 
+def test_short_curves_share_a_call(spark):
+    """Groups that batches cut come whole, and a task makes frames of many short curves at once."""
+    rows = pa.RecordBatch.from_pydict({"curve": [1, 1, 1, 2, 3, 3, 3, 3, 4], "seq": [0, 1, 2, 0, 0, 1, 2, 3, 0]})
+    cut = [rows.slice(0, 2), rows.slice(2, 3), rows.slice(5, 1), rows.slice(6, 0), rows.slice(6, 3)]
+    got = [(f["curve"].iloc[a], len(f.iloc[a:b])) for f, at in curves.whole_groups(iter(cut), ["curve"]) for a, b in zip(at, [*at[1:], len(f)])]
+    assert got == [(1, 3), (2, 1), (3, 4), (4, 1)]
+    df = spark.range(240).selectExpr("id div 6 as curve", "id % 6 as seq", "double(id % 6) as z", "double(id % 5) as y", "1.0D as x", "false as pin")
+    for out in (curves.frames(df),):
+        assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString() and out.select("curve").distinct().count() == 40
+
+
 def test_windows_over_chunks_equal_whole_curves(spark):
     rows = [(c, i, i, (i * 7) % 5, (i * 3) % 4) for c in (1, 2) for i in range(60 * c)]
     df = spark.createDataFrame(rows, "curve long, seq long, z int, y int, x int").cache()
