@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strandlake import Params
 from strandlake.grid import with_vid
-from strandlake.operators import components, curves, donors, fields, morph, patches, ranges, thinning, windows3d
+from strandlake.operators import components, curves, donors, fields, morph, patches, ranges, splines, thinning, windows3d
 from strandlake.plans.pipeline import run_chunked, run_direct
 from strandlake.sources import discovery, gad, voxels
 
@@ -74,13 +74,13 @@ def test_frames_do_not_depend_on_the_run_length(spark):
 
 
 def test_short_curves_share_a_call(spark):
-    """Groups that batches cut come whole, and a task makes frames of many short curves at once."""
+    """Groups that batches cut come whole, and a task makes frames and splines of many short curves at once."""
     rows = pa.RecordBatch.from_pydict({"curve": [1, 1, 1, 2, 3, 3, 3, 3, 4], "seq": [0, 1, 2, 0, 0, 1, 2, 3, 0]})
     cut = [rows.slice(0, 2), rows.slice(2, 3), rows.slice(5, 1), rows.slice(6, 0), rows.slice(6, 3)]
     got = [(f["curve"].iloc[a], len(f.iloc[a:b])) for f, at in curves.whole_groups(iter(cut), ["curve"]) for a, b in zip(at, [*at[1:], len(f)])]
     assert got == [(1, 3), (2, 1), (3, 4), (4, 1)]
     df = spark.range(240).selectExpr("id div 6 as curve", "id % 6 as seq", "double(id % 6) as z", "double(id % 5) as y", "1.0D as x", "false as pin")
-    for out in (curves.frames(df),):
+    for out in (curves.frames(df), splines.spline_curves(df)):
         assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString() and out.select("curve").distinct().count() == 40
 
 
