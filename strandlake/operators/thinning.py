@@ -89,17 +89,16 @@ def _pass(direction):
 
 
 def skeletonize(mask: DataFrame, tile: int = TILE, max_rounds: int = 10_000) -> DataFrame:
-    """vid, z, y, x of the thinned mask. Six passes per round, until a round removes nothing."""
+    """vid, z, y, x of the thinned mask. Passes in six directions in turn, until six in a row remove nothing."""
     cur = materialize(mask.select("vid").distinct())
-    n = cur.count()
-    for _ in range(max_rounds):
-        for d in DIRECTIONS:
-            t = cur.select("vid", *zyx("vid"))
-            t = halo(t.withColumn("home", tile_of(tile)), tile, HALO).select("tile", "vid", (F.col("home") == F.col("tile")).alias("own"))
-            past, cur = cur, materialize(t.groupBy("tile").applyInPandas(_pass(d), "vid long"))
-            release(past)
+    n, still = cur.count(), 0
+    for k in range(max_rounds * len(DIRECTIONS)):
+        t = cur.select("vid", *zyx("vid"))
+        t = halo(t.withColumn("home", tile_of(tile)), tile, HALO).select("tile", "vid", (F.col("home") == F.col("tile")).alias("own"))
+        past, cur = cur, materialize(t.groupBy("tile").applyInPandas(_pass(DIRECTIONS[k % len(DIRECTIONS)]), "vid long"))
+        release(past)
         m = cur.count()
-        if m == n:
+        n, still = m, still + 1 if m == n else 0
+        if still == len(DIRECTIONS):
             return cur.select("vid", *zyx("vid"))
-        n = m
     raise RuntimeError("thinning did not finish")

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from strandlake.grid import with_vid
-from strandlake.operators import fragments, geometry, ranges, ranks
+from strandlake.operators import fragments, geometry, ranges, ranks, thinning
 from strandlake.operators.lookup import salted_lookup
 from strandlake.operators.morph import separable_offsets
 from strandlake.operators.windows3d import sliding_predict
@@ -160,3 +160,11 @@ def test_projection_evaluates_each_place_once(spark):
     out = geometry.project_to_curve(p, c)
     assert out._jdf.queryExecution().optimizedPlan().toString().count("1.0E-8") <= 2   # one foot a segment
     assert [(r["vid"], round(r["pz"], 6), round(r["d2"], 6)) for r in out.orderBy("vid").collect()] == [(1, 2.0, 1.0), (2, 5.0, 16.0)]
+
+
+def test_thinning_stops_after_six_idle_passes(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(thinning, "materialize", lambda df: made.append(1) or materialize(df))
+    block = with_vid(spark.range(27).selectExpr("int(id div 9) as z", "int(id div 3 % 3) as y", "int(id % 3) as x"))
+    assert 0 < thinning.skeletonize(block).count() < 27
+    assert (len(made) - 1) % 6   # whole rounds would end at a multiple of six
