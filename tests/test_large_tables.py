@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from strandlake.grid import with_vid
-from strandlake.operators import fragments, geometry, ranges, ranks, thinning
+from strandlake.operators import chunks, fragments, geometry, ranges, ranks, thinning
 from strandlake.operators.lookup import salted_lookup
 from strandlake.operators.morph import separable_offsets
 from strandlake.operators.windows3d import sliding_predict
@@ -168,3 +168,13 @@ def test_thinning_stops_after_six_idle_passes(spark, monkeypatch):
     block = with_vid(spark.range(27).selectExpr("int(id div 9) as z", "int(id div 3 % 3) as y", "int(id % 3) as x"))
     assert 0 < thinning.skeletonize(block).count() < 27
     assert (len(made) - 1) % 6   # whole rounds would end at a multiple of six
+
+
+def test_shared_voxels_are_counted_before_they_are_paired(spark):
+    at = with_vid(spark.range(40).selectExpr("int(id) as z", "1 as y", "1 as x"))
+    c = materialize(chunks.assign_chunks(at, (40, 2, 2), 16, 8).withColumn("label", F.lit(1)))
+    plan = chunks.chunk_overlaps(c)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 3   # lists of a voxel, equal lists, pairs
+    got = {(r["chunk_a"], r["chunk_b"]): r["n"] for r in chunks.chunk_overlaps(c).collect()}
+    size = {(r["chunk"], r["other"]): r["n"] for r in chunks.overlap_sizes(c, (40, 2, 2), 16, 8).collect()}
+    assert got == {(0, 1): 8, (1, 2): 8, (2, 3): 8} and size == got | {(b, a): n for (a, b), n in got.items()}
