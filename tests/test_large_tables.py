@@ -178,3 +178,28 @@ def test_shared_voxels_are_counted_before_they_are_paired(spark):
     got = {(r["chunk_a"], r["chunk_b"]): r["n"] for r in chunks.chunk_overlaps(c).collect()}
     size = {(r["chunk"], r["other"]): r["n"] for r in chunks.overlap_sizes(c, (40, 2, 2), 16, 8).collect()}
     assert got == {(0, 1): 8, (1, 2): 8, (2, 3): 8} and size == got | {(b, a): n for (a, b), n in got.items()}
+
+
+def event_folder(spark, path, rows):
+    """A folder with an event table of (event_id, seconds, user_id, value)."""
+    e = spark.createDataFrame([(i, t, u, "a", v, "{}") for i, t, u, v in rows], "event_id long, t long, user_id long, event_type string, value double, props string")
+    e.select("event_id", F.timestamp_seconds("t").alias("ts"), "user_id", "event_type", "value", "props").write.parquet(f"{path}/events.parquet")
+    return str(path)
+
+
+def test_labels_of_large_user_numbers(spark, tmp_path):
+    from strandlake.plans.catalogue import QUERIES
+
+    d = event_folder(spark, tmp_path, [(2 * i + u % 2, 1_700_000_000 + 60 * i, u, float(i)) for i in range(60) for u in (600_064, 600_065)])
+    got = {r["vid"]: r["label"] for r in QUERIES["stitched_labels"](spark, d).collect()}
+    assert len(got) == 120 and set(got.values()) == set(range(1, max(got.values()) + 1))
+    x = lambda v: v & ((1 << 21) - 1)
+    assert {got[v] for v in got if x(v) < 3}.isdisjoint({got[v] for v in got if x(v) >= 3})   # of one user and the other
+
+
+def test_chunk_labels_of_more_than_32_bits_are_told_apart(spark):
+    labels = [(0, 3), (0, (1 << 32) + 1), (1, 1), (1, 1 << 34)]
+    df = spark.createDataFrame(labels, "chunk long, label long")
+    none = df.limit(0).select(F.col("chunk").alias("chunk_a"), F.col("label").alias("label_a"), F.col("chunk").alias("chunk_b"), F.col("label").alias("label_b"))
+    got = {(r["chunk"], r["label"]): r["global_id"] for r in chunks.consensus_ids(df, none).collect()}
+    assert got == {k: i + 1 for i, k in enumerate(labels)}
