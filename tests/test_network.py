@@ -199,3 +199,22 @@ def test_diffusion_respects_components_and_locks(vox):
 def test_stencil_needs_one_exchange(vox):
     plan = stencil.degree(vox([(1, 1, 1), (1, 1, 2)]))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_resolved_network_labels_and_fills_the_volume(spark):
+    """Every step that the query names leaves its trace: labels by length, and each voxel of the volume in one of them."""
+    from strandlake.plans.catalogue import QUERIES, resolved_chains
+    from strandlake.sources import lift
+
+    d = "/root/testdata/sf0.001"
+    rows = QUERIES["resolved_network"](spark, d).collect()
+    kept = sorted((r for r in rows if r["label"] is not None), key=lambda r: r["label"])
+    assert [r["label"] for r in kept] == list(range(1, len(kept) + 1)) and len(kept) > 5
+    assert [r["root"] for r in kept] == [r["root"] for r in sorted(kept, key=lambda r: (-r["total_length"], r["root"]))]
+    assert all((r["label"] is None) == (r["total_length"] < 5) for r in rows)
+    assert all(r["skeleton_voxels"] == r["volume_voxels"] == 0 for r in rows if r["label"] is None)
+    assert all(0 < r["skeleton_voxels"] <= r["volume_voxels"] for r in kept)
+    fg = lift.foreground(spark, d).count()
+    assert fg * 0.5 < sum(r["volume_voxels"] for r in kept) <= fg + sum(r["skeleton_voxels"] for r in kept)
+    assert sorted((r["root"], r["n_fragments"], r["total_length"]) for r in rows) == sorted(
+        (r["root"], r["n_fragments"], r["total_length"]) for r in resolved_chains(spark, d).collect())
