@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions.vec3 import dot, safe, vec
-from strandlake.grid import ball_offsets, pack, tile_of
+from strandlake.grid import BITS, DY, DZ, MASK, ball_offsets, pack, zyx
 from strandlake.operators.curves import AX, densify, tangents
 from strandlake.operators.ranges import nearest
-from strandlake.operators.stencil import median3
+from strandlake.operators.stencil import TILE, median3
 from strandlake.session import materialize
 
 
@@ -55,24 +57,57 @@ def rasterise(spine: DataFrame, shape) -> DataFrame:
     return p.groupBy("vid", "z", "y", "x").agg(F.max("curve").alias("label"))
 
 
+def _extent(left):
+    return F.floor(F.sqrt(F.greatest(left, F.lit(0.0))) + 1e-9).cast("int")
+
+
+def _balls(shape):
+    """Voxels of one tile that balls around points (z, y, x) cover; each ball is walked axis by axis, its range along x is one run."""
+    def run(group: pa.Table) -> pa.Table:
+        t = group.column("tile")[0].as_py()
+        low = [(t >> s & MASK) * TILE for s in (2 * BITS, BITS, 0)]
+        end = [min(o + TILE, n) - o for o, n in zip(low, shape)]
+        at = [group.column(c).to_numpy().astype(np.int64) - o for c, o in zip(AX, low)]
+        r = group.column("_r").to_numpy()
+        ext = lambda left: np.floor(np.sqrt(np.maximum(left, 0.0)) + 1e-9).astype(np.int64)
+        reach = int(ext(r * r).max())
+        o = np.arange(-reach, reach + 1)
+        marks = np.zeros(TILE * TILE * (TILE + 1), np.int64)
+        each = max(1, (1 << 18) // len(o) ** 2)
+        for i in range(0, len(r), each):
+            z, y, x = (a[i:i + each] for a in at)
+            left = (r[i:i + each] * r[i:i + each])[:, None]
+            zz, rest = z[:, None] + o, left - o * o
+            p, q = np.nonzero((np.abs(o) <= ext(left)) & (zz >= 0) & (zz < end[0]))
+            left, zz = rest[p, q][:, None], zz[p, q]
+            yy, rest = y[p][:, None] + o, left - o * o
+            k, q = np.nonzero((np.abs(o) <= ext(left)) & (yy >= 0) & (yy < end[1]))
+            half, row, mid = ext(rest[k, q]), (zz[k] * TILE + yy[k, q]) * (TILE + 1), x[p][k]
+            a, b = np.clip(mid - half, 0, end[2]), np.clip(mid + half + 1, 0, end[2])
+            marks += np.bincount(row + a, minlength=len(marks)) - np.bincount(row + b, minlength=len(marks))
+        held = np.cumsum(marks.reshape(TILE, TILE, TILE + 1), axis=2)[:, :, :TILE] > 0
+        z, y, x = (a.astype(np.int64) + o for a, o in zip(np.nonzero(held), low))
+        return pa.table({"vid": z * DZ + y * DY + x})
+    return run
+
+
 def dilate_by_radius(points: DataFrame, shape, radius: str = "r", fixed: float | None = None) -> DataFrame:
     """Periodic union of balls around (rounded) points; each point has its own radius.
 
-    The ball is walked axis by axis, each range shrinking with what the axes before it used up.
+    A point is copied, as it lies across the borders, to the tiles its ball may meet; a task fills one tile after the other.
     """
     r = F.lit(float(fixed)) if fixed is not None else F.col(radius).cast("double")
     base = points.select(*[F.bround(F.col(c)).cast("int").alias(c) for c in AX], r.alias("_r"))
-    # one voxel keeps its largest ball only: duplicates go before the expansion
-    base = base.groupBy(*AX).agg(F.max("_r").alias("_r"))
-    # balls that overlap are expanded in one task, which drops what they share before anything moves
-    base = base.repartition(tile_of(32))
-    left = F.col("_r") * F.col("_r")
-    for c in AX:
-        k = F.floor(F.sqrt(F.greatest(left, F.lit(0.0))) + 1e-9).cast("int")
-        base = base.withColumn(f"_o{c}", F.explode(F.sequence(-k, k)))
-        left = left - F.col(f"_o{c}") * F.col(f"_o{c}")
-    pos = [F.pmod(F.col(c) + F.col(f"_o{c}"), F.lit(n)).cast("int").alias(c) for c, n in zip(AX, shape)]
-    return base.select(*pos).distinct().withColumn("vid", pack("z", "y", "x"))
+    # one voxel keeps its largest ball only
+    base = base.groupBy(*AX).agg(F.max("_r").alias("_r")).withColumn("_k", _extent(F.col("_r") * F.col("_r")))
+    for c, n in zip(AX, shape):
+        shift = F.sequence(-F.floor((F.col(c) + F.col("_k")) / F.lit(n)), F.floor((n - 1 + F.col("_k") - F.col(c)) / F.lit(n)))
+        base = base.withColumn("_s", F.explode(shift)).withColumn(c, (F.col(c) + F.col("_s") * n).cast("int"))
+        base = base.withColumn(f"_t{c}", F.explode(F.sequence(F.floor(F.greatest(F.col(c) - F.col("_k"), F.lit(0)) / TILE),
+                                                              F.floor(F.least(F.col(c) + F.col("_k"), F.lit(n - 1)) / TILE))))
+    near = base.select(pack(*[f"_t{c}" for c in AX]).alias("tile"), *AX, "_r").repartition("tile")
+    out = near.groupBy("tile").applyInArrow(_balls(tuple(shape)), "vid long")
+    return out.select(*zyx("vid"), "vid")
 
 
 def unit_hash(seed: int, *cols):
@@ -103,8 +138,11 @@ def augmented_tubes(curves: DataFrame, shape, max_shift: float = 2.0, seed: int
     m = d.groupBy("curve").agg(F.count(F.lit(1)).alias("m"))
     from strandlake.operators.lookup import salted_lookup
 
+    # a curve's numbers are drawn once, not for each of its points
+    draws = [0, 1, 2, *[k + b for k in (10, 20, 30) for b in range(3)]]
+    m = m.select("curve", "m", *[unit_hash(seed + 100 + k, F.col("curve")).alias(f"_u{k}") for k in draws])
     d = salted_lookup(d, m, ["curve"], ["seq"], "inner")
-    u = lambda k: unit_hash(seed + 100 + k, F.col("curve"))
+    u = lambda k: F.col(f"_u{k}")
     s = F.col("seq") / F.greatest(F.col("m") - 1, F.lit(1))
     wave = F.sin(2 * math.pi * (1.0 + 2.5 * u(0)) * s) * (0.2 + 0.4 * u(1))
     beads = F.lit(0.0)

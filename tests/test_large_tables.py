@@ -203,3 +203,29 @@ def test_chunk_labels_of_more_than_32_bits_are_told_apart(spark):
     none = df.limit(0).select(F.col("chunk").alias("chunk_a"), F.col("label").alias("label_a"), F.col("chunk").alias("chunk_b"), F.col("label").alias("label_b"))
     got = {(r["chunk"], r["label"]): r["global_id"] for r in chunks.consensus_ids(df, none).collect()}
     assert got == {k: i + 1 for i, k in enumerate(labels)}
+
+
+def test_balls_and_medians_fill_tiles_as_arrays(spark, capsys):
+    """Against brute force, over tile faces and across borders narrower than a ball; no voxel is expanded as a row."""
+    from strandlake.operators.fields import dilate_by_radius
+    from strandlake.operators.stencil import median3
+
+    shape = (9, 7, 40)
+    rows = [(0.4, 6.6, 31.5, 1.5), (8.5, 3.0, 0.0, 2.0), (4.5, 0.2, 33.2, 5.5), (4.5, 0.2, 33.2, 1.0), (2.0, 2.0, 39.7, 3.0), (5.0, 5.0, 15.0, 2.25), (None, 1.0, 1.0, 2.0)]
+    points = spark.createDataFrame(rows, "z double, y double, x double, r double")
+    want = np.zeros(shape, bool)
+    for *c, r in rows[:-1]:
+        c, k = [round(v) for v in c], int(r)
+        for o in np.ndindex(*(2 * k + 1,) * 3):
+            o = [v - k for v in o]
+            if sum(v * v for v in o) <= r * r:
+                want[tuple((a + b) % n for a, b, n in zip(c, o, shape))] = True
+    balls = dilate_by_radius(points, shape)
+    got = [(r.z, r.y, r.x, r.vid) for r in balls.collect()]
+    assert len(got) == len(set(got)) and {g[:3] for g in got} == set(zip(*(v.tolist() for v in np.nonzero(want))))
+    assert all(v == (z << 42) + (y << 21) + x for z, y, x, v in got)
+    wide = np.pad(want, 1, "symmetric").astype(int)
+    count = sum(wide[i:i + 9, j:j + 7, k:k + 40] for i in range(3) for j in range(3) for k in range(3))
+    median = median3(balls, shape)
+    assert sorted((r.z, r.y, r.x) for r in median.collect()) == sorted(zip(*(v.tolist() for v in np.nonzero(count >= 14))))
+    assert plan(median, capsys).count("FlatMapGroupsInArrow") >= 2
